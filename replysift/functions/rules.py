@@ -105,26 +105,47 @@ def rule_score(c: Column | str, rules: RuleSet = DEFAULT_RULES) -> Column:
     )
 
 
+def rule_score_struct(c: Column | str, rules: RuleSet = DEFAULT_RULES) -> Column:
+    """Struct(label, confidence, reasoning) in which the regex pass appears once.
+
+    Intermediate values are bound as lambda variables (``transform`` over a
+    one-element array), so the expression tree holds the regex and the counts
+    once each. That matters beyond this projection: when a filter on the label
+    or the confidence is pushed below the projection, the optimizer copies the
+    defining expression into the filter, and a tree that mentions the regex
+    once per use of a count would scan the text a dozen times per row.
+    """
+    k = len(rules.rules)
+
+    def from_counts(cs: Column) -> Column:
+        cl = [cs[f"n{i}"] for i in range(k)]
+        return F.struct(
+            rule_label(cl, rules).alias("label"),
+            rule_confidence(cl, rules).alias("confidence"),
+            rule_reasoning(cl, rules).alias("reasoning"),
+        )
+
+    def from_matches(m: Column) -> Column:
+        counts = F.struct(*[n.alias(f"n{i}") for i, n in enumerate(cue_counts(m, rules))])
+        return F.transform(F.array(counts), from_counts)[0]
+
+    return F.transform(F.array(cue_matches(c, rules)), from_matches)[0]
+
+
 def with_rule_score(df, text_col: str, rules: RuleSet = DEFAULT_RULES, valid: Column | None = None,
                     prefix: str = "_rule"):
     """Add ``{prefix}_label``, ``{prefix}_confidence``, ``{prefix}_reasoning``.
 
-    The regex pass and the per-category counts are staged as their own
-    columns so the optimizer keeps one evaluation per row (it does not inline
-    an expensive expression that is used several times). With ``valid``
+    The score is one struct column (one text scan per row); with ``valid``
     given, invalid rows skip the scan.
     """
     text = F.col(text_col)
     if valid is not None:
         text = F.when(valid, text)
-    m = f"{prefix}_matches"
-    names = [f"{prefix}_n{i}" for i in range(len(rules.rules))]
-    df = df.withColumn(m, cue_matches(text, rules))
-    df = df.withColumns(dict(zip(names, cue_counts(F.col(m), rules))))
-    counts = [F.col(n) for n in names]
-    df = df.withColumns({
-        f"{prefix}_label": rule_label(counts, rules),
-        f"{prefix}_confidence": rule_confidence(counts, rules),
-        f"{prefix}_reasoning": rule_reasoning(counts, rules),
-    })
-    return df.drop(m, *names)
+    s = f"{prefix}_score"
+    df = df.withColumn(s, rule_score_struct(text, rules))
+    return df.withColumns({
+        f"{prefix}_label": F.col(s)["label"],
+        f"{prefix}_confidence": F.col(s)["confidence"],
+        f"{prefix}_reasoning": F.col(s)["reasoning"],
+    }).drop(s)
