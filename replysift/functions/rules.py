@@ -25,13 +25,38 @@ def normalised_text(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(col_of(c)), "’", "'")
 
 
+def _trie_alternation(words) -> str:
+    """Alternation of ``words`` factored by common prefixes (``c(?:an't|annot)``),
+    so that at each position the regex engine follows one branch per character
+    instead of trying every word. Longer words are preferred, as in a
+    longest-first alternation; the trailing word-boundary check decides."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node) -> str:
+        ends = "" in node
+        alts = [ch + build(node[ch]) for ch in sorted(k for k in node if k)]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        if ends:
+            return "(?:" + body + ")?"
+        return body
+
+    return build(trie)
+
+
 def cue_regex(rules: RuleSet = DEFAULT_RULES) -> str:
-    words = sorted({w for r in rules.rules for w in r.cues}, key=lambda w: (-len(w), w))
+    words = sorted({w for r in rules.rules for w in r.cues})
     parts = []
     if any(r.question_mark for r in rules.rules):
         parts.append("\\?")
     if words:
-        parts.append(_WORD_BEFORE + "(?:" + "|".join(words) + ")" + _WORD_AFTER)
+        parts.append(_WORD_BEFORE + "(?:" + _trie_alternation(words) + ")" + _WORD_AFTER)
     return "|".join(parts)
 
 

@@ -29,8 +29,10 @@ DG_CLASS = (
 )
 
 # ``\A`` and ``\z`` rather than ``^``/``$``: Java's ``$`` also matches before a
-# final line break.
-TRIM_PATTERN = f"\\A[{WS_CLASS}]+|[{WS_CLASS}]+\\z"
+# final line break. Possessive quantifiers and the look-behind keep every
+# pattern linear on long texts (a trailing-blank search that may start inside a
+# run of blanks is quadratic in the run length).
+TRIM_PATTERN = f"\\A[{WS_CLASS}]++|(?<![{WS_CLASS}])[{WS_CLASS}]++\\z"
 ALL_DIGITS_PATTERN = f"\\A[{DG_CLASS}]+\\z"
 
 
