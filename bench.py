@@ -33,7 +33,6 @@ def main() -> None:
     from replysift.plans import queries as q
     from replysift.plans.fake_model import keyword_model_factory
     from replysift.sources import derived as dv
-    from replysift.sources.listing import normalise_null_tokens, with_row_key
     from replysift.sources.sinks import export_by_category, new_stage_path, stage
 
     C = q.C
@@ -59,12 +58,10 @@ def main() -> None:
 
     ev = timed("classify_events", lambda: classify_stage(q.events_keyed(spark, sf_dir), "bench-events"))
     li = timed("classify_lineitem", lambda: classify_stage(q.lineitem_keyed(spark, sf_dir), "bench-lineitem"))
-    docs = timed("classify_documents", lambda: classify_stage(
-        with_row_key(normalise_null_tokens(dv.documents_listing(spark, sf_dir)), id_col=C.query_id),
-        "bench-documents"))
-    conv = timed("classify_conversations", lambda: classify_stage(
-        with_row_key(normalise_null_tokens(dv.conversations_listing(spark, sf_dir)), id_col=C.query_id),
-        "bench-conversations"))
+    docs = timed("classify_documents", lambda: classify_stage(q.documents_keyed(spark, sf_dir),
+                                                              "bench-documents"))
+    conv = timed("classify_conversations", lambda: classify_stage(q.conversations_keyed(spark, sf_dir),
+                                                                  "bench-conversations"))
 
     timed("category_counts", lambda: run(an.category_counts(ev)))
     timed("category_cards", lambda: run(an.category_cards(ev)))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from ..config import DEFAULT_RULES, RuleSet
 from ..functions.rules import cue_regex
@@ -32,9 +33,14 @@ def prompt_answers(prompt: str) -> list[str]:
     return answers
 
 
+@lru_cache(maxsize=16)
+def _compiled(rules: RuleSet) -> re.Pattern:
+    return re.compile(cue_regex(rules))
+
+
 def rule_result(text: str, rules: RuleSet = DEFAULT_RULES) -> tuple[str, float, str]:
     t = text.lower().replace("’", "'")
-    found = re.findall(cue_regex(rules), t)
+    found = _compiled(rules).findall(t)
     counts = []
     for r in rules.rules:
         counts.append(sum(1 for m in found if m in r.cues or (r.question_mark and m == "?")))

@@ -21,7 +21,7 @@ from ..operators.classify import classify, validate, validity_counts
 from ..operators.model_batch import batch_rows, build_prompts, classify_with_model
 from ..operators.summary import summary_text
 from ..sources import derived as dv
-from ..sources.listing import listing_profile, normalise_null_tokens, preview_rows, with_row_key
+from ..sources.listing import listing_profile, normalise_null_tokens, preview_rows, spread, with_row_key
 from ..sources.sinks import (
     export_by_category, new_stage_path, read_category_export, read_classified_csv, stage, write_csv,
 )
@@ -42,7 +42,7 @@ SITE_MIN_ROWS = 5
 
 def events_keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Events listing, reader null tokens applied, keyed by its unique query id."""
-    return with_row_key(normalise_null_tokens(dv.events_listing(spark, sf)), id_col=C.query_id)
+    return with_row_key(normalise_null_tokens(spread(dv.events_listing(spark, sf))), id_col=C.query_id)
 
 
 def events_classified(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,12 +57,20 @@ def events_classified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_classified(spark: SparkSession, sf: str) -> DataFrame:
-    docs = with_row_key(normalise_null_tokens(dv.documents_listing(spark, sf)), id_col=C.query_id)
-    return stage(classify(docs), "documents-classified")
+    return stage(classify(documents_keyed(spark, sf)), "documents-classified")
+
+
+def documents_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return with_row_key(normalise_null_tokens(spread(dv.documents_listing(spark, sf))), id_col=C.query_id)
+
+
+def conversations_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return with_row_key(normalise_null_tokens(spread(dv.conversations_listing(spark, sf))), id_col=C.query_id)
 
 
 def lineitem_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    """Lineitem listing: query ids repeat, so rows are keyed by content + ordinal."""
+    """Lineitem listing: query ids repeat, so rows are keyed by content + ordinal.
+    No ``spread`` here: keying shuffles by fingerprint, which spreads the rows."""
     return with_row_key(normalise_null_tokens(dv.lineitem_listing(spark, sf)))
 
 
@@ -91,8 +99,7 @@ def q_classify_lineitem(spark, sf):
 
 
 def q_classify_conversations(spark, sf):
-    conv = with_row_key(normalise_null_tokens(dv.conversations_listing(spark, sf)), id_col=C.query_id)
-    return classify(conv).select(ROW_KEY, "Subject", C.item, *OUT)
+    return classify(conversations_keyed(spark, sf)).select(ROW_KEY, "Subject", C.item, *OUT)
 
 
 def q_row_keys_lineitem(spark, sf):

@@ -205,3 +205,21 @@ def is_unique(df: DataFrame, column: str) -> bool:
         F.count(F.col(column)).alias("nn"),
     ).first()
     return row["n"] == row["d"] == row["nn"]
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a small input over enough tasks for the CPU-heavy text work.
+
+    A small file (or one large row group) is read by a single task; scoring
+    its texts would then use one core. When the input has fewer splits than
+    ``min_partitions`` (default: the default parallelism) the rows are
+    round-robin repartitioned (deterministic on retry: Spark sorts before a
+    round-robin repartition). Inputs with enough splits, i.e. every large
+    input, are returned unchanged: no shuffle. Streams are returned unchanged.
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
