@@ -39,6 +39,15 @@ def category_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def category_counts_json(df: DataFrame) -> DataFrame:
+    """F8: the category counts as one JSON object (label -> n, keys sorted), the
+    form in which they feed a report or a model prompt. The aggregate has one
+    row per label, so the final one-group collect is small."""
+    return category_counts(df).agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))).alias("counts_json")
+    )
+
+
 def category_cards(df: DataFrame, categories=CATEGORIES) -> DataFrame:
     """A3 (+J3): n and percent of valid rows for each fixed category, 0 when
     absent. One aggregate pass, then the one-row result is unpivoted; no join."""

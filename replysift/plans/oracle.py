@@ -291,6 +291,17 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "category_counts_documents": f'WITH {DOC} SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n '
                                  f'{_CLS_VALID} AND "LLM_Classification" IS NOT NULL GROUP BY 1',
+    "category_counts_json": with_ev(
+        f"""SELECT to_json(map_from_entries(list(struct_pack(k := label, v := n) ORDER BY label)))
+             AS counts_json FROM (SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n
+             {_CLS_VALID} AND "LLM_Classification" IS NOT NULL GROUP BY 1)"""
+    ),
+    "validate_documents_strict": f"""WITH {DOC}
+        SELECT row_key, "Study Alias", "Is_Valid" AND NOT coalesce(
+            NOT regexp_matches(_g, '\\p{{L}}')
+            OR regexp_matches(_g, '(^|[^\\p{{L}}])[b-df-hj-np-tv-xz]{{12,}}([^\\p{{L}}]|$)'), false) AS "Is_Valid"
+        FROM (SELECT *, lower(regexp_replace("Site Response", '\\A[{WS_CLASS}]+|[{WS_CLASS}]+\\z', '', 'g')) AS _g
+              FROM v)""",
     "category_cards": with_ev(
         """SELECT CAST(c.ordinal AS BIGINT) AS ordinal, c.category, CAST(coalesce(k.n, 0) AS BIGINT) AS n,
              CASE WHEN t.total > 0 THEN (CAST(coalesce(k.n, 0) AS DOUBLE) / CAST(t.total AS DOUBLE)) * 100.0

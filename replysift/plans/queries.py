@@ -122,6 +122,15 @@ def q_category_counts_documents(spark, sf):
     return an.category_counts(documents_classified(spark, sf))
 
 
+def q_category_counts_json(spark, sf):
+    return an.category_counts_json(events_classified(spark, sf))
+
+
+def q_validate_documents_strict(spark, sf):
+    v = validate(documents_keyed(spark, sf), C, reject_gibberish=True)
+    return v.select(ROW_KEY, C.study, IS_VALID)
+
+
 def q_category_cards(spark, sf):
     return an.category_cards(events_classified(spark, sf))
 
@@ -282,6 +291,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_preview": q_listing_preview,
     "category_counts": q_category_counts,
     "category_counts_documents": q_category_counts_documents,
+    "category_counts_json": q_category_counts_json,
+    "validate_documents_strict": q_validate_documents_strict,
     "category_cards": q_category_cards,
     "results_header": q_results_header,
     "top_confused_items": q_top_confused_items,

@@ -150,7 +150,7 @@ def with_row_key(
     df: DataFrame,
     id_col: str | None = None,
     key_col: str = ROW_KEY,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """Give every row a unique, stable ``row_key``.
 
@@ -160,11 +160,13 @@ def with_row_key(
     so any assignment of ordinals is right).
 
     Copies of one row may be a large share of the table, so ordinals are not
-    numbered in one task per fingerprint: rows are split by a salt (the input
-    partition), numbered within (fingerprint, salt), and shifted by the sizes
-    of the earlier salts of the same fingerprint. Only fingerprints present
-    in more than one salt need a shift; that table is usually tiny and
-    adaptive execution broadcasts it when it is.
+    numbered in one task per fingerprint: rows are split by a salt (by default
+    the input partition itself, so a salt group is never larger than one input
+    split, however hot the row), numbered within (fingerprint, salt), and
+    shifted by the sizes of the earlier salts of the same fingerprint. Only
+    fingerprints present in more than one salt need a shift; that table is
+    usually tiny and adaptive execution broadcasts it when it is. ``salts``
+    folds partitions into fewer salts (tests).
 
     Persist the result (stage table) before keys are used across jobs.
     """
@@ -173,8 +175,9 @@ def with_row_key(
 
     data_cols = [c for c in df.columns if c != key_col]
     fp, salt, rn, off = "_rk_fp", "_rk_salt", "_rk_rn", "_rk_off"
+    pid = F.spark_partition_id()
     d = df.withColumn(fp, row_fingerprint(df, data_cols)).withColumn(
-        salt, F.pmod(F.spark_partition_id(), F.lit(salts))
+        salt, pid if salts is None else F.pmod(pid, F.lit(salts))
     )
     d = d.withColumn(rn, F.row_number().over(Window.partitionBy(fp, salt).orderBy(fp)))
     sizes = d.groupBy(fp, salt).agg(F.count(F.lit(1)).alias("_n"))
