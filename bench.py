@@ -53,8 +53,7 @@ def main() -> None:
         return df.collect()
 
     def classify_stage(listing, name):
-        df = stage(classify(listing), name)
-        return df
+        return stage(classify(listing), name, partition_by=[q.LABEL])
 
     ev = timed("classify_events", lambda: classify_stage(q.events_keyed(spark, sf_dir), "bench-events"))
     li = timed("classify_lineitem", lambda: classify_stage(q.lineitem_keyed(spark, sf_dir), "bench-lineitem"))

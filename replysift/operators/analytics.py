@@ -238,7 +238,9 @@ def confusion_alerts(
         F.grouping_id().alias("_gid"),
     )
     g = g.where((F.col("_gid") == 1) | F.col("study").isNotNull())
-    r = F.col("n_confused").cast("double") / F.col("n_valid").cast("double")
+    # an empty listing has an overall row with 0 valid rows: no rate (and no
+    # division by zero under ANSI mode)
+    r = F.when(F.col("n_valid") > 0, F.col("n_confused").cast("double") / F.col("n_valid").cast("double"))
     return g.select(
         F.when(F.col("_gid") == 1, F.lit("overall")).otherwise(F.lit("study")).alias("scope"),
         "study", "n_valid", "n_confused",

@@ -395,11 +395,13 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "confusion_alert": with_ev(
         f"""SELECT scope, study, n_valid, n_confused,
-             CAST(n_confused AS DOUBLE) / CAST(n_valid AS DOUBLE) AS confused_rate,
-             CAST(n_confused AS DOUBLE) / CAST(n_valid AS DOUBLE) > CAST(0.3 AS DOUBLE) AS alert
+             CASE WHEN n_valid > 0 THEN CAST(n_confused AS DOUBLE) / CAST(n_valid AS DOUBLE) END AS confused_rate,
+             CASE WHEN n_valid > 0 THEN CAST(n_confused AS DOUBLE) / CAST(n_valid AS DOUBLE) END
+               > CAST(0.3 AS DOUBLE) AS alert
            FROM (
              SELECT 'overall' AS scope, CAST(NULL AS VARCHAR) AS study, CAST(count(*) AS BIGINT) AS n_valid,
                     CAST(count_if("LLM_Classification" = 'Confused') AS BIGINT) AS n_confused {_CLS_VALID}
+               HAVING count(*) > 0
              UNION ALL
              SELECT 'study', "Study Alias", CAST(count(*) AS BIGINT),
                     CAST(count_if("LLM_Classification" = 'Confused') AS BIGINT) {_CLS_VALID}

@@ -49,15 +49,16 @@ def events_classified(spark: SparkSession, sf: str) -> DataFrame:
     """Classified events listing as a stage table.
 
     The text scan runs once, in the write; every analytic then reads Parquet
-    with pushed filters and pruned columns. Without the stage, a filter on the
+    with pushed filters and pruned columns, and label filters prune whole
+    folders (the table is partitioned by label). Without the stage, a filter on the
     label or confidence would be pushed below the scoring projection and
     re-evaluate the text scan inside the filter.
     """
-    return stage(classify(events_keyed(spark, sf)), "events-classified")
+    return stage(classify(events_keyed(spark, sf)), "events-classified", partition_by=[LABEL])
 
 
 def documents_classified(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(classify(documents_keyed(spark, sf)), "documents-classified")
+    return stage(classify(documents_keyed(spark, sf)), "documents-classified", partition_by=[LABEL])
 
 
 def documents_keyed(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,8 +41,12 @@ def ship_package(spark: SparkSession) -> None:
     ``mapInPandas`` model step): zip the package into the stage folder and
     ``addPyFile`` it once per context. Deployments that already ship it
     (``--py-files``) are unaffected."""
-    sc = spark.sparkContext
-    if getattr(sc, _SHIPPED_ATTR, False):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: ship as an artifact instead
+        sc = None
+    holder = sc if sc is not None else spark
+    if getattr(holder, _SHIPPED_ATTR, False):
         return
     import hashlib
     import zipfile
@@ -68,5 +72,8 @@ def ship_package(spark: SparkSession) -> None:
             for f in sorted(files):
                 z.write(f, os.path.relpath(f, os.path.dirname(pkg_dir)))
         os.replace(tmp, local)
-    sc.addPyFile(local)
-    setattr(sc, _SHIPPED_ATTR, True)
+    if sc is not None:
+        sc.addPyFile(local)
+    else:
+        spark.addArtifacts(local, pyfile=True)
+    setattr(holder, _SHIPPED_ATTR, True)

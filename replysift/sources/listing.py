@@ -179,8 +179,12 @@ def with_row_key(
     d = df.withColumn(fp, row_fingerprint(df, data_cols)).withColumn(
         salt, pid if salts is None else F.pmod(pid, F.lit(salts))
     )
-    d = d.withColumn(rn, F.row_number().over(Window.partitionBy(fp, salt).orderBy(fp)))
-    sizes = d.groupBy(fp, salt).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(fp, salt)
+    d = d.withColumn(rn, F.row_number().over(group.orderBy(fp))).withColumn(
+        "_rk_n", F.count(F.lit(1)).over(group)
+    )
+    # group sizes from the same windowed rows: the scan and the hashing run once
+    sizes = d.where(F.col(rn) == 1).select(fp, salt, F.col("_rk_n").alias("_n"))
     offsets = (
         sizes.withColumn("_nsalts", F.count(F.lit(1)).over(Window.partitionBy(fp)))
         .where(F.col("_nsalts") > 1)
@@ -197,7 +201,7 @@ def with_row_key(
             (F.col(rn) + F.coalesce(F.col(off), F.lit(0))).cast("string"),
         ),
     )
-    return keyed.drop(fp, salt, rn, off)
+    return keyed.drop(fp, salt, rn, off, "_rk_n")
 
 
 def is_unique(df: DataFrame, column: str) -> bool:
@@ -222,7 +226,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target)

@@ -30,11 +30,17 @@ def stage_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        try:
+            root = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no context in a remote session
+            root = None
     if not root:
         root = tempfile.mkdtemp(prefix="replysift-stage-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        try:
+            spark.sparkContext.setCheckpointDir(root)
+        except Exception:
+            pass
     return root.rstrip("/")
 
 
@@ -42,18 +48,27 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/replysift/{name}-{uuid.uuid4().hex}"
 
 
-def write_stage(df: DataFrame, path: str) -> None:
+def write_stage(df: DataFrame, path: str, partition_by=None) -> None:
     """Persist a step's output as Parquet (replaces a driver-side copy)."""
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by=None) -> DataFrame:
     """Write ``df`` to a new stage table and read it back: cuts lineage, and
-    makes later actions reuse the stored rows instead of recomputing them."""
+    makes later actions reuse the stored rows instead of recomputing them.
+
+    ``partition_by`` (low-cardinality columns, e.g. the label) lays the table
+    out in folders so that filters on them prune whole folders. The table is
+    read back with the original schema (no type guessing from folder names)
+    and the original column order."""
     spark = df.sparkSession
     path = new_stage_path(spark, name)
-    write_stage(df, path)
-    return spark.read.parquet(path)
+    write_stage(df, path, partition_by)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(*[F.col(f"`{c}`") for c in df.columns]) if partition_by else back
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -101,3 +101,8 @@ def test_summary_bundle(spark):
     cats = [(r.rank, r.key, r.n) for r in b if r.section == "category"]
     assert cats[0] == (1, "Confused", 4)
     assert sum(r.n for r in b if r.section == "category") == 6   # null label dropped
+
+
+def test_empty_listing_has_no_alert_rows(spark):
+    # no valid rows: the grouping sets produce no row at all (no rate, no division by zero)
+    assert an.confusion_alerts(classified(spark, [("1", "A", "s", "x", "INVALID", None)])).count() == 0

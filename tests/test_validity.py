@@ -54,3 +54,23 @@ def test_random_strings_match_plain_rule(spark):
 def test_gibberish_option(spark, text, expected):
     df = spark.createDataFrame([(text,)], "r string")
     assert df.select(looks_like_gibberish(F.col("r"))).first()[0] is expected
+
+
+def test_property_random_unicode(spark):
+    """Property check over generated text (hypothesis), same plain rule."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    seen = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.one_of(st.none(), st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=8),
+                     st.from_regex(r"\A[ \t0-9.\-]{0,6}\Z")))
+    def collect(v):
+        seen.append(v)
+
+    collect()
+    df = spark.createDataFrame([(v,) for v in seen], "r string")
+    got = [r[0] for r in df.select(is_valid_response(F.col("r"))).collect()]
+    bad = [(v, g) for v, g in zip(seen, got) if g != reference_rule(v) and "\x00" not in (v or "")]
+    assert not bad, bad[:10]
