@@ -180,11 +180,12 @@ def with_row_key(
         salt, pid if salts is None else F.pmod(pid, F.lit(salts))
     )
     group = Window.partitionBy(fp, salt)
-    d = d.withColumn(rn, F.row_number().over(group.orderBy(fp))).withColumn(
-        "_rk_n", F.count(F.lit(1)).over(group)
-    )
-    # group sizes from the same windowed rows: the scan and the hashing run once
-    sizes = d.where(F.col(rn) == 1).select(fp, salt, F.col("_rk_n").alias("_n"))
+    numbered = d.withColumn(rn, F.row_number().over(group.orderBy(fp)))
+    # Group sizes by a hash aggregate: with the input partition as salt, the
+    # map-side partial aggregate already holds the whole count of a (fp, salt)
+    # group, so only one narrow row per group and split is shuffled (no sort,
+    # no per-row exchange, however hot the row).
+    sizes = d.groupBy(fp, salt).agg(F.count(F.lit(1)).alias("_n"))
     offsets = (
         sizes.withColumn("_nsalts", F.count(F.lit(1)).over(Window.partitionBy(fp)))
         .where(F.col("_nsalts") > 1)
@@ -194,14 +195,14 @@ def with_row_key(
         )
         .select(fp, salt, F.coalesce(F.col(off), F.lit(0)).alias(off))
     )
-    keyed = d.join(offsets, [fp, salt], "left").withColumn(
+    keyed = numbered.join(offsets, [fp, salt], "left").withColumn(
         key_col,
         F.concat(
             F.col(fp), F.lit("-"),
             (F.col(rn) + F.coalesce(F.col(off), F.lit(0))).cast("string"),
         ),
     )
-    return keyed.drop(fp, salt, rn, off, "_rk_n")
+    return keyed.drop(fp, salt, rn, off)
 
 
 def is_unique(df: DataFrame, column: str) -> bool:

@@ -26,7 +26,9 @@ SLUG_COLUMN = "category_slug"
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for stage tables: ``spark.checkpoint.dir`` of the session.
 
-    Only when it is unset (local tests) a folder is made and set.
+    Only when it is unset and the master is local (tests, single machine) a
+    folder is made and set. On a cluster a machine-local folder would be
+    invisible to the other executors, so an unset directory is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -35,6 +37,12 @@ def stage_root(spark: SparkSession) -> str:
         except Exception:  # no context in a remote session
             root = None
     if not root:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a shared folder (e.g. on the "
+                "cluster file system) for stage tables"
+            )
         root = tempfile.mkdtemp(prefix="replysift-stage-")
         spark.conf.set("spark.checkpoint.dir", root)
         try:

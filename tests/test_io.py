@@ -93,3 +93,33 @@ def test_stage_reads_back(spark):
     st = stage(df, "unit")
     assert sorted(map(tuple, st.collect())) == sorted(map(tuple, df.collect()))
     assert "FileScan parquet" in st._jdf.queryExecution().executedPlan().toString()
+
+
+class _StubConf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+class _StubContext:
+    def getCheckpointDir(self):
+        return None
+
+
+class _StubSession:
+    def __init__(self, values):
+        self.conf = _StubConf(values)
+        self.sparkContext = _StubContext()
+
+
+def test_stage_root_needs_shared_folder_on_a_cluster():
+    from replysift.sources.sinks import stage_root
+
+    assert stage_root(_StubSession({"spark.checkpoint.dir": "hdfs://nn/ckpt/"})) == "hdfs://nn/ckpt"
+    with pytest.raises(RuntimeError):
+        stage_root(_StubSession({"spark.master": "yarn"}))
