@@ -430,6 +430,11 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT *, lower(replace(\"LLM_Classification\", ' ', '_')) AS category_slug FROM cls "
         f'WHERE "LLM_Classification" IN {CATS}'
     ),
+    "classify_csv_listing": with_ev("SELECT * FROM cls"),
+    "export_positions": with_ev(
+        'SELECT row_key, "Is_Valid", "LLM_Classification", '
+        'CAST(row_number() OVER (ORDER BY "Is_Valid" DESC, row_key) - 1 AS BIGINT) AS row_pos FROM cls'
+    ),
     "stream_classify": with_ev("SELECT * FROM cls"),
     "stream_category_counts": with_ev(
         f'SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n {_CLS_VALID} '

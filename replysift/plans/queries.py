@@ -21,7 +21,9 @@ from ..operators.classify import classify, validate, validity_counts
 from ..operators.model_batch import batch_rows, build_prompts, classify_with_model
 from ..operators.summary import summary_text
 from ..sources import derived as dv
-from ..sources.listing import listing_profile, normalise_null_tokens, preview_rows, spread, with_row_key
+from ..sources.listing import (
+    listing_profile, normalise_null_tokens, preview_rows, read_listing_csv, spread, with_row_key,
+)
 from ..sources.sinks import (
     export_by_category, new_stage_path, read_category_export, read_classified_csv, stage, write_csv,
 )
@@ -261,6 +263,20 @@ def q_export_by_category(spark, sf):
     return read_category_export(spark, path)
 
 
+def q_classify_csv_listing(spark, sf):
+    """S1-S3 end to end: the raw events listing written as CSV (quoted fields,
+    a line break inside one answer) is read back with the listing reader (all
+    strings, reader null tokens, long-row check) and classified."""
+    path = new_stage_path(spark, "listing-csv")
+    write_csv(dv.events_listing(spark, sf), path)
+    listing = read_listing_csv(spark, path)
+    return classify(with_row_key(spread(listing), id_col=C.query_id))
+
+
+def q_export_positions(spark, sf):
+    return fl.export_positions(events_classified(spark, sf)).select(ROW_KEY, IS_VALID, LABEL, "row_pos")
+
+
 def q_stratified_sample(spark, sf):
     fr = {"ALPHA-01": 0.1, "BETA-00": 0.5}
     return fl.stratified_sample(events_classified(spark, sf), C.study, fr, seed=11, default=0.25)
@@ -323,6 +339,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_classify_fake": q_model_classify_fake,
     "csv_round_trip": q_csv_round_trip,
     "export_by_category": q_export_by_category,
+    "classify_csv_listing": q_classify_csv_listing,
+    "export_positions": q_export_positions,
     "stratified_sample": q_stratified_sample,
     "stream_classify": q_stream_classify,
     "stream_category_counts": q_stream_category_counts,

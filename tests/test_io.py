@@ -123,3 +123,16 @@ def test_stage_root_needs_shared_folder_on_a_cluster():
     assert stage_root(_StubSession({"spark.checkpoint.dir": "hdfs://nn/ckpt/"})) == "hdfs://nn/ckpt"
     with pytest.raises(RuntimeError):
         stage_root(_StubSession({"spark.master": "yarn"}))
+
+
+def test_export_positions_dense_ordered_and_partition_independent(spark):
+    from replysift.operators.filters import export_positions
+
+    responses = ["done", "", "How?", "12.5", "patient", "ok", None, "fixed", "nan", "unclear"] * 7
+    df = with_row_key(classify(listing(spark, responses, ids=[f"q{i:03d}" for i in range(len(responses))])),
+                      id_col="Query ID")
+    expected = sorted(((not r["Is_Valid"], r["row_key"]) for r in df.collect()))
+    expected = {key: pos for pos, (_, key) in enumerate(expected)}
+    for parts in (1, 3):
+        got = {r["row_key"]: r["row_pos"] for r in export_positions(df, n_partitions=parts).collect()}
+        assert got == expected
