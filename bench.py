@@ -89,6 +89,7 @@ def main() -> None:
     timed("affirmative_worklist", lambda: rv.affirmative_worklist(ev, dv.events_audit(spark, sf_dir))
           .write.format("noop").mode("overwrite").save())
     timed("export_by_category", lambda: export_by_category(ev, new_stage_path(spark, "bench-export")))
+    timed("export_positions", lambda: fl.export_positions(ev).write.format("noop").mode("overwrite").save())
     timed("row_keys_lineitem", lambda: q.lineitem_keyed(spark, sf_dir).write.format("noop")
           .mode("overwrite").save())
     timed("model_classify_fake", lambda: classify_with_model(

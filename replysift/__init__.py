@@ -21,7 +21,8 @@ from .operators.analytics import (  # noqa: F401
 )
 from .operators.classify import classify, stamp_results, validate, validity_counts  # noqa: F401
 from .operators.filters import (  # noqa: F401
-    confidence_band, confused_rows, export_order, filter_options, filter_results, low_confidence,
+    confidence_band, confused_rows, export_order, export_positions, filter_options, filter_results,
+    low_confidence,
     medical_listing, review_preview, sample_listing, shown_of_total, stratified_sample,
 )
 from .operators.model_batch import (  # noqa: F401

@@ -12,7 +12,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 def main(sf: str) -> None:
     from replysift.operators import analytics as an
+    from replysift.operators import filters as fl
     from replysift.operators import review as rv
+    from replysift.operators.model_batch import classify_with_model
+    from replysift.plans.fake_model import keyword_model_factory
     from replysift.operators.classify import classify
     from replysift.plans import queries as q
     from replysift.session import local_session
@@ -31,7 +34,12 @@ def main(sf: str) -> None:
         "top_confused_items (take-ordered top-k)": an.top_items(ev, q.C, "Confused", 10),
         "apply_corrections (max_by dedupe, equi left join on row_key; AQE picks the join)":
             rv.apply_corrections(ev, dv.events_corrections(spark, sf)),
-        "row keys for a listing with repeated rows (salted ordinals)": q.lineitem_keyed(spark, sf),
+        "row keys for a listing with repeated rows (salted ordinals; group sizes by partial aggregate)":
+            q.lineitem_keyed(spark, sf),
+        "model path (hashed buckets, prompts per batch, replies staged, per-position fallback, key join)":
+            classify_with_model(q.events_keyed(spark, sf), keyword_model_factory(), q.C, q.MODEL_BATCH),
+        "export positions (range partitions checkpointed once, local index + broadcast per-partition offsets)":
+            fl.export_positions(ev),
     }
     for title, df in shown.items():
         print("=" * 100)
