@@ -31,3 +31,41 @@ def test_id_key_and_uniqueness_check(spark):
     assert not is_unique(df, "id")
     assert is_unique(df.distinct(), "id")
     assert with_row_key(df, id_col="id").select(F.col("row_key")).count() == 3
+
+
+def test_property_keys_and_export_positions(spark):
+    """Random listings with many exact copies, random partition and salt counts:
+    keys equal plain per-fingerprint numbering, and export positions are the
+    dense 0..n-1 ranks of (valid first, row key)."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from replysift.operators.classify import classify
+    from replysift.operators.filters import export_positions
+
+    answer = st.sampled_from(["done", "", "How?", "12.5", "patient", None, " N/A"])
+    item = st.sampled_from(["A", "B", None])
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(item, answer), min_size=1, max_size=60), st.integers(1, 7),
+           st.integers(1, 5), st.integers(1, 4))
+    def check(rows, parts, salts, out_parts):
+        df = spark.createDataFrame(rows, "`CRF Item` string, `Site Response` string").repartition(parts)
+        keyed = with_row_key(df, salts=salts)
+        got = keyed.collect()
+        keys = [r.row_key for r in got]
+        assert len(set(keys)) == len(rows)
+        seen, expected = {}, []
+        for a, b in rows:
+            h = hashlib.sha256("\x1f".join(("N" if v is None else "V" + v) for v in (a, b)).encode()).hexdigest()
+            seen[h] = seen.get(h, 0) + 1
+            expected.append(f"{h}-{seen[h]}")
+        assert sorted(keys) == sorted(expected)
+
+        classified = classify(spark.createDataFrame(got, keyed.schema))
+        pos = {r.row_key: (r.row_pos, r.Is_Valid) for r in export_positions(classified, n_partitions=out_parts)
+               .collect()}
+        order = sorted(pos, key=lambda k: (not pos[k][1], k))
+        assert [pos[k][0] for k in order] == list(range(len(rows)))
+
+    check()
