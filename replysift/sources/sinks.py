@@ -44,11 +44,16 @@ def stage_root(spark: SparkSession) -> str:
                 "cluster file system) for stage tables"
             )
         root = tempfile.mkdtemp(prefix="replysift-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # spark.checkpoint.dir is a static setting (cannot be changed at run
+        # time in Spark 4); the context's checkpoint folder is what later
+        # calls and DataFrame.checkpoint() read.
         try:
             spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            pass
+        except Exception:  # remote session: keep it in the session conf if allowed
+            try:
+                spark.conf.set("spark.checkpoint.dir", root)
+            except Exception:
+                pass
     return root.rstrip("/")
 
 

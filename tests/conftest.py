@@ -23,10 +23,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="replysift-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        # a static setting: only the context's folder can be set at run time
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="replysift-test-ckpt-"))
     yield s
 
 
