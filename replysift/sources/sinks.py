@@ -48,7 +48,11 @@ def stage_root(spark: SparkSession) -> str:
         # time in Spark 4); the context's checkpoint folder is what later
         # calls and DataFrame.checkpoint() read.
         try:
-            spark.sparkContext.setCheckpointDir(root)
+            sc = spark.sparkContext
+            sc.setCheckpointDir(root)
+            # later calls read the folder back from the context (Spark adds a
+            # sub-folder per context): use that one from the first call on
+            root = sc.getCheckpointDir() or root
         except Exception:  # remote session: keep it in the session conf if allowed
             try:
                 spark.conf.set("spark.checkpoint.dir", root)
