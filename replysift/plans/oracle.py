@@ -149,6 +149,7 @@ cls AS (SELECT * EXCLUDE ({", ".join(f"_n{i}" for i in range(k))}),
 
 EV = classified_sql(events_listing_sql())
 DOC = classified_sql(documents_listing_sql())
+LI = classified_sql(lineitem_listing_sql())
 OUT = '"Is_Valid", "LLM_Classification", "Confidence", "Reasoning", "Human_Reviewed"'
 
 
@@ -338,6 +339,11 @@ ORACLE_SQL: dict[str, str] = {
         + ", ".join(f'CAST(count_if("LLM_Classification" = {lit(c)}) AS BIGINT) AS "{c}"' for c in CATEGORIES)
         + f' {_CLS_VALID} AND "Study Alias" IS NOT NULL AND "LLM_Classification" IS NOT NULL GROUP BY 1'
     ),
+    "study_category_pivot_lineitem": f"WITH {LI} "
+    + 'SELECT "Study Alias" AS study, '
+    + ", ".join(f'CAST(count_if("LLM_Classification" = {lit(c)}) AS BIGINT) AS "{c}"' for c in CATEGORIES)
+    + f' {_CLS_VALID} AND "Study Alias" IS NOT NULL AND "LLM_Classification" IS NOT NULL GROUP BY 1',
+    "confidence_histogram_lineitem": f"WITH {LI}, {histogram_sql()} {HIST_SELECT}",
     "study_category_counts": with_ev(
         f'SELECT "Study Alias" AS study, "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n '
         f'{_CLS_VALID} AND "Study Alias" IS NOT NULL AND "LLM_Classification" IS NOT NULL GROUP BY 1, 2'

@@ -166,6 +166,21 @@ def q_study_category_pivot(spark, sf):
     return an.study_category_pivot(events_classified(spark, sf))
 
 
+def lineitem_classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Classified lineitem listing as a stage table. Its study (return flag)
+    has three values, one of them holding about half of all rows: a hot group
+    key for the aggregates below."""
+    return stage(classify(lineitem_keyed(spark, sf)), "lineitem-classified", partition_by=[LABEL])
+
+
+def q_study_category_pivot_lineitem(spark, sf):
+    return an.study_category_pivot(lineitem_classified(spark, sf))
+
+
+def q_confidence_histogram_lineitem(spark, sf):
+    return an.confidence_histogram(lineitem_classified(spark, sf))
+
+
 def q_study_category_counts(spark, sf):
     return an.study_category_counts(events_classified(spark, sf))
 
@@ -319,6 +334,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confidence_histogram_documents": q_confidence_histogram_documents,
     "study_category_pivot": q_study_category_pivot,
     "study_category_counts": q_study_category_counts,
+    "study_category_pivot_lineitem": q_study_category_pivot_lineitem,
+    "confidence_histogram_lineitem": q_confidence_histogram_lineitem,
     "medical_listing": q_medical_listing,
     "filtered_rows": q_filtered_rows,
     "filtered_rows_low": q_filtered_rows_low,
