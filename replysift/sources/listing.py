@@ -42,9 +42,15 @@ def read_listing_csv(
     """Read a CSV listing, all columns as strings, null tokens applied.
 
     Short rows are padded with null (kept). Rows with more fields than the
-    header are an error (``on_long_rows="raise"``, one extra pass) or kept cut
-    (``"keep"``).
+    header are an error or kept cut (``"keep"``). ``"raise"`` checks at once,
+    with one extra parse of the input. ``"raise_on_read"`` needs no extra
+    pass: every column carries the check (``raise_error``), so the first job
+    that reads any value of a long row fails. Column pruning cannot drop the
+    check, but a job that reads no column at all (a bare ``count()``) does not
+    run it. Use it for large inputs that are classified or staged anyway.
     """
+    if on_long_rows not in ("raise", "raise_on_read", "keep"):
+        raise ValueError(f"unknown on_long_rows {on_long_rows!r}")
     header = csv_reader(spark, multiline).csv(path).columns
     if not header:
         raise ValueError(f"{path}: no header row")
@@ -71,6 +77,14 @@ def read_listing_csv(
         )
         if n_long:
             raise ValueError(f"{path}: a row has more fields than the header")
+    if on_long_rows == "raise_on_read":
+        last = F.col(f"`{header[-1]}`")
+        long_row = F.col(CORRUPT_COLUMN).isNotNull() & last.isNotNull()
+        fail = F.raise_error(F.lit(f"{path}: a row has more fields than the header"))
+        raw = raw.select(*[
+            F.when(long_row, fail).otherwise(F.col(f"`{c}`")).alias(c) for c in header
+        ])
+        return normalise_null_tokens(raw, na_tokens)
     return normalise_null_tokens(raw.drop(CORRUPT_COLUMN), na_tokens)
 
 

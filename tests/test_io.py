@@ -136,3 +136,15 @@ def test_export_positions_dense_ordered_and_partition_independent(spark):
     for parts in (1, 3):
         got = {r["row_key"]: r["row_pos"] for r in export_positions(df, n_partitions=parts).collect()}
         assert got == expected
+
+
+def test_long_row_raises_on_read_without_extra_pass(spark, tmp_dir):
+    p = write(tmp_dir, "long2.csv", "a,b,c\n1,2,3\n4,5,6,7\n")
+    lazy = read_listing_csv(spark, p, on_long_rows="raise_on_read")   # no job yet
+    with pytest.raises(Exception, match="more fields than the header"):
+        lazy.select("a").collect()                                     # pruned read still checks
+    ok = read_listing_csv(spark, write(tmp_dir, "ok.csv", CSV), on_long_rows="raise_on_read")
+    eager = read_listing_csv(spark, write(tmp_dir, "ok2.csv", CSV))
+    assert sorted(map(tuple, ok.collect())) == sorted(map(tuple, eager.collect()))
+    with pytest.raises(ValueError):
+        read_listing_csv(spark, p, on_long_rows="never")
