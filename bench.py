@@ -22,7 +22,10 @@ def main() -> None:
 
     from replysift.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="replysift-bench")
+    # optional: Spark's event log in a scratch folder, for per-stage times
+    # (python tools/stage_times.py <dir>); stdout stays one JSON line
+    spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="replysift-bench",
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR"))
 
     from replysift.operators import analytics as an
     from replysift.operators import filters as fl
@@ -50,6 +53,7 @@ def main() -> None:
     rows: dict[str, int] = {}
 
     def timed(name, fn):
+        spark.sparkContext.setJobGroup(name, name)   # names the jobs in the event log
         t = time.perf_counter()
         out = fn()
         times[name] = round(time.perf_counter() - t, 3)
@@ -105,7 +109,7 @@ def main() -> None:
     timed("row_keys_lineitem", lambda: q.lineitem_keyed(spark, sf_dir).write.format("noop")
           .mode("overwrite").save())
     timed("model_classify_fake", lambda: classify_with_model(
-        q.events_keyed(spark, sf_dir), keyword_model_factory(), C, q.MODEL_BATCH, 2 * cpus
+        q.events_keyed(spark, sf_dir), keyword_model_factory(), C, q.MODEL_BATCH
     ).write.format("noop").mode("overwrite").save())
 
     for name, df in (("events", ev), ("lineitem", li), ("documents", docs), ("conversations", conv)):

@@ -7,9 +7,10 @@ that returns ``call(prompt: str) -> str | None``. It is built once per task
 Plan:
 
 1. M1  valid rows get ``bucket = pmod(hash(row_key), n_buckets)``; inside a
-       bucket ``row_number`` by row key gives ``batch`` and ``pos``. One shuffle;
-       buckets are uniform because the key is hashed (a hot study or item
-       cannot make one bucket heavy).
+       bucket ``row_number`` by row key gives ``batch`` and ``pos``. One shuffle
+       (a fixed number of partitions, several buckets each); buckets are
+       uniform because the key is hashed (a hot study or item cannot make one
+       bucket heavy).
 2. M2/M3  one prompt per (bucket, batch): ``collect_list`` of at most
        ``batch_size`` lines, sorted by position. The grouping reuses the
        bucket partitioning: no second shuffle.
@@ -70,6 +71,9 @@ def batch_rows(
 
     ``bucket_by`` (an integral column) replaces the hash by plain arithmetic,
     which other engines can reproduce. The last batch of a bucket may be short.
+    ``n_buckets`` defaults to 8 per shuffle partition: buckets are hashed onto
+    partitions, and with one bucket per partition about a third of the
+    partitions would get none (and others two or more).
     """
     lo, hi = BATCH_SIZE_RANGE
     if not lo <= batch_size <= hi:
@@ -77,7 +81,8 @@ def batch_rows(
     if ROW_KEY not in validated.columns:
         raise ValueError("add a row key first (sources.listing.with_row_key)")
     spark = validated.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_buckets or 8 * n_parts
     key = F.col(ROW_KEY)
     if bucket_by is None:
         bucket = F.pmod(F.xxhash64(key), F.lit(n))
@@ -88,6 +93,11 @@ def batch_rows(
         key, bucket.cast("long").alias("bucket"),
         model_text(item).alias("_item"), model_text(F.col(f"`{cols.response}`")).alias("_resp"),
     )
+    # A fixed-number hash repartition on the bucket takes the place of the
+    # window's own exchange (no extra shuffle), and adaptive execution keeps
+    # its partitions: the prompt table is small in bytes, so a coalesced
+    # shuffle would put every model call of the job into one serial task.
+    v = v.repartition(n_parts, "bucket")
     rn = F.row_number().over(Window.partitionBy("bucket").orderBy(ROW_KEY)) - 1
     v = v.withColumn("_rn", rn)
     pos = F.pmod(F.col("_rn"), F.lit(batch_size))

@@ -12,11 +12,16 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | None = None, shuffle_partitions: int | None = None,
-                  app: str = "replysift") -> SparkSession:
+                  app: str = "replysift", event_log_dir: str | None = None) -> SparkSession:
+    """``event_log_dir`` writes Spark's event log there (stage and task times
+    without the web UI; read it with ``tools/stage_times.py``)."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
     parts = shuffle_partitions or cores
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -110,3 +110,26 @@ def test_classify_with_model_keeps_every_row(spark):
     ok = [r for r in rows if r.LLM_Classification == "Affirmative"]
     assert len(ok) >= 30 and all(r.Reasoning == "ok" for r in ok)
     assert F is not None
+
+
+def partition_reporting_factory():
+    def call(prompt):
+        from pyspark import TaskContext
+
+        pid = str(TaskContext.get().partitionId())
+        return json.dumps([obj("Affirmative", 0.9, pid) for _ in prompt_answers(prompt)])
+    return call
+
+
+def test_model_calls_keep_bucket_parallelism(spark):
+    # a small listing: adaptive execution would coalesce its shuffle into one
+    # partition, serialising every model call; the buckets must stay separate
+    out = classify_with_model(keyed(spark, [f"answer {i}" for i in range(200)]), partition_reporting_factory,
+                              batch_size=5, n_buckets=4, persist_replies=False)
+    pids = {r.Reasoning for r in out.select("Reasoning").collect()}
+    assert len(pids) > 1
+    # default bucket count: several buckets per partition, so every partition calls
+    out = classify_with_model(keyed(spark, [f"answer {i}" for i in range(400)]), partition_reporting_factory,
+                              batch_size=5, persist_replies=False)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r.Reasoning for r in out.select("Reasoning").collect()}) == n_parts
