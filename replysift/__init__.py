@@ -23,7 +23,7 @@ from .operators.classify import classify, stamp_results, validate, validity_coun
 from .operators.filters import (  # noqa: F401
     confidence_band, confused_rows, export_order, export_positions, filter_options, filter_results,
     low_confidence,
-    medical_listing, review_preview, sample_listing, shown_of_total, stratified_sample,
+    key_sample, medical_listing, review_preview, sample_listing, shown_of_total, stratified_sample,
 )
 from .operators.model_batch import (  # noqa: F401
     batch_rows, build_prompts, call_model, classify_with_model, match_results, parse_reply,

@@ -165,15 +165,33 @@ def sample_listing(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
+def _stratum_fraction(strata_col: str | None, fractions: dict[str, float] | None, default: float) -> Column:
+    """The fraction of a row's stratum from a literal map (no job to collect strata)."""
+    if strata_col and fractions:
+        m = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
+        return F.coalesce(F.try_element_at(m, F.col(strata_col)), F.lit(float(default)))
+    return F.lit(float(default))
+
+
 def stratified_sample(
     df: DataFrame, strata_col: str, fractions: dict[str, float], seed: int = 7, default: float = 0.0
 ) -> DataFrame:
     """Per-stratum fractions (e.g. by study) without collecting the strata:
     the fraction is looked up in a literal map and compared with a seeded
     uniform draw."""
-    if fractions:
-        m = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
-        frac = F.coalesce(F.try_element_at(m, F.col(strata_col)), F.lit(float(default)))
-    else:
-        frac = F.lit(float(default))
-    return df.where(F.rand(seed) < frac)
+    return df.where(F.rand(seed) < _stratum_fraction(strata_col, fractions, default))
+
+
+def key_sample(
+    df: DataFrame, fraction: float = 0.0, strata_col: str | None = None,
+    fractions: dict[str, float] | None = None, seed: int = 7, key: str = ROW_KEY,
+) -> DataFrame:
+    """D6, reproducible: a row is kept when the first 32 bits of
+    ``md5("<seed>|<key>")``, read as a number in [0, 2^32), fall below its
+    stratum's fraction times 2^32. The draw depends on the row key only, so
+    the sample is the same for any partitioning, on a retried task and in
+    another engine; ``stratified_sample``'s ``rand`` draw depends on the
+    partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").cast("double")
+    return df.where(draw < _stratum_fraction(strata_col, fractions, fraction) * F.lit(4294967296.0))

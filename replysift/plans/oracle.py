@@ -441,6 +441,13 @@ ORACLE_SQL: dict[str, str] = {
         'SELECT row_key, "Is_Valid", "LLM_Classification", '
         'CAST(row_number() OVER (ORDER BY "Is_Valid" DESC, row_key) - 1 AS BIGINT) AS row_pos FROM cls'
     ),
+    "stratified_key_sample": with_ev(
+        """SELECT * FROM cls
+           WHERE CAST(CAST(('0x' || substr(md5('11|' || row_key), 1, 8)) AS BIGINT) AS DOUBLE)
+                 < (CASE "Study Alias" WHEN 'ALPHA-01' THEN CAST(0.1 AS DOUBLE)
+                      WHEN 'BETA-00' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END)
+                   * CAST(4294967296.0 AS DOUBLE)"""
+    ),
     "stream_classify": with_ev("SELECT * FROM cls"),
     "stream_category_counts": with_ev(
         f'SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n {_CLS_VALID} '

@@ -297,6 +297,11 @@ def q_stratified_sample(spark, sf):
     return fl.stratified_sample(events_classified(spark, sf), C.study, fr, seed=11, default=0.25)
 
 
+def q_stratified_key_sample(spark, sf):
+    fr = {"ALPHA-01": 0.1, "BETA-00": 0.5}
+    return fl.key_sample(events_classified(spark, sf), 0.25, C.study, fr, seed=11)
+
+
 def _events_stream(spark, sf):
     schema = dv.table(spark, sf, "events").schema
     ev = st.read_parquet_stream(spark, sf, schema, glob="events.parquet")
@@ -359,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_csv_listing": q_classify_csv_listing,
     "export_positions": q_export_positions,
     "stratified_sample": q_stratified_sample,
+    "stratified_key_sample": q_stratified_key_sample,
     "stream_classify": q_stream_classify,
     "stream_category_counts": q_stream_category_counts,
 }

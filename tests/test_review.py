@@ -79,3 +79,20 @@ def test_worklist_with_audit(spark):
     audit = spark.createDataFrame([("1", 1), ("1", 2), ("9", 3)], "`Query ID` string, n int")
     w = rv.affirmative_worklist(df(spark), audit).collect()
     assert len(w) == 1 and w[0].has_audit_change is True and w[0].n_audit_changes == 2
+
+
+def test_key_sample_is_partition_independent_and_per_stratum(spark):
+    from conftest import listing
+    from replysift.operators.filters import key_sample
+    from replysift.sources.listing import with_row_key
+
+    n = 4000
+    df = with_row_key(listing(spark, ["done"] * n, extra={"Study Alias": ["A" if i % 2 else "B" for i in range(n)]}),
+                      id_col="Query ID")
+    one = {r.row_key for r in key_sample(df.repartition(1), 0.0, "Study Alias", {"A": 0.1, "B": 0.5}, 3).collect()}
+    many = {r.row_key for r in key_sample(df.repartition(7), 0.0, "Study Alias", {"A": 0.1, "B": 0.5}, 3).collect()}
+    assert one == many
+    a = sum(1 for k in one if int(k) % 2)
+    b = len(one) - a
+    assert 120 < a < 280 and 850 < b < 1150          # about 10 % of 2000 and 50 % of 2000
+    assert key_sample(df, 1.0).count() == n and key_sample(df, 0.0).count() == 0
