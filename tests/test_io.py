@@ -148,3 +148,10 @@ def test_long_row_raises_on_read_without_extra_pass(spark, tmp_dir):
     assert sorted(map(tuple, ok.collect())) == sorted(map(tuple, eager.collect()))
     with pytest.raises(ValueError):
         read_listing_csv(spark, p, on_long_rows="never")
+
+
+def test_raise_on_read_fails_the_classify_job(spark, tmp_dir):
+    bad = CSV + '7,ST-3,BP,done,extra field\n'
+    listing_df = read_listing_csv(spark, write(tmp_dir, "bad.csv", bad), on_long_rows="raise_on_read")
+    with pytest.raises(Exception, match="more fields than the header"):
+        classify(listing_df).select("LLM_Classification").collect()
