@@ -449,6 +449,7 @@ ORACLE_SQL: dict[str, str] = {
                    * CAST(4294967296.0 AS DOUBLE)"""
     ),
     "stream_classify": with_ev("SELECT * FROM cls"),
+    "stream_apply_corrections": with_ev("SELECT * FROM applied", f"{CORR}, {APPLIED}"),
     "stream_category_counts": with_ev(
         f'SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n {_CLS_VALID} '
         'AND "LLM_Classification" IS NOT NULL GROUP BY 1'

@@ -312,6 +312,14 @@ def q_stream_classify(spark, sf):
     return st.run_to_table(spark, st.classify_stream(_events_stream(spark, sf)))
 
 
+def q_stream_apply_corrections(spark, sf):
+    """R3 on a stream: the classified event stream left-joined with the static
+    corrections table (a stream-static join, no state), run to a table."""
+    classified = st.classify_stream(_events_stream(spark, sf))
+    fixed = rv.apply_corrections(classified, dv.events_corrections(spark, sf))
+    return st.run_to_table(spark, fixed, "stream-corrected")
+
+
 def q_stream_category_counts(spark, sf):
     return st.run_counts_to_table(spark, st.classify_stream(_events_stream(spark, sf)))
 
@@ -367,4 +375,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratified_key_sample": q_stratified_key_sample,
     "stream_classify": q_stream_classify,
     "stream_category_counts": q_stream_category_counts,
+    "stream_apply_corrections": q_stream_apply_corrections,
 }
