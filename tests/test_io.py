@@ -155,3 +155,30 @@ def test_raise_on_read_fails_the_classify_job(spark, tmp_dir):
     listing_df = read_listing_csv(spark, write(tmp_dir, "bad.csv", bad), on_long_rows="raise_on_read")
     with pytest.raises(Exception, match="more fields than the header"):
         classify(listing_df).select("LLM_Classification").collect()
+
+
+class _StaticConf(_StubConf):
+    def set(self, key, value):  # Spark 4: spark.checkpoint.dir cannot change at run time
+        raise RuntimeError("CANNOT_MODIFY_CONFIG")
+
+
+class _RecordingContext:
+    def __init__(self):
+        self.dir = None
+
+    def getCheckpointDir(self):
+        return self.dir
+
+    def setCheckpointDir(self, d):
+        self.dir = "file:" + d + "/ctx"
+
+
+def test_stage_root_local_fallback_sets_only_the_context_folder():
+    from replysift.sources.sinks import stage_root
+
+    s = _StubSession({"spark.master": "local[2]"})
+    s.conf = _StaticConf({"spark.master": "local[2]"})
+    s.sparkContext = _RecordingContext()
+    first = stage_root(s)
+    assert first == s.sparkContext.dir and first.startswith("file:")
+    assert stage_root(s) == first          # later calls keep the same root
