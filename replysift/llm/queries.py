@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .gbt_quality import q_gbt_quality
 from .line_dedup import q_line_dedup
+from .mixing import q_mixing
+from .quality_rules import q_quality_rules
 from .token_records import q_token_records
+from .winnow import q_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": q_mixing,
+    "op3_gbt_quality": q_gbt_quality,
     "op4_token_records": q_token_records,
+    "op7_quality_rules": q_quality_rules,
     "op9_line_dedup": q_line_dedup,
+    "op10_winnow": q_winnow,
 }
