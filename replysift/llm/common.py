@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +43,22 @@ def fold_of(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
-def text_slices(column: pa.Array) -> Iterator[list[bytes]]:
-    """The texts of a batch as UTF-8 bytes (null: empty), in slices of bounded size."""
-    column = column.cast(pa.large_binary())
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of a string or binary column of about ``most`` bytes at most."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(column):
-        base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, "right")))
-        yield [t or b"" for t in column.slice(start, end - start).to_pylist()]
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield start, end - start
         start = end
-    if not len(column):
-        yield []
+
+
+def text_slices(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch as UTF-8 bytes (null: empty), in slices of bounded size."""
+    column = column.cast(pa.large_binary())
+    for start, size in slices(column):
+        yield [t or b"" for t in column.slice(start, size).to_pylist()]
 
 
 def map_texts(df: DataFrame, fields: str, fn: Callable, text_col: str = "text",
@@ -66,7 +71,7 @@ def map_texts(df: DataFrame, fields: str, fn: Callable, text_col: str = "text",
     is set up once for each task by a ``fn`` that has a ``setup`` method.
     """
     ship_package(df.sparkSession)
-    from pyspark.sql.types import StructType, StringType  # noqa: F401
+    from pyspark.sql.types import StructType
 
     out = StructType.fromDDL(fields)
     names = [f.name for f in out]

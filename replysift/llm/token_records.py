@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe_words import PieceEncoder, byte_level_pieces
-from .common import new_stage_path, quoted, ship_package, text_slices
+from .bpe_words import ByteLevelEncoder
+from .common import new_stage_path, quoted, ship_package, slices
 
 HEAD, FOOT, PREFIX = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qBB")
 #: Records in one shard file at most, so that a reader's task holds a bounded file.
@@ -83,18 +83,18 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=PREFIX.size)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, ByteLevelEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> ByteLevelEncoder:
     """One encoder for each worker and tokenizer file."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         special = [getattr(t, "content", t) for t in tokenizer.get_added_tokens_decoder().values()]
-        dtype = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        _encoders[path] = PieceEncoder(tokenizer, byte_level_pieces, dtype, lambda t: any(s in t for s in special))
+        width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        _encoders[path] = ByteLevelEncoder(tokenizer, width, special)
     return _encoders[path]
 
 
@@ -112,14 +112,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
 
     def run(batches):
         encode = encoder(tokenizer)
-        width = int(encode.dtype[-1])
+        width = encode.width
         end = end_id.to_bytes(width, "little")
         for batch in batches:
-            ids, done = batch.column(0).to_pylist(), 0
-            for texts in text_slices(batch.column(1)):
-                out = encode([t.decode() for t in texts])
-                records = [frame(pack(i, x + end, width)) for i, x in zip(ids[done:done + len(texts)], out, strict=True)]
-                done += len(texts)
+            for start, size in slices(batch.column(1)):
+                ids, texts = batch.column(0).slice(start, size).to_pylist(), batch.column(1).slice(start, size)
+                records = [frame(pack(i, x + end, width)) for i, x in zip(ids, encode(texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["value"])
 
     records = ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
@@ -175,7 +173,9 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, path: str
     spark = docs.sparkSession
     path = path or new_stage_path(spark, "token-records")
     write_records(docs, f"{path}/shards", tokenizer, end_id, id_col, text_col)
-    with_starts(build_index(spark, f"{path}/shards")).write.parquet(f"{path}/index")
+    # stored before the starts are summed: the shard files are read once
+    build_index(spark, f"{path}/shards").write.parquet(f"{path}/records")
+    with_starts(spark.read.parquet(f"{path}/records")).write.parquet(f"{path}/index")
     return path, spark.read.parquet(f"{path}/index")
 
 
