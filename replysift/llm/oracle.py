@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express."""
 
+from .license_scan import KNOWN, SPELLINGS
+
 #: Blanks as DuckDB's trim takes them: space and \x09-\x0D.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,4 +17,27 @@ r AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM r JOIN d USING (rid)
 """
 
-ORACLE_SQL = {"op9_line_dedup": OP9}
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical lines of a text."""
+    t = f"lower(coalesce({text}, ''))"
+    t = f"regexp_replace({t}, '(?m)^[ \\t]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    for old, new in SPELLINGS:
+        t = f"replace({t}, '{old}', '{new}')"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+_KNOWN_ROWS = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)
+OP8 = f"""
+WITH known AS (SELECT md5(array_to_string({_canonical("t")}, ' ')) AS digest, min(id) AS id
+               FROM (VALUES {_KNOWN_ROWS}) v(id, t) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_canonical("text")} AS ls FROM documents),
+l AS (SELECT rid, unnest(ls) AS line FROM d),
+n AS (SELECT rid, string_agg(DISTINCT id, ',' ORDER BY id) AS notices, count(*) AS n FROM l JOIN known ON md5(line) = digest GROUP BY rid)
+SELECT doc_id, known.id AS license_id, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notice_lines,
+       md5(array_to_string(ls, ' ')) AS canonical_md5
+FROM d LEFT JOIN known ON md5(array_to_string(ls, ' ')) = known.digest LEFT JOIN n USING (rid)
+"""
+
+ORACLE_SQL = {"op8_license_scan": OP8, "op9_line_dedup": OP9}

@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .gbt_quality import q_gbt_quality
+from .license_scan import q_license_scan
 from .line_dedup import q_line_dedup
 from .mixing import q_mixing
+from .partenum_join import q_partenum_join
 from .quality_rules import q_quality_rules
+from .sentencepiece_backend import q_sentencepiece
 from .token_records import q_token_records
+from .toxicity import q_toxicity
 from .winnow import q_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": q_toxicity,
     "op2_mixing": q_mixing,
     "op3_gbt_quality": q_gbt_quality,
     "op4_token_records": q_token_records,
+    "op5_partenum_join": q_partenum_join,
+    "op6_sentencepiece": q_sentencepiece,
     "op7_quality_rules": q_quality_rules,
+    "op8_license_scan": q_license_scan,
     "op9_line_dedup": q_line_dedup,
     "op10_winnow": q_winnow,
 }
