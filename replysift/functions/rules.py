@@ -1,7 +1,8 @@
 """M11(a): the native rule scorer as Catalyst expressions.
 
-One regex pass per text collects every cue of every category (cue lists are
-checked disjoint in ``RuleSet``), then each category counts its own matches.
+One regex pass per text collects every phrase of every category, the longest at
+each place, then each category counts its own; neutral phrases ("not corrected")
+are read but counted for none.
 The whole text is scanned: no prefix, no sampling.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, RuleSet
-from .text import col_of
+from .text import col_of, named
 
 # ASCII word boundary written with look-arounds: Java's ``\b`` treats any
 # Unicode letter as a word character, which would make "édone" differ from
@@ -51,7 +52,7 @@ def _trie_alternation(words) -> str:
 
 
 def cue_regex(rules: RuleSet = DEFAULT_RULES) -> str:
-    words = sorted({w for r in rules.rules for w in r.cues})
+    words = sorted(rules.phrases)
     parts = []
     if any(r.question_mark for r in rules.rules):
         parts.append("\\?")
@@ -164,7 +165,7 @@ def with_rule_score(df, text_col: str, rules: RuleSet = DEFAULT_RULES, valid: Co
     The score is one struct column (one text scan per row); with ``valid``
     given, invalid rows skip the scan.
     """
-    text = F.col(text_col)
+    text = named(text_col)
     if valid is not None:
         text = F.when(valid, text)
     s = f"{prefix}_score"

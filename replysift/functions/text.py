@@ -36,8 +36,13 @@ TRIM_PATTERN = f"\\A[{WS_CLASS}]++|(?<![{WS_CLASS}])[{WS_CLASS}]++\\z"
 ALL_DIGITS_PATTERN = f"\\A[{DG_CLASS}]+\\z"
 
 
+def named(name: str) -> Column:
+    """Column by its exact name: dots and backticks belong to the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col_of(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return named(c) if isinstance(c, str) else c
 
 
 def unicode_trim(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import named
 from ..config import (
     CATEGORIES, CONFIDENCE, CONFUSION_ALERT_RATE, DEFAULT_COLUMNS, HISTOGRAM_BINS,
     INVALID_LABEL, LABEL, LOW_CONFIDENCE_DEFAULT, TOP_ITEMS_SUMMARY, ListingColumns,
@@ -92,8 +93,8 @@ def top_items(
     Planned as partial aggregate -> exchange -> take-ordered (no full sort)."""
     return (
         valid_only(df)
-        .where((F.col(LABEL) == F.lit(label)) & F.col(cols.item).isNotNull())
-        .groupBy(F.col(cols.item).alias("item"))
+        .where((F.col(LABEL) == F.lit(label)) & named(cols.item).isNotNull())
+        .groupBy(named(cols.item).alias("item"))
         .agg(F.count(F.lit(1)).cast("long").alias("n"))
         .orderBy(F.desc("n"), F.asc("item"))
         .limit(k)
@@ -159,6 +160,7 @@ def confidence_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame
             F.col("_s.edges")[b.cast("int")].alias("hi"),
             F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
         )
+        .orderBy("bin")  # ``bins`` rows
     )
 
 
@@ -169,8 +171,8 @@ def study_category_pivot(
     null studies and labels dropped. Values are given, so no extra job to find them."""
     return (
         valid_only(df)
-        .where(F.col(cols.study).isNotNull() & F.col(LABEL).isNotNull())
-        .groupBy(F.col(cols.study).alias("study"))
+        .where(named(cols.study).isNotNull() & F.col(LABEL).isNotNull())
+        .groupBy(named(cols.study).alias("study"))
         .pivot(LABEL, list(categories))
         .agg(F.count(F.lit(1)))
         .na.fill(0, subset=list(categories))
@@ -182,8 +184,8 @@ def study_category_counts(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS)
     """A8, long form: (study, label, n)."""
     return (
         valid_only(df)
-        .where(F.col(cols.study).isNotNull() & F.col(LABEL).isNotNull())
-        .groupBy(F.col(cols.study).alias("study"), F.col(LABEL).alias("label"))
+        .where(named(cols.study).isNotNull() & F.col(LABEL).isNotNull())
+        .groupBy(named(cols.study).alias("study"), F.col(LABEL).alias("label"))
         .agg(F.count(F.lit(1)).cast("long").alias("n"))
     )
 
@@ -232,7 +234,7 @@ def confusion_alerts(
     it exceeds ``rate`` (strict). Uses grouping sets: one pass, one shuffle."""
     v = valid_only(df)
     conf = F.count_if(F.col(LABEL) == F.lit("Confused")).cast("long")
-    g = v.rollup(F.col(cols.study).alias("study")).agg(
+    g = v.rollup(named(cols.study).alias("study")).agg(
         F.count(F.lit(1)).cast("long").alias("n_valid"),
         conf.alias("n_confused"),
         F.grouping_id().alias("_gid"),
@@ -255,8 +257,8 @@ def site_confusion(
     """Per site, valid rows, confused rows and rate; sites with fewer than
     ``min_rows`` valid rows are left out."""
     g = (
-        valid_only(df).where(F.col(cols.site).isNotNull())
-        .groupBy(F.col(cols.site).alias("site"))
+        valid_only(df).where(named(cols.site).isNotNull())
+        .groupBy(named(cols.site).alias("site"))
         .agg(
             F.count(F.lit(1)).cast("long").alias("n_valid"),
             F.count_if(F.col(LABEL) == F.lit("Confused")).cast("long").alias("n_confused"),

@@ -14,6 +14,7 @@ from ..config import (
     INVALID_REASONING, IS_VALID, LABEL, REASONING, ListingColumns, RuleSet,
 )
 from ..functions.rules import with_rule_score
+from ..functions.text import named
 from ..functions.validity import is_valid_response, looks_like_gibberish
 from ..sources.listing import check_columns, check_no_output_collision
 
@@ -23,9 +24,9 @@ def validate(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS, reject_gibbe
     missing or an output column already exists."""
     check_columns(df, cols)
     check_no_output_collision(df)
-    valid = is_valid_response(F.col(cols.response))
+    valid = is_valid_response(named(cols.response))
     if reject_gibberish:
-        valid = valid & ~looks_like_gibberish(F.col(cols.response))
+        valid = valid & ~looks_like_gibberish(named(cols.response))
     return df.withColumn(IS_VALID, valid)
 
 

@@ -15,7 +15,7 @@ from ..config import (
     CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HIGH_BAND, IS_VALID, LABEL, LOW_CONFIDENCE_DEFAULT,
     MEDIUM_BAND, PREVIEW_CHARS, REASONING, ROW_KEY, ListingColumns,
 )
-from ..functions.text import preview
+from ..functions.text import named, preview
 from ..sources.sinks import stage_root
 from .analytics import valid_only
 
@@ -57,7 +57,7 @@ def results_predicate(
     item column is absent."""
     preds = [F.col(LABEL).isin(*categories), band_predicate(band)]
     if item != ALL and cols.item in df.columns:
-        preds.append(F.col(cols.item) == F.lit(item))
+        preds.append(named(cols.item) == F.lit(item))
     return reduce(lambda a, b: a & b, preds)
 
 
@@ -80,7 +80,7 @@ def shown_of_total(df: DataFrame, categories=CATEGORIES, band: str = ALL, item:
 def filter_options(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Distinct non-null items, ascending (the ``All`` choice is added by a UI)."""
     return (
-        df.select(F.col(cols.item).alias("item"))
+        df.select(named(cols.item).alias("item"))
         .where(F.col("item").isNotNull())
         .distinct()
         .orderBy("item")
@@ -108,7 +108,7 @@ def confused_rows(df: DataFrame) -> DataFrame:
 def review_preview(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS, n: int = PREVIEW_CHARS) -> DataFrame:
     """Display columns of a review row. The full answer stays in the row;
     ``preview`` is its first ``n`` characters, for display only."""
-    return df.withColumn("preview", preview(F.col(cols.response), n))
+    return df.withColumn("preview", preview(named(cols.response), n))
 
 
 def export_order(df: DataFrame, key: str = ROW_KEY) -> DataFrame:
@@ -169,7 +169,7 @@ def _stratum_fraction(strata_col: str | None, fractions: dict[str, float] | None
     """The fraction of a row's stratum from a literal map (no job to collect strata)."""
     if strata_col and fractions:
         m = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
-        return F.coalesce(F.try_element_at(m, F.col(strata_col)), F.lit(float(default)))
+        return F.coalesce(F.try_element_at(m, named(strata_col)), F.lit(float(default)))
     return F.lit(float(default))
 
 

@@ -6,11 +6,11 @@ that returns ``call(prompt: str) -> str | None``. It is built once per task
 
 Plan:
 
-1. M1  valid rows get ``bucket = pmod(hash(row_key), n_buckets)``; inside a
+1. M1  valid rows get a bucket (a hash of the row key, or a numeric id divided by
+       a fixed width, so that buckets grow in number with the table); inside a
        bucket ``row_number`` by row key gives ``batch`` and ``pos``. One shuffle
-       (a fixed number of partitions, several buckets each); buckets are
-       uniform because the key is hashed (a hot study or item cannot make one
-       bucket heavy).
+       (a fixed number of partitions, several buckets each); a hot study or item
+       cannot make one bucket heavy.
 2. M2/M3  one prompt per (bucket, batch): ``collect_list`` of at most
        ``batch_size`` lines, sorted by position. The grouping reuses the
        bucket partitioning: no second shuffle.
@@ -35,29 +35,27 @@ from ..config import (
     BATCH_SIZE_DEFAULT, BATCH_SIZE_RANGE, CATEGORIES, CATEGORY_DESCRIPTIONS, DEFAULT_COLUMNS,
     FALLBACK_CONFIDENCE, FALLBACK_LABEL, FALLBACK_REASONING, IS_VALID, ROW_KEY, ListingColumns,
 )
-from ..functions.text import model_text, unicode_trim
+from ..functions.text import model_text, named, unicode_trim
 from ..sources.sinks import stage
 from .classify import stamp_results, validate
 
+#: Width of a bucket when rows are dealt by a numeric id.
+BUCKET_ROWS = 300
 REPLY_SCHEMA = "array<struct<index:int,classification:string,confidence:string,reasoning:string>>"
 
 
-def default_instructions(categories=CATEGORIES) -> str:
-    lines = [
-        "You sort site answers to clinical data queries into categories.",
-        "Judge the answer text; the form item is context only and never decides alone.",
-        "",
-        "Categories (use exactly one name per row):",
-    ]
-    for c in categories:
-        lines.append(f"- {c}: {CATEGORY_DESCRIPTIONS.get(c, '')}".rstrip())
-    lines += [
-        "",
-        "Reply with a JSON array only, one object per row, in row order, each with",
-        '"index" (row number), "classification" (a category name),',
-        '"confidence" (number from 0 to 1) and "reasoning" (a few words).',
-    ]
-    return "\n".join(lines)
+def default_instructions(categories=CATEGORIES, descriptions=None) -> str:
+    """What the model is told before the rows. ``categories`` may be any names;
+    ``descriptions`` says what each is for (default: the standard ones)."""
+    descriptions = CATEGORY_DESCRIPTIONS if descriptions is None else descriptions
+    named_ones = "\n".join(f"  {i}. {c}" + (f" = {descriptions[c]}" if descriptions.get(c) else "") for i, c in enumerate(categories, 1))
+    return (
+        "TASK: label answers that came back for questions about collected data.\n"
+        f"LABELS:\n{named_ones}\n"
+        "INPUT: JSON Lines. \"answer\" is what you label; \"item\" only tells where it was given.\n"
+        "OUTPUT: one JSON list and nothing else, an entry for every input line in the same order, with keys "
+        "index, classification (a label as spelled above), confidence (0 to 1), reasoning (short)."
+    )
 
 
 def batch_rows(
@@ -66,11 +64,13 @@ def batch_rows(
     batch_size: int = BATCH_SIZE_DEFAULT,
     n_buckets: int | None = None,
     bucket_by: str | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """M1 + M2: ``(row_key, bucket, batch, pos, line)`` for every valid row.
 
-    ``bucket_by`` (an integral column) replaces the hash by plain arithmetic,
-    which other engines can reproduce. The last batch of a bucket may be short.
+    ``bucket_by`` (an integral column) replaces the hash: rows whose value divided by
+    ``bucket_rows`` is the same share a bucket, whatever the size of the table. The last
+    batch of a bucket may be short.
     ``n_buckets`` defaults to 8 per shuffle partition: buckets are hashed onto
     partitions, and with one bucket per partition about a third of the
     partitions would get none (and others two or more).
@@ -87,11 +87,11 @@ def batch_rows(
     if bucket_by is None:
         bucket = F.pmod(F.xxhash64(key), F.lit(n))
     else:
-        bucket = F.pmod(F.col(f"`{bucket_by}`").cast("long"), F.lit(n))
-    item = F.col(f"`{cols.item}`") if cols.item in validated.columns else None
+        bucket = F.floor(named(bucket_by).cast("long") / F.lit(bucket_rows))
+    item = named(cols.item) if cols.item in validated.columns else None
     v = validated.where(F.col(IS_VALID)).select(
         key, bucket.cast("long").alias("bucket"),
-        model_text(item).alias("_item"), model_text(F.col(f"`{cols.response}`")).alias("_resp"),
+        model_text(item).alias("_item"), model_text(named(cols.response)).alias("_resp"),
     )
     # A fixed-number hash repartition on the bucket takes the place of the
     # window's own exchange (no extra shuffle), and adaptive execution keeps
@@ -105,10 +105,8 @@ def batch_rows(
         key, "bucket",
         F.floor(F.col("_rn") / F.lit(batch_size)).cast("long").alias("batch"),
         pos.cast("long").alias("pos"),
-        F.concat(
-            F.lit("Row "), pos.cast("string"), F.lit(': item="'), F.col("_item"),
-            F.lit('" | answer="'), F.col("_resp"), F.lit('"'),
-        ).alias("line"),
+        # a JSON object: quotes and line breaks in an answer cannot end it
+        F.to_json(F.struct(F.col("_item").alias("item"), F.col("_resp").alias("answer"))).alias("line"),
     )
 
 
@@ -125,8 +123,7 @@ def build_prompts(batched: DataFrame, instructions: str | None = None) -> DataFr
         n.cast("long").alias("n_rows"),
         F.transform("_rows", lambda r: r[ROW_KEY]).alias("row_keys"),
         F.concat(
-            F.lit(instructions), F.lit("\n\nClassify each of these "), n.cast("string"),
-            F.lit(" answers. Return only a JSON array.\n\n"),
+            F.lit(instructions), F.lit("\nLINES: "), n.cast("string"), F.lit("\n"),
             F.array_join(F.transform("_rows", lambda r: r["line"]), "\n"),
         ).alias("prompt"),
     )
@@ -209,20 +206,31 @@ def classify_with_model(
     max_parallel: int | None = None,
     instructions: str | None = None,
     persist_replies: bool = True,
+    categories=CATEGORIES,
+    descriptions=None,
 ) -> DataFrame:
     """Classified listing with an external model (M1-M9). ``keyed`` must have a
-    unique ``row_key``. Invalid rows never reach the model."""
+    unique ``row_key`` (``with_row_key`` gives one). Invalid rows never reach the model.
+    ``categories`` and ``descriptions`` put own categories into the instructions."""
     validated = validate(keyed, cols)
+    if instructions is None:
+        instructions = default_instructions(categories, descriptions)
     prompts = build_prompts(batch_rows(validated, cols, batch_size, n_buckets, bucket_by), instructions)
     replies = call_model(prompts, scorer_factory, max_parallel)
     if persist_replies:
         replies = stage(replies, "model-replies")
-    results = match_results(replies)
+    return apply_results(validated, match_results(replies))
+
+
+def apply_results(validated: DataFrame, results: DataFrame) -> DataFrame:
+    """J1 + M9: results joined to their rows. A valid row without a result gets the
+    fallback stamp; a result without a reasoning or confidence keeps its nulls."""
     j = validated.join(results, ROW_KEY, "left")
+    missing = F.col("_m_label").isNull()
     out = stamp_results(
         j,
         F.coalesce(F.col("_m_label"), F.lit(FALLBACK_LABEL)),
-        F.when(F.col("_m_label").isNull(), F.lit(FALLBACK_CONFIDENCE)).otherwise(F.col("_m_conf")),
-        F.coalesce(F.col("_m_reason"), F.lit(FALLBACK_REASONING)),
+        F.when(missing, F.lit(FALLBACK_CONFIDENCE)).otherwise(F.col("_m_conf")),
+        F.when(missing, F.lit(FALLBACK_REASONING)).otherwise(F.col("_m_reason")),
     )
     return out.drop("_m_label", "_m_conf", "_m_reason")

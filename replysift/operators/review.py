@@ -16,6 +16,7 @@ from ..config import (
     FALLBACK_LABEL, HUMAN_REVIEWED, INVALID_LABEL, LABEL, LOW_CONFIDENCE_DEFAULT,
     ORIGINAL_LABEL, REASONING, REVIEW_PAGE_ROWS, ROW_KEY, ListingColumns,
 )
+from ..functions.text import named
 from .analytics import valid_only
 from .filters import low_confidence
 
@@ -43,14 +44,36 @@ def review_page(queue: DataFrame, n: int = REVIEW_PAGE_ROWS, order: str = "confi
 
 
 def latest_corrections(corrections: DataFrame, categories=CATEGORIES) -> DataFrame:
-    """One decision per row key: the label with the highest ``seq`` (``max_by``,
-    partial aggregation, so a key corrected very often is no hot spot). Labels
-    outside ``categories`` are dropped."""
-    return (
+    """One decision per row key: the label with the highest ``seq``; a null ``seq``
+    comes before all others, and of equal ones the category later in ``categories``
+    wins. Labels outside ``categories`` are dropped (see ``ignored_corrections``).
+
+    Seq and category are one number, so this is a hash aggregate with partial sums: a
+    key corrected very often is no hot spot."""
+    n = len(categories)
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("corrected_label"))
+    seq = F.coalesce(F.col("seq").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    latest = (
         corrections.where(F.col("corrected_label").isin(*categories) & F.col(ROW_KEY).isNotNull())
-        .groupBy(ROW_KEY)
-        .agg(F.max_by("corrected_label", "seq").alias("corrected_label"))
+        .select(ROW_KEY, (seq * F.lit(n).cast("decimal(10,0)") + (place - 1).cast("decimal(10,0)")).cast("decimal(38,0)").alias("_last"))
+        .groupBy(ROW_KEY).agg(F.max("_last").alias("_last"))
+    )
+    which = F.pmod(F.col("_last"), F.lit(n).cast("decimal(10,0)")).cast("int")
+    return latest.select(ROW_KEY, F.element_at(F.array(*[F.lit(c) for c in categories]), which + 1).alias("corrected_label"))
+
+
+def ignored_corrections(df: DataFrame, corrections: DataFrame, categories=CATEGORIES, key: str = ROW_KEY) -> DataFrame:
+    """Corrections that ``apply_corrections`` leaves out, with the reason: no row key, a
+    label that is no category, no such row, or a row without a valid answer."""
+    known = df.select(named(key).alias("_k"), F.col(LABEL).alias("_l"))
+    j = corrections.join(known, F.col(ROW_KEY) == F.col("_k"), "left")
+    reason = (
+        F.when(F.col(ROW_KEY).isNull(), F.lit("no row key"))
+        .when(~F.coalesce(F.col("corrected_label").isin(*categories), F.lit(False)), F.lit("unknown label"))
+        .when(F.col("_k").isNull(), F.lit("unknown row"))
+        .when(F.col("_l") == F.lit(INVALID_LABEL), F.lit("invalid answer"))
     )
+    return j.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(ROW_KEY, "corrected_label", "seq", "reason")
 
 
 def pending_corrections(page: DataFrame, proposals: DataFrame | None = None,
@@ -63,7 +86,9 @@ def pending_corrections(page: DataFrame, proposals: DataFrame | None = None,
     cur = F.col(LABEL)
     default = F.when(cur.isin(*categories), cur).otherwise(F.lit(FALLBACK_LABEL))
     if proposals is not None:
-        p = latest_corrections(proposals, categories).withColumnRenamed(ROW_KEY, key)
+        # only the page's keys are aggregated, however many proposals there are
+        own = page.select(named(key).alias(ROW_KEY)).distinct()
+        p = latest_corrections(proposals.join(own, ROW_KEY, "left_semi"), categories).withColumnRenamed(ROW_KEY, key)
         page = page.join(p, key, "left")
         chosen = F.coalesce(F.col("corrected_label"), default)
     else:
@@ -87,12 +112,16 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, keep_original: bool
         F.col(ROW_KEY).alias("_ck"), F.col("corrected_label").alias("_cl")
     )
     j = df.join(latest, F.col(key) == F.col("_ck"), "left")
-    hit = F.col("_ck").isNotNull() & ~F.col(LABEL).eqNullSafe(F.lit(INVALID_LABEL))
+    hit = F.col("_cl").isNotNull() & ~F.col(LABEL).eqNullSafe(F.lit(INVALID_LABEL))
+
+    def before(name, kind):  # a frame without the column gains it
+        return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
     cols = {
         LABEL: F.when(hit, F.col("_cl")).otherwise(F.col(LABEL)),
-        HUMAN_REVIEWED: F.when(hit, F.lit(True)).otherwise(F.col(HUMAN_REVIEWED)),
-        CONFIDENCE: F.when(hit, F.lit(CORRECTED_CONFIDENCE)).otherwise(F.col(CONFIDENCE)),
-        REASONING: F.when(hit, F.lit(CORRECTED_REASONING)).otherwise(F.col(REASONING)),
+        HUMAN_REVIEWED: F.when(hit, F.lit(True)).otherwise(before(HUMAN_REVIEWED, "boolean")),
+        CONFIDENCE: F.when(hit, F.lit(CORRECTED_CONFIDENCE)).otherwise(before(CONFIDENCE, "double")),
+        REASONING: F.when(hit, F.lit(CORRECTED_REASONING)).otherwise(before(REASONING, "string")),
     }
     if keep_original:
         prior = F.col(ORIGINAL_LABEL) if ORIGINAL_LABEL in df.columns else F.lit(None).cast("string")

@@ -10,13 +10,13 @@ fixed values: phrase list, cue words, tokens and texts.
 from __future__ import annotations
 
 from ..config import (
-    CATEGORIES, CORRECTED_REASONING, DEFAULT_RULES, EMPTY_WORDS, FALLBACK_REASONING,
+    CATEGORIES, CORRECTED_REASONING, DEFAULT_RULES, EMPTY_WORDS, FALLBACK_LABEL, FALLBACK_REASONING,
     INVALID_REASONING, NA_TOKENS, RuleSet,
 )
 from ..functions.text import DG_CLASS, WS_CLASS
 from ..operators.model_batch import default_instructions
-from ..sources.derived import ANSWER_PHRASES
-from .queries import FILTER_ITEM, MODEL_BATCH, MODEL_BUCKETS, SITE_MIN_ROWS
+from ..sources.derived import ANSWER_PHRASES, PLANTED_PHRASES
+from .queries import CUSTOM_RULES, FILTER_ITEM, MODEL_BATCH, MODEL_BUCKET_ROWS, SITE_MIN_ROWS
 
 
 def lit(s: str | None) -> str:
@@ -51,7 +51,7 @@ def events_listing_sql() -> str:
            ELSE 'BETA-0' || CAST(user_id % 5 AS VARCHAR) END AS st,
       'S' || CAST(user_id % 23 + 1000 AS VARCHAR) AS si,
       CAST(user_id AS VARCHAR) AS su,
-      CASE WHEN event_id % 53 = 0 THEN NULL ELSE event_type END AS it,
+      CASE WHEN event_id % 53 = 0 THEN NULL ELSE event_type || '-' || CAST(user_id % 7 AS VARCHAR) END AS it,
       'Please review ' || event_type || ' for subject ' || CAST(user_id AS VARCHAR) AS oq,
       ({PHRASES})[event_id % {N_PHRASES} + 1] AS re
     FROM events"""
@@ -61,17 +61,24 @@ def events_listing_sql() -> str:
     return f'SELECT *, "Query ID" AS row_key FROM (SELECT {sel} FROM ({raw}))'
 
 
+def planted_sql(text: str, number: str) -> str:
+    at = f"(({number}) * 37) % (length({text}) + 1)"
+    phrases = "[" + ", ".join(lit(p) for p in PLANTED_PHRASES) + "]"
+    return f"({text}[1:{at}] || ' ' || ({phrases})[({number}) % {len(PLANTED_PHRASES)} + 1] || ' ' || {text}[{at} + 1:])"
+
+
 def documents_listing_sql() -> str:
     cols = [("CAST(doc_id AS VARCHAR)", "Query ID"), ("lang", "Study Alias"), ("source", "Site"),
-            ("source", "CRF Item"), ("text", "Site Response")]
+            ("source", "CRF Item"), (planted_sql("text", "doc_id"), "Site Response")]
     sel = ", ".join(na(a, b) for a, b in cols)
     return f'SELECT *, "Query ID" AS row_key FROM (SELECT {sel} FROM documents)'
 
 
 def conversations_listing_sql() -> str:
-    raw = """SELECT CAST(q.conv_id AS VARCHAR) || '-' || CAST(q.turn AS VARCHAR) AS qi,
-        CAST(q.conv_id AS VARCHAR) AS su, a.role AS it, q.text AS oq, a.text AS re
-      FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+    re = planted_sql("a.text", "a.conv_id + a.turn")
+    raw = f"""SELECT CAST(q.conv_id AS VARCHAR) || '-' || CAST(q.turn AS VARCHAR) AS qi,
+        CAST(q.conv_id AS VARCHAR) AS su, a.role AS it, q.text AS oq, {re} AS re
+      FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
       WHERE q.role = 'user'"""
     cols = [("qi", "Query ID"), ("su", "Subject"), ("it", "CRF Item"), ("oq", "Original Query"),
             ("re", "Site Response")]
@@ -95,12 +102,10 @@ def lineitem_listing_sql() -> str:
 
 # ------------------------------------------------------------ classification
 
-def _cue_regex(words, question_mark: bool) -> str:
-    alts = "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
-    core = f"\\b(?:{alts})\\b" if words else ""
-    if question_mark:
-        return "\\?" + ("|" + core if core else "")
-    return core
+def _phrase_regex(rules: RuleSet) -> str:
+    """All phrases, longest first; which category one belongs to is decided by lists below."""
+    core = f"\\b(?:{'|'.join(rules.phrases)})\\b" if rules.phrases else ""
+    return "|".join(x for x in ("\\?" if any(r.question_mark for r in rules.rules) else "", core) if x)
 
 
 def classified_sql(listing: str, rules: RuleSet = DEFAULT_RULES) -> str:
@@ -110,9 +115,10 @@ def classified_sql(listing: str, rules: RuleSet = DEFAULT_RULES) -> str:
     empty = in_list(EMPTY_WORDS)
     digits = f"'\\A[{DG_CLASS}]+\\z'"
     counts = []
+    rx = _phrase_regex(rules).replace("'", "''")
     for i, r in enumerate(rules.rules):
-        rx = _cue_regex(r.cues, r.question_mark).replace("'", "''")
-        counts.append(f"len(regexp_extract_all(_tt, '{rx}')) AS _n{i}")
+        own = in_list([*r.cues, *(["?"] if r.question_mark else [])])
+        counts.append(f"len(list_filter(_found, lambda x: x IN {own})) AS _n{i}")
     k = len(rules.rules)
     total = " + ".join(f"_n{i}" for i in range(k))
     label_when, win_when = [], []
@@ -132,8 +138,8 @@ def classified_sql(listing: str, rules: RuleSet = DEFAULT_RULES) -> str:
 v AS (SELECT * EXCLUDE (_t), coalesce(NOT (_t IN {empty})
         AND NOT regexp_matches(regexp_replace(_t, '[.\\-]', '', 'g'), {digits}), false) AS "Is_Valid"
       FROM (SELECT *, lower(regexp_replace("Site Response", {trim}, '', 'g')) AS _t FROM lst)),
-sc AS (SELECT * EXCLUDE (_tt), {", ".join(counts)}
-      FROM (SELECT *, replace(lower("Site Response"), '’', '''') AS _tt FROM v)),
+sc AS (SELECT * EXCLUDE (_found), {", ".join(counts)}
+      FROM (SELECT *, regexp_extract_all(replace(lower("Site Response"), '’', ''''), '{rx}') AS _found FROM v)),
 cls AS (SELECT * EXCLUDE ({", ".join(f"_n{i}" for i in range(k))}),
       CASE WHEN NOT "Is_Valid" THEN 'INVALID' {" ".join(label_when)} ELSE {lit(rules.default_label)} END
         AS "LLM_Classification",
@@ -161,9 +167,12 @@ def with_ev(body: str, extra: str = "") -> str:
 
 CORR = f"""corr AS (SELECT CAST(event_id - event_id % 2 AS VARCHAR) AS row_key,
       ({"[" + ", ".join(lit(c) for c in CATEGORIES) + "]"})[user_id % 4 + 1] AS corrected_label,
-      CAST(event_id AS BIGINT) AS seq FROM events WHERE value > 40),
-latest AS (SELECT row_key, arg_max(corrected_label, seq) AS corrected_label FROM corr
-      WHERE corrected_label IN {CATS} AND row_key IS NOT NULL GROUP BY row_key)"""
+      CASE WHEN event_id % 7 = 0 THEN NULL WHEN (event_id - event_id % 2) % 5 = 0 THEN event_id - event_id % 2
+           ELSE event_id END AS seq FROM events WHERE value > 40),
+ranked AS (SELECT row_key, corrected_label, row_number() OVER (PARTITION BY row_key ORDER BY seq DESC NULLS LAST,
+        list_position({"[" + ", ".join(lit(c) for c in CATEGORIES) + "]"}, corrected_label) DESC) AS rn
+      FROM corr WHERE corrected_label IN {CATS} AND row_key IS NOT NULL),
+latest AS (SELECT row_key, corrected_label FROM ranked WHERE rn = 1)"""
 
 APPLIED = f"""applied AS (SELECT cls.* EXCLUDE ("LLM_Classification", "Confidence", "Reasoning", "Human_Reviewed",
         _cl, _hit),
@@ -204,34 +213,45 @@ HIST_SELECT = """SELECT CAST(e.bin AS BIGINT) AS bin, e.lo, e.hi, CAST(coalesce(
 # -------------------------------------------------------------------- model
 
 def batched_sql() -> str:
-    return f"""mv AS (SELECT row_key, CAST("Query ID" AS BIGINT) % {MODEL_BUCKETS} AS bucket,
+    return f"""mv AS (SELECT row_key, CAST("Query ID" AS BIGINT) // {MODEL_BUCKET_ROWS} AS bucket,
         coalesce("CRF Item", 'nan') AS _item, coalesce("Site Response", 'nan') AS _resp
       FROM v WHERE "Is_Valid"),
 mr AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_key) - 1 AS rn FROM mv),
-mb AS (SELECT row_key, bucket, rn // {MODEL_BATCH} AS batch, rn % {MODEL_BATCH} AS pos, _resp,
-        'Row ' || CAST(rn % {MODEL_BATCH} AS VARCHAR) || ': item="' || _item || '" | answer="' || _resp || '"' AS line
+mb AS (SELECT row_key, bucket, rn // {MODEL_BATCH} AS batch, rn % {MODEL_BATCH} AS pos,
+        CAST(to_json(struct_pack(item := _item, answer := _resp)) AS VARCHAR) AS line
       FROM mr)"""
 
 
 PROMPT_SELECT = f"""SELECT CAST(bucket AS BIGINT) AS bucket, CAST(batch AS BIGINT) AS batch,
     CAST(count(*) AS BIGINT) AS n_rows, string_agg(row_key, ',' ORDER BY pos) AS row_keys,
-    {lit(default_instructions())} || chr(10) || chr(10) || 'Classify each of these '
-      || CAST(count(*) AS VARCHAR) || ' answers. Return only a JSON array.' || chr(10) || chr(10)
+    {lit(default_instructions())} || chr(10) || 'LINES: ' || CAST(count(*) AS VARCHAR) || chr(10)
       || string_agg(line, chr(10) ORDER BY pos) AS prompt
   FROM mb GROUP BY bucket, batch"""
 
-MODEL_SELECT = f"""SELECT cls.* EXCLUDE ("LLM_Classification", "Confidence", "Reasoning", _fb),
-    CASE WHEN NOT "Is_Valid" THEN 'INVALID' WHEN _fb THEN 'Miscellaneous' ELSE "LLM_Classification" END
-      AS "LLM_Classification",
-    CASE WHEN NOT "Is_Valid" THEN NULL WHEN _fb THEN CAST(0.0 AS DOUBLE) ELSE "Confidence" END AS "Confidence",
-    CASE WHEN NOT "Is_Valid" THEN "Reasoning" WHEN _fb THEN {lit(FALLBACK_REASONING)} ELSE "Reasoning" END
+def replies_sql() -> str:
+    """What every kind of reply (event id mod 11) must give for its three rows, stated as
+    a table of results: kind, position, label, confidence, reasoning."""
+    c, a, m = ("Confused", "0.25", "seen"), ("Affirmative", "1.0", "seen"), ("Medically Related", "0.5", "seen")
+    fb = ("Miscellaneous", "0.0", FALLBACK_REASONING)
+    kinds = [
+        (c, a, m), (a, c, c), (m, fb, fb), (c, a, m), (fb, fb, fb), (fb, fb, fb), (c, m, a),
+        (("Affirmative", "0.75", "seen"), ("Affirmative", "NULL", "seen"), a), (("Confused", "0.9", None), fb, ("Another", "0.1", "seen")),
+        (fb, fb, fb), (fb, fb, fb),
+    ]
+    rows = ", ".join(f"({k}, {p}, {lit(x[0])}, CAST({x[1]} AS DOUBLE), {lit(x[2])})" for k, three in enumerate(kinds) for p, x in enumerate(three))
+    return f"""SELECT CAST(e.event_id AS VARCHAR) || '-' || CAST(r.p AS VARCHAR) AS row_key, r.l AS _m_label, r.c AS _m_conf, r.r AS _m_reason
+      FROM events e JOIN (VALUES {rows}) r(k, p, l, c, r) ON r.k = e.event_id % 11"""
+
+
+PARSED_REPLIES = replies_sql()
+
+MODEL_SELECT = f"""SELECT cls.* EXCLUDE ("LLM_Classification", "Confidence", "Reasoning"),
+    CASE WHEN NOT "Is_Valid" THEN 'INVALID' ELSE coalesce(res._m_label, {lit(FALLBACK_LABEL)}) END AS "LLM_Classification",
+    CASE WHEN NOT "Is_Valid" THEN NULL WHEN res._m_label IS NULL THEN CAST(0.0 AS DOUBLE) ELSE res._m_conf END AS "Confidence",
+    CASE WHEN NOT "Is_Valid" THEN "Reasoning" WHEN res._m_label IS NULL THEN {lit(FALLBACK_REASONING)} ELSE res._m_reason END
       AS "Reasoning"
-  FROM (SELECT cls.*, coalesce(bf.first = 'pending' OR (bf.first = 'ok' AND mb.pos = bf.n - 1), false) AS _fb
-        FROM cls LEFT JOIN mb ON cls.row_key = mb.row_key
-        LEFT JOIN bf ON mb.bucket = bf.bucket AND mb.batch = bf.batch) cls"""
-
-BF = """bf AS (SELECT bucket, batch, max(CASE WHEN pos = 0 THEN _resp END) AS first, count(*) AS n
-      FROM mb GROUP BY bucket, batch)"""
+  FROM cls LEFT JOIN res
+    ON res.row_key = CAST(CAST(cls.row_key AS BIGINT) // 3 * 3 AS VARCHAR) || '-' || CAST(CAST(cls.row_key AS BIGINT) % 3 AS VARCHAR)"""
 
 
 # -------------------------------------------------------------------- summary
@@ -268,6 +288,20 @@ SUMMARY_SELECT = """SELECT '## Classification summary' || chr(10) || chr(10)
 
 # -------------------------------------------------------------------- queries
 
+PENDING = f"""SELECT p.row_key, p."LLM_Classification" AS current_label,
+             coalesce(l.corrected_label, CASE WHEN p."LLM_Classification" IN {CATS}
+                      THEN p."LLM_Classification" ELSE 'Miscellaneous' END) AS corrected_label
+           FROM page p LEFT JOIN latest l ON p.row_key = l.row_key
+           WHERE coalesce(l.corrected_label, CASE WHEN p."LLM_Classification" IN {CATS}
+                      THEN p."LLM_Classification" ELSE 'Miscellaneous' END)
+                 IS DISTINCT FROM p."LLM_Classification\""""
+
+RAGGED_LISTING = """SELECT CAST(event_id AS VARCHAR) AS "Query ID", CAST(event_id AS VARCHAR) AS row_key,
+      CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'type, ' || event_type END AS "CRF Item",
+      CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'saved, and "done"'
+           WHEN 3 THEN 'which one?' ELSE 'pain' END AS "Site Response",
+      event_id % 5 IN (1, 3, 4) AS has_surplus FROM events"""
+
 _CLS_VALID = f"FROM cls WHERE {NOT_INVALID}"
 
 ORACLE_SQL: dict[str, str] = {
@@ -283,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
     "classify_conversations": f'WITH {classified_sql(conversations_listing_sql())} '
                               f'SELECT row_key, "Subject", "CRF Item", {OUT} FROM cls',
     "row_keys_lineitem": f"SELECT * FROM ({lineitem_listing_sql()})",
-    "listing_profile": f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(8 AS BIGINT) AS n_columns "
+    "listing_profile": f"SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(7 AS BIGINT) AS n_columns "
                        f"FROM ({events_listing_sql()})",
     "listing_preview": f"SELECT * FROM ({events_listing_sql()}) ORDER BY row_key LIMIT 10",
     "category_counts": with_ev(
@@ -378,16 +412,7 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT row_key, "LLM_Classification", "Confidence", "Site Response" {_CLS_VALID}
            ORDER BY row_key LIMIT 50"""
     ),
-    "pending_corrections": with_ev(
-        f"""SELECT p.row_key, p."LLM_Classification" AS current_label,
-             coalesce(l.corrected_label, CASE WHEN p."LLM_Classification" IN {CATS}
-                      THEN p."LLM_Classification" ELSE 'Miscellaneous' END) AS corrected_label
-           FROM page p LEFT JOIN latest l ON p.row_key = l.row_key
-           WHERE coalesce(l.corrected_label, CASE WHEN p."LLM_Classification" IN {CATS}
-                      THEN p."LLM_Classification" ELSE 'Miscellaneous' END)
-                 IS DISTINCT FROM p."LLM_Classification\"""",
-        f"{CORR}, page AS (SELECT * {_CLS_VALID} ORDER BY row_key LIMIT 50)",
-    ),
+    "pending_corrections": with_ev(PENDING, f"{CORR}, page AS (SELECT * {_CLS_VALID} ORDER BY row_key LIMIT 50)"),
     "apply_corrections": with_ev("SELECT * FROM applied", f"{CORR}, {APPLIED}"),
     "label_agreement": with_ev(
         'SELECT "Original_Classification" AS model_label, '
@@ -430,7 +455,25 @@ ORACLE_SQL: dict[str, str] = {
     "summary_bundle": with_ev("SELECT * FROM bundle", BUNDLE),
     "summary_text": with_ev(SUMMARY_SELECT, BUNDLE),
     "prompt_batches": with_ev(PROMPT_SELECT, batched_sql()),
-    "model_classify_fake": with_ev(MODEL_SELECT, f"{batched_sql()}, {BF}"),
+    "parse_replies": PARSED_REPLIES,
+    "model_results": with_ev(MODEL_SELECT, f"res AS ({PARSED_REPLIES})"),
+    "confused_rows": with_ev("SELECT * FROM cls WHERE \"LLM_Classification\" = 'Confused'"),
+    "pending_corrections_all": with_ev(PENDING, f"{CORR}, page AS (SELECT * {_CLS_VALID})"),
+    "ignored_corrections": with_ev(
+        f"""SELECT c.row_key, c.corrected_label, c.seq,
+             CASE WHEN c.row_key IS NULL THEN 'no row key' WHEN NOT coalesce(c.corrected_label IN {CATS}, false)
+                  THEN 'unknown label' WHEN k.row_key IS NULL THEN 'unknown row' ELSE 'invalid answer' END AS reason
+           FROM (SELECT CASE WHEN seq IS NULL THEN NULL WHEN seq % 9 = 0 THEN row_key || '-x' ELSE row_key END AS row_key,
+                        CASE WHEN seq % 4 = 1 THEN lower(corrected_label) ELSE corrected_label END AS corrected_label,
+                        seq FROM corr) c
+           LEFT JOIN cls k ON k.row_key = c.row_key
+           WHERE c.row_key IS NULL OR NOT coalesce(c.corrected_label IN {CATS}, false) OR k.row_key IS NULL
+              OR k."LLM_Classification" = 'INVALID'""",
+        CORR,
+    ),
+    "classify_custom_rules": f'WITH {classified_sql(documents_listing_sql(), CUSTOM_RULES)} SELECT row_key, {OUT} FROM cls',
+    "classify_ragged_csv": f'WITH {classified_sql(RAGGED_LISTING)} '
+                           f'SELECT row_key, "CRF Item", "Site Response", has_surplus, {OUT} FROM cls',
     "csv_round_trip": with_ev("SELECT * FROM cls"),
     "export_by_category": with_ev(
         f"SELECT *, lower(replace(\"LLM_Classification\", ' ', '_')) AS category_slug FROM cls "

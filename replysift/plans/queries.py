@@ -12,31 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (
-    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY,
+    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY, CueRule, RuleSet,
 )
 from ..operators import analytics as an
 from ..operators import filters as fl
 from ..operators import review as rv
 from ..operators.classify import classify, validate, validity_counts
-from ..operators.model_batch import batch_rows, build_prompts, classify_with_model
+from ..operators.model_batch import apply_results, batch_rows, build_prompts, match_results
 from ..operators.summary import summary_text
 from ..sources import derived as dv
 from ..sources.listing import (
-    listing_profile, normalise_null_tokens, preview_rows, read_listing_csv, spread, with_row_key,
+    SURPLUS_COLUMN, listing_profile, normalise_null_tokens, preview_rows, read_listing_csv, with_row_key,
 )
 from ..sources.sinks import (
     export_by_category, new_stage_path, read_category_export, read_classified_csv, stage, write_csv,
 )
 from ..streaming import stream as st
-from .fake_model import keyword_model_factory
 
 C = DEFAULT_COLUMNS
 OUT = [IS_VALID, LABEL, CONFIDENCE, REASONING, HUMAN_REVIEWED]
 
 # Fixed parameters of the registered queries.
-MODEL_BUCKETS = 8
+MODEL_BUCKET_ROWS = 300  # event ids of a bucket: more events, more buckets
 MODEL_BATCH = 15
-FILTER_ITEM = "click"
+FILTER_ITEM = "click-3"
 SITE_MIN_ROWS = 5
 
 
@@ -44,7 +43,7 @@ SITE_MIN_ROWS = 5
 
 def events_keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Events listing, reader null tokens applied, keyed by its unique query id."""
-    return with_row_key(normalise_null_tokens(spread(dv.events_listing(spark, sf))), id_col=C.query_id)
+    return with_row_key(normalise_null_tokens(dv.events_listing(spark, sf)), id_col=C.query_id)
 
 
 def events_classified(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,16 +63,15 @@ def documents_classified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return with_row_key(normalise_null_tokens(spread(dv.documents_listing(spark, sf))), id_col=C.query_id)
+    return with_row_key(normalise_null_tokens(dv.documents_listing(spark, sf)), id_col=C.query_id)
 
 
 def conversations_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    return with_row_key(normalise_null_tokens(spread(dv.conversations_listing(spark, sf))), id_col=C.query_id)
+    return with_row_key(normalise_null_tokens(dv.conversations_listing(spark, sf)), id_col=C.query_id)
 
 
 def lineitem_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    """Lineitem listing: query ids repeat, so rows are keyed by content + ordinal.
-    No ``spread`` here: keying shuffles by fingerprint, which spreads the rows."""
+    """Lineitem listing: query ids repeat, so rows are keyed by content + ordinal."""
     return with_row_key(normalise_null_tokens(dv.lineitem_listing(spark, sf)))
 
 
@@ -167,10 +165,10 @@ def q_study_category_pivot(spark, sf):
 
 
 def lineitem_classified(spark: SparkSession, sf: str) -> DataFrame:
-    """Classified lineitem listing as a stage table. Its study (return flag)
-    has three values, one of them holding about half of all rows: a hot group
-    key for the aggregates below."""
-    return stage(classify(lineitem_keyed(spark, sf)), "lineitem-classified", partition_by=[LABEL])
+    """Classified lineitem listing. Its study (return flag) has three values, one of
+    them holding about half of all rows: a hot group key for the aggregates below.
+    They read the rows once and need no row key, so there is no key and no stage."""
+    return classify(normalise_null_tokens(dv.lineitem_listing(spark, sf)))
 
 
 def q_study_category_pivot_lineitem(spark, sf):
@@ -255,15 +253,62 @@ def q_summary_text(spark, sf):
 
 def q_prompt_batches(spark, sf):
     v = validate(events_keyed(spark, sf))
-    p = build_prompts(batch_rows(v, C, MODEL_BATCH, MODEL_BUCKETS, bucket_by=C.query_id))
+    p = build_prompts(batch_rows(v, C, MODEL_BATCH, bucket_by=C.query_id, bucket_rows=MODEL_BUCKET_ROWS))
     return p.select("bucket", "batch", "n_rows", F.array_join("row_keys", ",").alias("row_keys"), "prompt")
 
 
-def q_model_classify_fake(spark, sf):
-    return classify_with_model(
-        events_keyed(spark, sf), keyword_model_factory(), C, MODEL_BATCH, MODEL_BUCKETS,
-        bucket_by=C.query_id,
-    )
+def q_parse_replies(spark, sf):
+    """M5-M9: replies of every kind, a batch of three rows for each event, parsed and matched."""
+    return match_results(dv.events_replies(spark, sf))
+
+
+def q_model_results(spark, sf):
+    """J1 + M9: the parsed replies brought to the rows of the events listing; rows whose
+    batch has no reply fall back."""
+    replies = dv.events_replies(spark, sf).where("event_id % 3 = 0").select(
+        F.array(*[(F.col("event_id") + i).cast("string") for i in range(3)]).alias("row_keys"), "reply")
+    return apply_results(validate(events_keyed(spark, sf)), match_results(replies))
+
+
+def q_confused_rows(spark, sf):
+    return fl.confused_rows(events_classified(spark, sf))
+
+
+def q_pending_corrections_all(spark, sf):
+    """R2 over the whole queue instead of one page."""
+    queue = rv.review_queue(events_classified(spark, sf), 0.70, "all")
+    return rv.pending_corrections(queue, dv.events_corrections(spark, sf))
+
+
+def q_ignored_corrections(spark, sf):
+    """Corrections left out, with the reason: ids are moved and labels spoilt for some."""
+    c = dv.events_corrections(spark, sf)
+    key = F.when(F.col("seq").isNull(), F.lit(None).cast("string")).when(F.col("seq") % 9 == 0, F.concat("row_key", F.lit("-x"))).otherwise(F.col("row_key"))
+    label = F.when(F.col("seq") % 4 == 1, F.lower("corrected_label")).otherwise(F.col("corrected_label"))
+    return rv.ignored_corrections(events_classified(spark, sf), c.select(key.alias("row_key"), label.alias("corrected_label"), "seq"))
+
+
+CUSTOM_RULES = RuleSet(
+    (CueRule("Open", ("not done", "not corrected", "unclear")), CueRule("Closed", ("done", "corrected", "resolved", "saved")),
+     CueRule("Care", ("pain", "therapy", "patient"), overriding=True)),
+    default_label="Rest",
+)
+
+
+def q_classify_custom_rules(spark, sf):
+    """An own rule set whose phrases share words."""
+    return classify(documents_keyed(spark, sf), rules=CUSTOM_RULES).select(ROW_KEY, *OUT)
+
+
+def q_classify_ragged_csv(spark, sf):
+    """S1 on a CSV with short and long rows (some with a blank last field before the
+    surplus ones, some with separators inside quotes): nothing is lost unseen."""
+    path = new_stage_path(spark, "ragged-csv")
+    # one unquoted column: the writer puts its name, the header line, into every file
+    dv.events_ragged_lines(spark, sf).write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(path)
+    listing = read_listing_csv(spark, path, on_long_rows="keep")
+    out = classify(with_row_key(listing, id_col=C.query_id))
+    return out.select(ROW_KEY, C.item, C.response, F.col(SURPLUS_COLUMN).isNotNull().alias("has_surplus"), *OUT)
 
 
 def q_csv_round_trip(spark, sf):
@@ -285,18 +330,13 @@ def q_classify_csv_listing(spark, sf):
     path = new_stage_path(spark, "listing-csv")
     write_csv(dv.events_listing(spark, sf), path)
     listing = read_listing_csv(spark, path)
-    return classify(with_row_key(spread(listing), id_col=C.query_id))
+    return classify(with_row_key(listing, id_col=C.query_id))
 
 
 def q_export_positions(spark, sf):
     return fl.export_positions(events_classified(spark, sf)).select(ROW_KEY, IS_VALID, LABEL, "row_pos")
 
 
-def q_stratified_sample(spark, sf):
-    fr = {"ALPHA-01": 0.1, "BETA-00": 0.5}
-    return fl.stratified_sample(events_classified(spark, sf), C.study, fr, seed=11, default=0.25)
-
-
 def q_stratified_key_sample(spark, sf):
     fr = {"ALPHA-01": 0.1, "BETA-00": 0.5}
     return fl.key_sample(events_classified(spark, sf), 0.25, C.study, fr, seed=11)
@@ -366,12 +406,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_bundle": q_summary_bundle,
     "summary_text": q_summary_text,
     "prompt_batches": q_prompt_batches,
-    "model_classify_fake": q_model_classify_fake,
+    "parse_replies": q_parse_replies,
+    "model_results": q_model_results,
+    "confused_rows": q_confused_rows,
+    "pending_corrections_all": q_pending_corrections_all,
+    "ignored_corrections": q_ignored_corrections,
+    "classify_custom_rules": q_classify_custom_rules,
+    "classify_ragged_csv": q_classify_ragged_csv,
     "csv_round_trip": q_csv_round_trip,
     "export_by_category": q_export_by_category,
     "classify_csv_listing": q_classify_csv_listing,
     "export_positions": q_export_positions,
-    "stratified_sample": q_stratified_sample,
     "stratified_key_sample": q_stratified_key_sample,
     "stream_classify": q_stream_classify,
     "stream_category_counts": q_stream_category_counts,

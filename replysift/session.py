@@ -44,10 +44,10 @@ _SHIPPED_ATTR = "_replysift_shipped"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``replysift`` importable in Python workers (needed by the
-    ``mapInPandas`` model step): zip the package into the stage folder and
-    ``addPyFile`` it once per context. Deployments that already ship it
-    (``--py-files``) are unaffected."""
+    """Make ``replysift`` importable in Python workers: zip the package on the driver
+    and ``addPyFile`` it once per context. Spark copies the file to every executor
+    itself, so no shared folder and no particular file system is involved.
+    Deployments that already ship it (``--py-files``) are unaffected."""
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: ship as an artifact instead
@@ -55,32 +55,19 @@ def ship_package(spark: SparkSession) -> None:
     holder = sc if sc is not None else spark
     if getattr(holder, _SHIPPED_ATTR, False):
         return
-    import hashlib
+    import tempfile
     import zipfile
 
-    from .sources.sinks import stage_root
-
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    files = []
-    for root, _dirs, names in os.walk(pkg_dir):
-        for n in sorted(names):
-            if n.endswith(".py"):
-                files.append(os.path.join(root, n))
-    digest = hashlib.sha256()
-    for f in sorted(files):
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    target = f"{stage_root(spark)}/replysift-pkg-{digest.hexdigest()[:16]}.zip"
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" not in local and not os.path.exists(local):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        tmp = f"{local}.{os.getpid()}.part"
-        with zipfile.ZipFile(tmp, "w") as z:
-            for f in sorted(files):
-                z.write(f, os.path.relpath(f, os.path.dirname(pkg_dir)))
-        os.replace(tmp, local)
+    target = os.path.join(tempfile.mkdtemp(prefix="replysift-pkg-"), "replysift.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for root, _dirs, names in os.walk(pkg_dir):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     if sc is not None:
-        sc.addPyFile(local)
+        sc.addPyFile(target)
     else:
-        spark.addArtifacts(local, pyfile=True)
+        spark.addArtifacts(target, pyfile=True)
     setattr(holder, _SHIPPED_ATTR, True)

@@ -18,33 +18,35 @@ from pyspark.sql import functions as F
 from ..config import CATEGORIES
 
 # ---------------------------------------------------------------------------
-# Answers used to build listings from tables without free text.
-# Each category, mixed signals, null, blanks, reader null tokens, numbers,
-# dates, quotes and line breaks are all present. Order matters (index = key % n).
+# Answers for listings from tables without free text, written for each value class:
+# the categories, mixed and denied cues, null, blanks, reader null tokens, numbers,
+# dates, quotes and line breaks. An answer is picked by index (key % n).
 # ---------------------------------------------------------------------------
 ANSWER_PHRASES = (
-    "Corrected as requested",
-    "Value updated in the form",
-    "done",
-    "Entry completed, thank you",
-    "fixed",
-    "Changed the start date",
-    "How should this field be answered?",
-    "We cannot open the page, it is locked",
-    "not sure which visit this refers to",
-    "Please clarify the expected value",
-    "The item is not appearing on our screen",
-    "Unable to edit, can you explain",
-    "Event is not clinically significant",
-    "Patient was hospitalized for two days",
-    "Medication prescribed by the investigator",
-    "Symptoms resolved after treatment",
-    "Pre-existing condition, no risk factors",
-    "Lab values reviewed and updated",
-    "Updated, but the reason is still unclear?",
-    "see source document",
-    "will check with the coordinator",
-    "pending",
+    "Stop date amended",
+    "resolved",
+    "Weight added for this visit",
+    "Unit removed, value saved",
+    "DONE!",
+    "Record revised and completed on site",
+    "How should a missing time be reported?",
+    "No access to that page since Monday",
+    "unsure if this is still needed",
+    "Which one of the two visits is meant",
+    "The button is greyed out for our team",
+    "Please advise",
+    "won't save, shows an error message",
+    "Mild rash on the left arm",
+    "Nausea and vomiting after the second infusion",
+    "Chronic headache since childhood",
+    "Physician judged the finding not clinically relevant",
+    "Blood pressure in range, therapy goes on",
+    "Drug stopped, entry amended",
+    "Treated in hospital; narrative added and revised",
+    "Corrected, yet unclear if the visit counts?",
+    "paper copy attached",
+    "we answer next week",
+    "n.a. for this cohort",
     "TBC",
     "ok",
     ".",
@@ -56,16 +58,18 @@ ANSWER_PHRASES = (
     "NA",
     "nan",
     "None ",
-    "12.5",
-    "2025-03-17",
-    "1/2/2025",
-    "  ",
-    "corrected and updated, entered",
-    "Dose updated; surgery done and form corrected",
-    'Reply with "quotes", a comma\nand a second line',
-    "Don’t understand — the field doesn’t allow edits",
-    "Adverse event entered, medication changed",
-    "Site says: DONE.",
+    "37.4",
+    "2019-11-05",
+    "5/11/2019",
+    "\u2003",
+    "not corrected yet",
+    "Nothing was changed, value stands as entered",
+    'Noted: "see line 4", and\na second line',
+    "Don\u2019t know \u2014 form isn\u2019t ours",
+    "Fever entered, drug dose reduced",
+    "Team says: UPDATED.",
+    "not added, not removed, but saved",
+    "pain",
 )
 
 # Listing header used for every derived listing (the usual listing headers).
@@ -88,6 +92,22 @@ def phrase_at(index: Column) -> Column:
     return F.element_at(arr, (F.pmod(index, F.lit(len(ANSWER_PHRASES))) + 1).cast("int"))
 
 
+# Put into the texts of other tables, whose invented prose has no cues.
+PLANTED_PHRASES = (
+    "the value was corrected and saved", "no access to that page", "patient with chronic pain under therapy",
+    "nothing of the kind", "added, revised, but the diagnosis stands", "which one is meant, please clarify?",
+    "not corrected yet", "symptoms of an infection, entry updated",
+)
+
+
+def planted(text: Column, number: Column) -> Column:
+    """The whole text with a phrase put in: which one and where follows from ``number``."""
+    at = F.pmod(number * F.lit(37), F.char_length(text) + 1).cast("int")
+    arr = F.array(*[F.lit(p) for p in PLANTED_PHRASES])
+    phrase = F.element_at(arr, (F.pmod(number, F.lit(len(PLANTED_PHRASES))) + 1).cast("int"))
+    return F.concat(F.left(text, at), F.lit(" "), phrase, F.lit(" "), F.substr(text, at + 1))
+
+
 def events_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_listing(table(spark, sf_dir, "events"))
 
@@ -107,7 +127,8 @@ def events_to_listing(e: DataFrame) -> DataFrame:
         F.concat(F.lit("S"), (F.pmod(uid, F.lit(23)) + 1000).cast("string")).alias(SITE),
         uid.cast("string").alias(SUBJECT),
         F.when(F.pmod(F.col("event_id"), F.lit(53)) == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("event_type")).alias(ITEM),
+        # 7 forms for each type, so that top lists have something to cut
+        .otherwise(F.concat(F.col("event_type"), F.lit("-"), F.pmod(uid, F.lit(7)).cast("string"))).alias(ITEM),
         F.concat(F.lit("Please review "), F.col("event_type"), F.lit(" for subject "),
                  uid.cast("string")).alias(ORIGINAL_QUERY),
         phrase_at(F.col("event_id")).alias(RESPONSE),
@@ -121,7 +142,7 @@ def documents_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias(STUDY),
         F.col("source").alias(SITE),
         F.col("source").alias(ITEM),
-        F.col("text").alias(RESPONSE),
+        planted(F.col("text"), F.col("doc_id")).alias(RESPONSE),
     )
 
 
@@ -137,7 +158,7 @@ def lineitem_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turn -> the next turn of the same conversation.
+    """User turn -> the next turn of the same conversation (null if there is none).
 
     An equi-join on (conv_id, turn + 1) rather than ``lead`` over a window per
     conversation: a very long conversation then spreads over many tasks.
@@ -147,8 +168,9 @@ def conversations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("q_turn"),
         F.col("text").alias(ORIGINAL_QUERY),
     )
-    a = c.select("conv_id", "turn", F.col("role").alias("a_role"), F.col("text").alias(RESPONSE))
-    j = q.join(a, ["conv_id", "turn"], "inner")
+    a = c.select("conv_id", "turn", F.col("role").alias("a_role"),
+                 planted(F.col("text"), F.col("conv_id") + F.col("turn")).alias(RESPONSE))
+    j = q.join(a, ["conv_id", "turn"], "left")  # a turn without a next one has no answer
     return j.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("q_turn").cast("string")).alias(QUERY_ID),
         F.col("conv_id").cast("string").alias(SUBJECT),
@@ -159,14 +181,17 @@ def conversations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewer decisions derived from ``events``: two events propose a label for
-    the same query (even event ids), the later ``seq`` wins."""
+    """Reviewer decisions derived from ``events``: two events propose a label for the
+    same query (even event ids); some have the same ``seq``, some none."""
     e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    even = i - F.pmod(i, F.lit(2))
+    seq = F.when(F.pmod(i, F.lit(7)) == 0, F.lit(None).cast("long")).when(F.pmod(even, F.lit(5)) == 0, even).otherwise(i)
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
     return e.where(F.col("value") > 40).select(
         (F.col("event_id") - F.pmod(F.col("event_id"), F.lit(2))).cast("string").alias("row_key"),
         F.element_at(cats, (F.pmod(F.col("user_id"), F.lit(4)) + 1).cast("int")).alias("corrected_label"),
-        F.col("event_id").cast("long").alias("seq"),
+        seq.cast("long").alias("seq"),
     )
 
 
@@ -178,3 +203,55 @@ def events_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") - F.pmod(F.col("event_id"), F.lit(3))).cast("string").alias(QUERY_ID),
         F.col("ts").alias("changed_at"),
     )
+
+
+def events_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies of every kind, one for each event, for the rows ``<id>-0`` to ``<id>-2``:
+    plain, in a Markdown fence, short, long, empty, prose only, prose around, confidence as
+    text or as a word, reasoning left out, label null or unknown, broken JSON, no reply."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    i = F.col("event_id").cast("string")
+
+    def entry(label: str, confidence: str, reasoning: str | None = "\"seen\"") -> Column:
+        tail = "" if reasoning is None else f", \"reasoning\": {reasoning}"
+        return F.concat(F.lit(f'{{"index": 7, "classification": {label}, "confidence": {confidence}{tail}, "note": '), i, F.lit("}"))
+
+    one, two, three = entry('"Confused"', "0.25"), entry('"Affirmative"', "1"), entry('"Medically Related"', "0.5")
+
+    def listed(*entries) -> Column:
+        return F.concat(F.lit("["), *[x for k, e in enumerate(entries) for x in ((F.lit(", "), e) if k else (e,))], F.lit("]"))
+
+    kinds = [
+        listed(one, two, three),
+        F.concat(F.lit("```json\n"), listed(two, one, one), F.lit("\n```")),
+        listed(three),
+        listed(one, two, three, one),
+        F.lit("[]"),
+        F.lit("I would rather not."),
+        F.concat(F.lit("Here they are:\n"), listed(one, three, two), F.lit("\nbye")),
+        listed(entry('"Affirmative"', '"0.75"'), entry('"Affirmative"', '"sure"'), two),
+        listed(entry('"Confused"', "0.9", None), entry("null", "0.9"), entry('"Another"', "0.1")),
+        F.concat(F.lit("["), one, F.lit(", {]")),
+        F.lit(None).cast("string"),
+    ]
+    which = F.pmod(F.col("event_id"), F.lit(len(kinds)))
+    reply = F.when(which == 0, kinds[0])
+    for k, text in enumerate(kinds[1:], 1):
+        reply = reply.when(which == k, text)
+    return e.select("event_id", F.array(*[F.concat(i, F.lit(f"-{k}")) for k in range(3)]).alias("row_keys"), reply.alias("reply"))
+
+
+def events_ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines of three columns (query id, item, answer) in one column named by the header
+    line. Some lines lack the answer, some have fields after it, one kind after a blank answer."""
+    e = table(spark, sf_dir, "events")
+    i, header = F.col("event_id"), f"{QUERY_ID},{ITEM},{RESPONSE}"
+    full = F.concat(i.cast("string"), F.lit(',"type, '), F.col("event_type"), F.lit('",'))
+    line = (
+        F.when(F.pmod(i, F.lit(5)) == 0, F.concat(i.cast("string"), F.lit(","), F.col("event_type")))
+        .when(F.pmod(i, F.lit(5)) == 1, F.concat(full, F.lit(",extra")))
+        .when(F.pmod(i, F.lit(5)) == 2, F.concat(full, F.lit('"saved, and ""done"""')))
+        .when(F.pmod(i, F.lit(5)) == 3, F.concat(full, F.lit("which one?,a,b")))
+        .otherwise(F.concat(full, F.lit("pain,")))
+    )
+    return e.select(line.alias(header))

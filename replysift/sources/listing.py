@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_COLUMNS, NA_TOKENS, OUTPUT_COLUMNS, PREVIEW_ROWS, ROW_KEY, ListingColumns
-from ..functions.text import null_if_token
+from ..functions.text import named, null_if_token
 
 CORRUPT_COLUMN = "_bad_record"
+SURPLUS_COLUMN = "_surplus_record"
 
 
 def csv_reader(spark: SparkSession, multiline: bool = True):
@@ -38,68 +39,81 @@ def read_listing_csv(
     na_tokens=NA_TOKENS,
     multiline: bool = True,
     on_long_rows: str = "raise",
+    partition_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Read a CSV listing, all columns as strings, null tokens applied.
 
     Short rows are padded with null (kept). Rows with more fields than the
-    header are an error or kept cut (``"keep"``). ``"raise"`` checks at once,
+    header are an error, or kept (``"keep"``) with their whole record in the column
+    ``_surplus_record`` (null in all other rows). ``"raise"`` checks at once,
     with one extra parse of the input. ``"raise_on_read"`` needs no extra
     pass: every column carries the check (``raise_error``), so the first job
     that reads any value of a long row fails. Column pruning cannot drop the
     check, but a job that reads no column at all (a bare ``count()``) does not
     run it. Use it for large inputs that are classified or staged anyway.
+    ``partition_columns`` names columns that come from folder names, not from the file.
     """
     if on_long_rows not in ("raise", "raise_on_read", "keep"):
         raise ValueError(f"unknown on_long_rows {on_long_rows!r}")
-    header = csv_reader(spark, multiline).csv(path).columns
+    header = [c for c in csv_reader(spark, multiline).csv(path).columns if c not in partition_columns]
     if not header:
         raise ValueError(f"{path}: no header row")
-    if CORRUPT_COLUMN in header:
-        raise ValueError(f"{path}: column name {CORRUPT_COLUMN!r} is reserved")
-    schema = T.StructType(
-        [T.StructField(c, T.StringType(), True) for c in header]
-        + [T.StructField(CORRUPT_COLUMN, T.StringType(), True)]
-    )
     raw = (
         csv_reader(spark, multiline)
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-        .schema(schema)
+        .schema(T.StructType([*record_schema(header, path).fields, *[T.StructField(c, T.StringType()) for c in partition_columns]]))
         .csv(path)
     )
     if on_long_rows == "raise":
-        # A flagged row whose last field is filled had more fields than the header.
-        last = header[-1]
-        n_long = (
-            raw.select(F.col(CORRUPT_COLUMN), F.col(last))
-            .where(F.col(CORRUPT_COLUMN).isNotNull() & F.col(last).isNotNull())
-            .limit(1)
-            .count()
-        )
-        if n_long:
+        # the reader flags records only when it also reads a value, so one is asked for
+        if raw.where(is_long_row(len(header))).select(named(header[-1]), CORRUPT_COLUMN).take(1):
             raise ValueError(f"{path}: a row has more fields than the header")
     if on_long_rows == "raise_on_read":
-        last = F.col(f"`{header[-1]}`")
-        long_row = F.col(CORRUPT_COLUMN).isNotNull() & last.isNotNull()
-        fail = F.raise_error(F.lit(f"{path}: a row has more fields than the header"))
-        raw = raw.select(*[
-            F.when(long_row, fail).otherwise(F.col(f"`{c}`")).alias(c) for c in header
-        ])
-        return normalise_null_tokens(raw, na_tokens)
+        return normalise_null_tokens(guard_long_rows(raw, header, path, partition_columns), na_tokens)
+    if on_long_rows == "keep":
+        surplus = F.when(is_long_row(len(header)), F.col(CORRUPT_COLUMN)).alias(SURPLUS_COLUMN)
+        kept = normalise_null_tokens(raw.select(*[named(c) for c in [*header, *partition_columns]], surplus), na_tokens, header)
+        return kept
     return normalise_null_tokens(raw.drop(CORRUPT_COLUMN), na_tokens)
 
 
+def record_schema(header: list[str], path: str) -> T.StructType:
+    """All columns as strings, plus the raw record of rows with another number of fields."""
+    for reserved in (CORRUPT_COLUMN, SURPLUS_COLUMN):
+        if reserved in header:
+            raise ValueError(f"{path}: column name {reserved!r} is reserved")
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in [*header, CORRUPT_COLUMN]])
+
+
+def is_long_row(n_columns: int) -> Column:
+    """The reader flagged the record, and it has more fields than the header: quoted
+    parts are dropped (a doubled quote ends one and starts the next), separators counted."""
+    record = F.col(CORRUPT_COLUMN)
+    separators = F.regexp_count(F.regexp_replace(record, '"[^"]*+"', ""), F.lit(","))
+    return record.isNotNull() & (separators >= F.lit(n_columns))
+
+
+def guard_long_rows(raw: DataFrame, header: list[str], path: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """The header's columns, each failing the job on a row with surplus fields."""
+    fail = F.raise_error(F.lit(f"{path}: a row has more fields than the header"))
+    long_row = is_long_row(len(header))
+    return raw.select(*[F.when(long_row, fail).otherwise(named(c)).alias(c) for c in header], *[named(c) for c in others])
+
+
 def normalise_null_tokens(df: DataFrame, na_tokens=NA_TOKENS, columns=None) -> DataFrame:
     """Raw values equal to one of ``na_tokens`` become null, in every string column."""
     if not na_tokens:
         return df
     cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: null_if_token(F.col(c), na_tokens) for c in cols})
+    return df.withColumns({c: null_if_token(named(c), na_tokens) for c in cols})
 
 
 def listing_profile(df: DataFrame) -> DataFrame:
-    """One row with the number of rows and columns."""
+    """One row with the number of rows and of the listing's own columns (not
+    the row key or the surplus record that this package adds)."""
+    own = [c for c in df.columns if c not in (ROW_KEY, SURPLUS_COLUMN)]
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
-        "n_columns", F.lit(len(df.columns)).cast("long")
+        "n_columns", F.lit(len(own)).cast("long")
     )
 
 
@@ -139,7 +153,7 @@ def check_no_output_collision(df: DataFrame) -> None:
 def preview_rows(df: DataFrame, n: int = PREVIEW_ROWS, order_by: str = ROW_KEY) -> DataFrame:
     """First ``n`` rows in a fixed order (a top-k, not a full sort)."""
     if order_by in df.columns:
-        return df.orderBy(F.col(order_by)).limit(n)
+        return df.orderBy(named(order_by)).limit(n)
     return df.limit(n)
 
 
@@ -154,7 +168,7 @@ def row_fingerprint(df: DataFrame, columns=None) -> Column:
     """sha-256 hex of the row's values (null distinct from any string)."""
     cols = columns or df.columns
     parts = [
-        F.when(F.col(c).isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.col(c).cast("string")))
+        F.when(named(c).isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), named(c).cast("string")))
         for c in cols
     ]
     return F.sha2(F.concat_ws(_SEP, *parts), 256)
@@ -165,11 +179,16 @@ def with_row_key(
     id_col: str | None = None,
     key_col: str = ROW_KEY,
     salts: int | None = None,
+    trust_ids: bool = False,
 ) -> DataFrame:
     """Give every row a unique, stable ``row_key``.
 
-    With ``id_col`` (a column known to be unique, e.g. a query id) the key is
-    that value. Otherwise the key is ``fingerprint-ordinal``: the sha-256 of
+    With ``id_col`` the key is that value where it is present and unique. Rows that
+    share an id or have none are keyed by content instead (``fingerprint-ordinal``,
+    with ``#`` before it), so they neither multiply in a join nor take each other's
+    correction. The check is one narrow aggregate over the ids; ``trust_ids`` leaves
+    it out for ids known to be unique (a stream has no other choice). Without
+    ``id_col`` the key is ``fingerprint-ordinal``: the sha-256 of
     the row plus its ordinal among exact copies (copies are interchangeable,
     so any assignment of ordinals is right).
 
@@ -185,7 +204,16 @@ def with_row_key(
     Persist the result (stage table) before keys are used across jobs.
     """
     if id_col is not None:
-        return df.withColumn(key_col, F.col(id_col).cast("string"))
+        key = named(id_col).cast("string")
+        if trust_ids or df.isStreaming:
+            return df.withColumn(key_col, key)
+        ids = df.select(key.alias("_rk_id"))
+        shared = ids.groupBy("_rk_id").agg(F.count(F.lit(1)).alias("_rk_n")).where((F.col("_rk_n") > 1) | F.col("_rk_id").isNull())
+        marked = df.join(shared, key.eqNullSafe(F.col("_rk_id")), "left")
+        good = marked.where(F.col("_rk_n").isNull()).drop("_rk_id", "_rk_n").withColumn(key_col, key)
+        bad = marked.where(F.col("_rk_n").isNotNull()).drop("_rk_id", "_rk_n")
+        bad = with_row_key(bad, None, key_col, salts).withColumn(key_col, F.concat(F.lit("#"), named(key_col)))
+        return good.unionByName(bad)
 
     data_cols = [c for c in df.columns if c != key_col]
     fp, salt, rn, off = "_rk_fp", "_rk_salt", "_rk_rn", "_rk_off"
@@ -223,29 +251,14 @@ def is_unique(df: DataFrame, column: str) -> bool:
     """Action: True when ``column`` is non-null and unique (check before keying by it)."""
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.col(column)).alias("d"),
-        F.count(F.col(column)).alias("nn"),
+        F.count_distinct(named(column)).alias("d"),
+        F.count(named(column)).alias("nn"),
     ).first()
     return row["n"] == row["d"] == row["nn"]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a small input over enough tasks for the CPU-heavy text work.
-
-    A small file (or one large row group) is read by a single task; scoring
-    its texts would then use one core. When the input has fewer splits than
-    ``min_partitions`` (default: the default parallelism) the rows are
-    round-robin repartitioned (deterministic on retry: Spark sorts before a
-    round-robin repartition). Inputs with enough splits, i.e. every large
-    input, are returned unchanged: no shuffle. Streams are returned unchanged.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave as is
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows of an unevenly split input over ``partitions`` tasks for the
+    CPU-heavy text work; without ``partitions`` the input stays as it is split.
+    The caller decides: nothing here looks at the size, and no job runs."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)

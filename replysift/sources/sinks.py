@@ -18,7 +18,8 @@ from ..config import (
     CATEGORIES, CONFIDENCE, HUMAN_REVIEWED, IS_VALID, LABEL, ORIGINAL_LABEL,
 )
 from ..functions.text import category_slug
-from .listing import csv_reader, normalise_null_tokens
+from ..functions.text import named
+from .listing import read_listing_csv
 
 SLUG_COLUMN = "category_slug"
 
@@ -112,15 +113,14 @@ _TYPED = {
 }
 
 
-def read_classified_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_classified_csv(spark: SparkSession, path: str, multiline: bool = True,
+                        partition_columns: tuple[str, ...] = ()) -> DataFrame:
     """Read back an exported classified listing: strings, null tokens applied,
     then the known output columns cast back to their types (``try_cast``: a bad
     value becomes null instead of failing the job)."""
-    header = csv_reader(spark, multiline).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = normalise_null_tokens(csv_reader(spark, multiline).schema(schema).csv(path))
+    df = read_listing_csv(spark, path, multiline=multiline, on_long_rows="raise_on_read", partition_columns=partition_columns)
     return df.withColumns({
-        c: F.col(c).try_cast(t) for c, t in _TYPED.items() if c in df.columns
+        c: named(c).try_cast(t) for c, t in _TYPED.items() if c in df.columns
     })
 
 
@@ -145,7 +145,7 @@ def export_by_category(df: DataFrame, path: str, categories=CATEGORIES) -> None:
 
 def read_category_export(spark: SparkSession, path: str, slug: str | None = None) -> DataFrame:
     """Read an S9 export back; ``slug`` reads one category only (partition pruning)."""
-    df = read_classified_csv(spark, path)
+    df = read_classified_csv(spark, path, partition_columns=(SLUG_COLUMN,))
     if slug is not None:
         df = df.where(F.col(SLUG_COLUMN) == slug)
     return df

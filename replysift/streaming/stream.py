@@ -15,19 +15,23 @@ from pyspark.sql import types as T
 from ..config import DEFAULT_COLUMNS, DEFAULT_RULES, LABEL, NA_TOKENS, ListingColumns, RuleSet
 from ..operators.analytics import valid_only
 from ..operators.classify import classify
-from ..sources.listing import normalise_null_tokens
+from ..sources.listing import CORRUPT_COLUMN, guard_long_rows, normalise_null_tokens, record_schema
 from ..sources.sinks import new_stage_path
 
 
 def read_csv_listing_stream(spark: SparkSession, directory: str, columns: list[str],
                             na_tokens=NA_TOKENS, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A directory of CSV listings with a known header, all columns as strings."""
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    r = (spark.readStream.schema(schema).option("header", True).option("multiLine", True)
-         .option("escape", '"'))
+    """A directory of CSV listings with a known header, all columns as strings.
+
+    Each file's header is checked against ``columns`` (another order or other names
+    fail the stream instead of putting values into the wrong columns), and a row
+    with more fields than the header fails it too."""
+    r = (spark.readStream.schema(record_schema(columns, directory)).option("header", True).option("multiLine", True)
+         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", False)
+         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return normalise_null_tokens(r.csv(directory), na_tokens)
+    return normalise_null_tokens(guard_long_rows(r.csv(directory), columns, directory), na_tokens)
 
 
 def read_parquet_stream(spark: SparkSession, directory: str, schema: T.StructType,

@@ -1,5 +1,4 @@
-"""A deterministic stand-in for an external model, for tests and the registered
-model query. It reads the rows back out of the prompt, labels each answer
+"""A deterministic stand-in for an external model, for tests only. It reads the rows back out of the prompt, labels each answer
 with the rule set (in Python) and answers in JSON, with faults injected by
 the first answer of a batch so that every fallback path is exercised:
 
@@ -14,33 +13,20 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
-
-from ..config import DEFAULT_RULES, RuleSet
-from ..functions.rules import cue_regex
-
-_ROW_SPLIT = re.compile(r'(?:\A|\n)Row (\d+): item="')
-_BODY_MARK = "Return only a JSON array.\n\n"
 
+from replysift.config import DEFAULT_RULES, RuleSet
+from replysift.functions.rules import cue_regex
 
 def prompt_answers(prompt: str) -> list[str]:
-    body = prompt.split(_BODY_MARK, 1)[1]
-    parts = _ROW_SPLIT.split(body)
-    answers = []
-    for seg in parts[2::2]:
-        _item, answer = seg.split('" | answer="', 1)
-        answers.append(answer[:-1])
-    return answers
-
-
-@lru_cache(maxsize=16)
-def _compiled(rules: RuleSet) -> re.Pattern:
-    return re.compile(cue_regex(rules))
+    """The answers of the JSON lines after the "LINES: n" line."""
+    head, _, body = prompt.rpartition("\nLINES: ")
+    assert head
+    return [json.loads(line)["answer"] for line in body.split("\n")[1:]]
 
 
 def rule_result(text: str, rules: RuleSet = DEFAULT_RULES) -> tuple[str, float, str]:
     t = text.lower().replace("’", "'")
-    found = _compiled(rules).findall(t)
+    found = re.findall(cue_regex(rules), t)
     counts = []
     for r in rules.rules:
         counts.append(sum(1 for m in found if m in r.cues or (r.question_mark and m == "?")))

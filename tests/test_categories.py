@@ -23,10 +23,10 @@ def test_default_rule_set_labels_are_the_categories():
 def test_instructions_name_every_category_and_the_reply_format():
     text = default_instructions()
     for c in CATEGORIES:
-        assert f"- {c}:" in text
-    for field in ('"index"', '"classification"', '"confidence"', '"reasoning"'):
+        assert f". {c} = " in text
+    for field in ("index", "classification", "confidence", "reasoning"):
         assert field in text
-    assert "JSON array" in text
+    assert "one JSON list" in text
 
 
 def test_prompt_carries_item_and_whole_answer(spark):
@@ -38,6 +38,6 @@ def test_prompt_carries_item_and_whole_answer(spark):
     p = build_prompts(batch_rows(validate(df), batch_size=5, n_buckets=1)).collect()
     assert len(p) == 1 and p[0].n_rows == 2          # the null answer is invalid: never sent
     prompt = p[0].prompt
-    assert 'item="AE Term"' in prompt and 'answer="Corrected as requested"' in prompt
+    assert '{"item":"AE Term","answer":"Corrected as requested"}' in prompt
     assert long_answer.strip() in prompt             # whole text, no prefix
-    assert "Classify each of these 2 answers" in prompt
+    assert "LINES: 2" in prompt

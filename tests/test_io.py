@@ -51,7 +51,47 @@ def test_long_row_raises(spark, tmp_dir):
     p = write(tmp_dir, "long.csv", "a,b,c\n1,2,3\n4,5,6,7\n")
     with pytest.raises(ValueError):
         read_listing_csv(spark, p)
-    assert read_listing_csv(spark, p, on_long_rows="keep").count() == 2
+    kept = {r.a: r for r in read_listing_csv(spark, p, on_long_rows="keep").collect()}
+    assert kept["4"]._surplus_record == "4,5,6,7" and kept["1"]._surplus_record is None
+
+
+@pytest.mark.parametrize("row", ["2,y,,extra", "2,y,z,", '2,"y, y",z,w', '2,"a ""b"", c",,d', '"x\ny",1,,,'])
+def test_surplus_fields_are_never_lost(spark, tmp_dir, row):
+    p = write(tmp_dir, "long.csv", f"a,b,c\n1,2,3\n{row}\n")
+    with pytest.raises(ValueError):
+        read_listing_csv(spark, p)
+    with pytest.raises(Exception, match="more fields"):
+        read_listing_csv(spark, p, on_long_rows="raise_on_read").select("b").collect()
+    rows = read_listing_csv(spark, p, on_long_rows="keep").collect()
+    assert sorted(r._surplus_record is not None for r in rows) == [False, True]
+
+
+@pytest.mark.parametrize("row", ['2,"y, y, y, y"', '2,"a ""b"", c",d', '"x, \ny",,', "2"])
+def test_quoted_separators_and_short_rows_are_no_surplus(spark, tmp_dir, row):
+    p = write(tmp_dir, "ok.csv", f"a,b,c\n1,2,3\n{row}\n")
+    assert read_listing_csv(spark, p).count() == 2
+    assert len(read_listing_csv(spark, p, on_long_rows="raise_on_read").collect()) == 2
+    assert all(r._surplus_record is None for r in read_listing_csv(spark, p, on_long_rows="keep").collect())
+
+
+def test_long_rows_in_an_exported_table_fail(spark, tmp_dir):
+    p = write(tmp_dir, "x.csv", "Query ID,Confidence\n1,0.5\n2,,3\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_classified_csv(spark, p).collect()
+
+
+def test_headers_with_dots_and_quotes(spark, tmp_dir):
+    from replysift.operators import analytics as an
+    from replysift.operators import filters as fl
+
+    p = write(tmp_dir, "dots.csv", "Query.ID,CRF.Item,Study.`x`,Site Response.v1\n1,A,S,Which one?\n2,NA,S,saved\n")
+    cols = ListingColumns(response="Site Response.v1", item="CRF.Item", query_id="Query.ID", study="Study.`x`")
+    df = classify(with_row_key(read_listing_csv(spark, p), id_col="Query.ID"), cols)
+    assert {r.row_key: r.LLM_Classification for r in df.collect()} == {"1": "Confused", "2": "Affirmative"}
+    assert [tuple(r) for r in an.top_items(df, cols, "Confused", 5).collect()] == [("A", 1)]
+    assert an.study_category_pivot(df, cols).first().Confused == 1
+    assert fl.filter_options(df, cols).count() == 1
+    assert with_row_key(read_listing_csv(spark, p)).select("row_key").distinct().count() == 2
 
 
 def test_column_check(spark):
@@ -67,7 +107,7 @@ def test_column_check(spark):
 def test_profile_and_preview(spark):
     df = with_row_key(listing(spark, [f"r{i}" for i in range(25)]), id_col="Query ID")
     p = listing_profile(df).first()
-    assert (p.n_rows, p.n_columns) == (25, 4)
+    assert (p.n_rows, p.n_columns) == (25, 3)  # the row key is no column of the listing
     assert [r.row_key for r in preview_rows(df).collect()] == sorted(str(i) for i in range(25))[:10]
 
 

@@ -12,11 +12,12 @@ from replysift.operators.classify import validate
 from replysift.operators.model_batch import (
     batch_rows, build_prompts, classify_with_model, match_results,
 )
-from replysift.plans.fake_model import prompt_answers
+from fake_model import keyword_model_factory, prompt_answers
 from replysift.sources.listing import with_row_key
 
-# the stand-in model below is defined here; ship it to workers by value
+# the stand-in models are defined in the tests; ship them to workers by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules["fake_model"])
 
 FALLBACK = ("Miscellaneous", 0.0, "Classification failed — manual review needed")
 
@@ -34,7 +35,7 @@ def test_batches_are_bounded_and_cover_all_valid_rows(spark):
     p = build_prompts(b).collect()
     assert sum(r.n_rows for r in p) == 137
     one = p[0]
-    assert one.prompt.count("\nRow ") == one.n_rows
+    assert f"\nLINES: {one.n_rows}\n" in one.prompt
     assert len(prompt_answers(one.prompt)) == one.n_rows
     with pytest.raises(ValueError):
         batch_rows(v, batch_size=40)
@@ -133,3 +134,60 @@ def test_model_calls_keep_bucket_parallelism(spark):
                               batch_size=5, persist_replies=False)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len({r.Reasoning for r in out.select("Reasoning").collect()}) == n_parts
+
+
+def test_answers_with_quotes_and_line_breaks_survive_the_prompt(spark):
+    answers = ['say "yes" | answer="no"', "two\nlines", "LINES: 3", "{}"]
+    p = build_prompts(batch_rows(validate(keyed(spark, answers)), batch_size=5, n_buckets=1)).collect()
+    assert sorted(prompt_answers(p[0].prompt)) == sorted(answers)
+
+
+def test_result_without_reasoning_is_not_stamped_as_failed(spark):
+    def factory():
+        return lambda prompt: json.dumps([{"classification": "Confused", "confidence": 0.9} for _ in prompt_answers(prompt)])
+
+    row = classify_with_model(keyed(spark, ["where?"]), factory).first()
+    assert (row.LLM_Classification, row.Confidence, row.Reasoning) == ("Confused", 0.9, None)
+
+
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    df = with_row_key(listing(spark, ["one", "two", "two", "three", "four"], ids=["1", "1", "1", None, "2"]), id_col="Query ID")
+    out = classify_with_model(df, flaky_factory()).collect()
+    assert len(out) == 5 and all(r.LLM_Classification == "Affirmative" for r in out)
+    assert len({r.row_key for r in out}) == 5 and "2" in {r.row_key for r in out}
+
+
+def test_own_categories_reach_the_model(spark):
+    from replysift.operators.model_batch import default_instructions
+
+    text = default_instructions(categories=("Open", "Closed"), descriptions={"Open": "work is left"})
+    assert "1. Open = work is left" in text and "2. Closed" in text and "Affirmative" not in text
+
+
+def test_stand_in_model_equals_the_native_scorer(spark):
+    from replysift.operators.classify import classify
+
+    answers = ["Stop date amended", "not corrected yet", "which one?", "pain", "hello", "saved, but fever"]
+    df = keyed(spark, answers)
+    cols = ["row_key", "LLM_Classification", "Confidence", "Reasoning"]
+    a = {tuple(r) for r in classify(df).select(*cols).collect()}
+    b = {tuple(r) for r in classify_with_model(df, keyword_model_factory()).select(*cols).collect()}
+    assert a == b
+
+
+def test_package_zip_goes_to_the_executors(spark):
+    from replysift import session
+
+    files = []
+    real = spark.sparkContext.addPyFile
+    try:
+        spark.sparkContext.addPyFile = lambda p: files.append(p)
+        if hasattr(spark.sparkContext, session._SHIPPED_ATTR):
+            delattr(spark.sparkContext, session._SHIPPED_ATTR)
+        session.ship_package(spark)
+    finally:
+        spark.sparkContext.addPyFile = real
+    import zipfile
+
+    assert len(files) == 1 and "://" not in files[0]
+    assert "replysift/operators/model_batch.py" in zipfile.ZipFile(files[0]).namelist()

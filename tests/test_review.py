@@ -11,12 +11,12 @@ SCHEMA = T.StructType([
     T.StructField("Reasoning", T.StringType()), T.StructField("Human_Reviewed", T.BooleanType()),
 ])
 ROWS = [
-    ("a", "1", "done", "Affirmative", 0.95, "ok", False),
-    ("b", "2", "where?", "Confused", 0.60, "ok", False),
-    ("c", "3", "tbd", "Miscellaneous", 0.40, "ok", False),
+    ("a", "1", "amended", "Affirmative", 0.82, "one cue", False),
+    ("b", "2", "how many?", "Confused", 0.57, "asks", False),
+    ("c", "3", "Friday", "Miscellaneous", 0.33, "no cue", False),
     ("d", "4", None, "INVALID", None, "Empty or invalid response", False),
-    ("e", "5", "x", "Weird", 0.65, "ok", False),
-    ("f", "6", "y", "Miscellaneous", None, "ok", False),
+    ("e", "5", "x", "Weird", 0.65, "odd", False),
+    ("f", "6", "y", "Miscellaneous", None, "no number", False),
 ]
 
 
@@ -38,10 +38,10 @@ def test_queue_modes(spark):
 
 
 def test_apply_changes_exactly_matched_rows(spark):
-    c = corrections(spark, [("c", "Affirmative", 1), ("c", "Medically Related", 2), ("d", "Confused", 1),
+    c = corrections(spark, [("c", "Affirmative", 1), ("c", "Confused", 2), ("d", "Confused", 1),
                             ("zz", "Confused", 1), ("b", "NotACategory", 1)])
     out = {r.row_key: r for r in rv.apply_corrections(df(spark), c).collect()}
-    assert out["c"].LLM_Classification == "Medically Related"        # last seq wins
+    assert out["c"].LLM_Classification == "Confused"                 # last seq wins
     assert (out["c"].Human_Reviewed, out["c"].Confidence, out["c"].Reasoning) == (
         True, 1.0, "Corrected via human review")
     assert out["c"].Original_Classification == "Miscellaneous"
@@ -96,3 +96,25 @@ def test_key_sample_is_partition_independent_and_per_stratum(spark):
     b = len(one) - a
     assert 120 < a < 280 and 850 < b < 1150          # about 10 % of 2000 and 50 % of 2000
     assert key_sample(df, 1.0).count() == n and key_sample(df, 0.0).count() == 0
+
+
+def test_null_and_tied_seq(spark):
+    c = corrections(spark, [("a", "Confused", None), ("b", "Affirmative", 3), ("b", "Miscellaneous", 3), ("c", "Confused", -5),
+                            ("c", "Affirmative", None)])
+    out = {r.row_key: r for r in rv.apply_corrections(df(spark), c).collect()}
+    assert out["a"].LLM_Classification == "Confused" and out["a"].Human_Reviewed   # a lone null seq counts
+    assert out["b"].LLM_Classification == "Miscellaneous"                          # a tie: the later category
+    assert out["c"].LLM_Classification == "Confused"                               # null comes before any number
+    assert all(r.LLM_Classification for r in out.values())
+
+
+def test_frame_without_reasoning(spark):
+    bare = df(spark).drop("Reasoning")
+    out = {r.row_key: r for r in rv.apply_corrections(bare, corrections(spark, [("a", "Confused", 1)])).collect()}
+    assert out["a"].Reasoning == "Corrected via human review" and out["b"].Reasoning is None
+
+
+def test_ignored_corrections(spark):
+    c = corrections(spark, [("a", "confused", 1), ("zz", "Confused", 2), ("d", "Confused", 3), (None, "Confused", 4), ("b", "Confused", 5)])
+    got = {r.seq: r.reason for r in rv.ignored_corrections(df(spark), c).collect()}
+    assert got == {1: "unknown label", 2: "unknown row", 3: "invalid answer", 4: "no row key"}

@@ -30,7 +30,25 @@ def test_id_key_and_uniqueness_check(spark):
     df = spark.createDataFrame([("1",), ("2",), ("2",)], "id string")
     assert not is_unique(df, "id")
     assert is_unique(df.distinct(), "id")
-    assert with_row_key(df, id_col="id").select(F.col("row_key")).count() == 3
+    assert with_row_key(df, id_col="id").select(F.col("row_key")).distinct().count() == 3
+
+
+def test_shared_and_missing_ids_get_content_keys(spark):
+    rows = [("1", "a"), ("2", "b"), ("2", "c"), ("2", "c"), (None, "d"), (None, "d"), ("3", None)]
+    df = spark.createDataFrame(rows, "id string, v string").repartition(4)
+    keys = {}
+    for r in with_row_key(df, id_col="id").collect():
+        keys.setdefault((r.id, r.v), []).append(r.row_key)
+    assert keys["1", "a"] == ["1"] and keys["3", None] == ["3"]
+    flat = [k for v in keys.values() for k in v]
+    assert len(set(flat)) == len(rows) and all(k.startswith("#") for k in keys["2", "c"] + keys[None, "d"] + keys["2", "b"])
+
+
+def test_default_salt_on_shuffled_and_coalesced_input(spark):
+    df = spark.range(4000).selectExpr("id % 5 AS a", "cast(id % 40 AS string) AS b")
+    for shuffled in (df.repartition(9), df.repartition("b"), df.groupBy("a", "b").count().drop("count").union(df.select("a", "b"))):
+        keyed = with_row_key(shuffled)
+        assert keyed.select("row_key").distinct().count() == shuffled.count()
 
 
 def test_property_keys_and_export_positions(spark):

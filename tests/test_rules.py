@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from replysift.config import CueRule, RuleSet
 from replysift.functions.rules import rule_score_struct
-from replysift.plans.fake_model import rule_result
+from fake_model import rule_result
 
 # Own phrases, one list per expected category.
-AFFIRMATIVE = ["Fixed.", "value entered today", "Updated per request", "record corrected", "Done",
-               "completed and saved", "dose changed in the form"]
-CONFUSED = ["Which visit do you mean?", "we cannot find that page", "I'm not sure what is asked",
-            "field is locked for us", "Could you clarify", "unable to save the entry",
-            "we don't understand this request", "the form doesn't allow a second date"]
-MEDICAL = ["no clinical relevance", "patient withdrew because of disease progression",
-           "treatment continues", "event linked to hypertension", "Symptoms were mild",
-           "the investigator reviewed the lab values", "surgical history only"]
-MISC = ["see the attached note", "will follow up next week", "pending", "TBD", "ok", ".", "per CRA"]
+AFFIRMATIVE = ["Onset time amended.", "height added, page saved", "REMOVED", "all three resolved",
+               "Entry for March deleted", "revised by the night team"]
+CONFUSED = ["How should we count half days?", "no access since the upgrade", "menu is greyed out",
+            "please advise", "it won't save", "what does code 12 stand for", "we don\u2019t see that form"]
+MEDICAL = ["vomiting overnight", "infection of the left ear", "allergy since birth", "chronic back pain",
+           "physician was called in", "therapy goes on"]
+MISC = ["paper copy is in the binder", "answer comes on Friday", "TBC", "n.a.", "?!"[1:], "line 4"]
+DENIED = ["not corrected yet", "Nothing was changed", "page isn't saved", "value never entered", "to be revised"]
 
 
 def labels(spark, texts):
@@ -30,10 +29,11 @@ def test_category_phrases(spark):
     assert labels(spark, CONFUSED) == ["Confused"] * len(CONFUSED)
     assert labels(spark, MEDICAL) == ["Medically Related"] * len(MEDICAL)
     assert labels(spark, MISC) == ["Miscellaneous"] * len(MISC)
+    assert labels(spark, DENIED) == ["Miscellaneous"] * len(DENIED)
 
 
 def test_priority_and_confidence(spark):
-    texts = ["updated, but is it clinical?", "lab values updated", "surgery done, form updated",
+    texts = ["updated, but is it clinical?", "symptom updated", "surgery done, form updated",
              "nothing here", "Don’t understand", "édone", "done_x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [tuple(r[0]) for r in df.select(rule_score_struct(F.col("t"))).collect()]
@@ -49,9 +49,9 @@ def test_priority_and_confidence(spark):
 
 def test_spark_equals_plain_python_on_random_texts(spark):
     rng = random.Random(3)
-    words = ["done", "updated", "patient", "clinical", "clinically", "can't", "cannot", "?", "risk", "factors",
-             "factor", "lab", "values", "not", "sure", "x", "é", "_", "Done", "UPDATED", "don’t", "understand",
-             ",", ".", "\n", "surgery", "locked", "symptom", "symptoms"]
+    words = ["done", "updated", "patient", "clinical", "clinically", "can't", "cannot", "?", "dose", "reduced",
+             "not", "sure", "yet", "never", "nothing", "was", "x", "é", "_", "Done", "UPDATED", "don’t", "understand",
+             ",", ".", "\n", "surgery", "locked", "symptom", "symptoms", "blood", "pressure", "error", "message"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
     texts += ["".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(500)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -76,4 +76,11 @@ def test_rule_set_checks():
     with pytest.raises(ValueError):
         RuleSet(rules=(CueRule("A", ()),))
     with pytest.raises(ValueError):
-        RuleSet(rules=(CueRule("A", ("not sure",)), CueRule("B", ("not now",))))
+        RuleSet(rules=(CueRule("A", ("x",)),), neutral=("x",))
+
+
+def test_phrases_may_share_words(spark):
+    rules = RuleSet((CueRule("Open", ("not done",)), CueRule("Closed", ("done",))), default_label="Rest")
+    df = spark.createDataFrame([("not done",), ("done",), ("done, not done, done",), ("not yet",)], "t string")
+    got = [r[0] for r in df.select(rule_score_struct(F.col("t"), rules)["label"]).collect()]
+    assert got == ["Open", "Closed", "Closed", "Rest"]

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from replysift.operators.classify import classify
 from replysift.sources.listing import read_listing_csv
 from replysift.streaming import stream as st
@@ -25,3 +27,18 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.collect()))
     counts = st.run_counts_to_table(spark, st.classify_stream(st.read_csv_listing_stream(spark, src, HEADER)))
     assert sum(r.n for r in counts.collect()) == batch.where("Is_Valid").count()
+
+
+def swap_case(tmp_dir, text):
+    src = os.path.join(tmp_dir, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "p.csv"), "w") as f:
+        f.write(text)
+    return src
+
+
+@pytest.mark.parametrize("text", ["Site Response,Query ID\ndone,1\n", "Query ID,Site Response\n1,done,extra\n", "Query ID,Site Response\n1,,extra\n"])
+def test_stream_fails_rather_than_misplace_or_lose_values(spark, tmp_dir, text):
+    stream = st.read_csv_listing_stream(spark, swap_case(tmp_dir, text), ["Query ID", "Site Response"])
+    with pytest.raises(Exception, match="header|more fields"):
+        st.run_to_table(spark, st.classify_stream(stream))
