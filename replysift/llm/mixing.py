@@ -131,7 +131,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rows.sort(key=lambda r: (r["s"] is None, r["s"] or ""))
     sizes = [int(r["w"]) for r in rows]
     wanted = targets(sizes, weights([r["s"] for r in rows]), max_epochs)
-    seats = sainte_lague(wanted, round(sum(wanted) / block_words))
+    seats = sainte_lague(wanted, (2 * sum(sizes) + block_words) // (2 * block_words))  # targets add up to all sizes
     plan = spark.createDataFrame(
         [(r["s"], i, sizes[i], float(wanted[i]), int(seats[i]), -(-int(r["n"]) // docs_per_shard)) for i, r in enumerate(rows)],
         "__s string, __i int, source_size long, target double, __seats long, __shards long")

@@ -1,6 +1,7 @@
 """DuckDB twins of the queries that SQL can express."""
 
 from .license_scan import KNOWN, SPELLINGS
+from .mixing import BLOCK_WORDS, DOCS_PER_SHARD, MAX_EPOCHS, SEED
 
 #: Blanks as DuckDB's trim takes them: space and \x09-\x0D.
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -40,4 +41,41 @@ SELECT doc_id, known.id AS license_id, coalesce(notices, '') AS notices, coalesc
 FROM d LEFT JOIN known ON md5(array_to_string(ls, ' ')) = known.digest LEFT JOIN n USING (rid)
 """
 
-ORACLE_SQL = {"op8_license_scan": OP8, "op9_line_dedup": OP9}
+
+def _number(seed: str, *parts: str) -> str:
+    text = " || ':' || ".join([f"'{seed}'", *[f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts]])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+#: Targets from the level at which capped and open sources meet, seats as the highest of all quotients.
+OP2 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS w, count(*) AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
+g AS (SELECT *, i % 3 + 1 AS g, row_number() OVER (ORDER BY CAST(w AS DOUBLE) / (i % 3 + 1), i) AS r FROM s),
+o AS (SELECT *, sum(w) OVER () - coalesce(sum({MAX_EPOCHS} * w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+             sum(g) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM g),
+v AS (SELECT r AS r0, lft AS left0, opn AS open0 FROM o WHERE g * lft <= {MAX_EPOCHS} * w * opn ORDER BY r LIMIT 1),
+t AS (SELECT source, w, n, i, CASE WHEN r0 IS NULL OR r < r0 THEN CAST({MAX_EPOCHS} * w AS DOUBLE)
+             ELSE CAST(g * left0 AS DOUBLE) / CAST(open0 AS DOUBLE) END AS target FROM o LEFT JOIN v ON true),
+k AS (SELECT CAST((2 * sum(w) + {BLOCK_WORDS}) // (2 * {BLOCK_WORDS}) AS BIGINT) AS blocks FROM s),
+q AS (SELECT i, row_number() OVER (ORDER BY target / (2 * a + 1) DESC, i, a) AS place FROM t, k, range(blocks) x(a) WHERE target > 0),
+seats AS (SELECT i, count(*) AS seats FROM q, k WHERE place <= blocks GROUP BY i),
+e AS (SELECT d.*, t.i, t.w AS source_size, t.target,
+             {_number(SEED + "-shard", "doc_id")} % ((t.n + {DOCS_PER_SHARD} - 1) // {DOCS_PER_SHARD}) AS shard
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+h AS (SELECT i, shard, CAST(sum(size) AS BIGINT) AS w FROM e GROUP BY i, shard),
+p AS (SELECT h.i, h.shard, row_number() OVER (PARTITION BY h.i ORDER BY CAST(h.w AS DOUBLE) / (2 * a + 1) DESC, h.shard, a) AS place, seats
+      FROM h JOIN seats USING (i), range((SELECT max(seats) FROM seats)) x(a) WHERE a < seats AND h.w > 0),
+u AS (SELECT i, shard, count(*) AS got FROM p WHERE place <= seats GROUP BY i, shard),
+z AS (SELECT h.i, h.shard, h.w, least(coalesce(got, 0) * {BLOCK_WORDS}, {MAX_EPOCHS} * h.w) AS quota,
+             {_number(SEED + "-start", "h.i", "h.shard")} % greatest(1, (h.w + {BLOCK_WORDS} - 1) // {BLOCK_WORDS}) * {BLOCK_WORDS} AS start
+      FROM h LEFT JOIN u ON u.i = h.i AND u.shard = h.shard),
+a AS (SELECT e.*, z.w, quota, start, coalesce(sum(size) OVER (PARTITION BY e.i, e.shard
+             ORDER BY {_number(SEED + "-order", "doc_id")}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+      FROM e JOIN z ON z.i = e.i AND z.shard = e.shard)
+SELECT doc_id, size, source_size, target,
+       CAST({" + ".join(f"greatest(0, least(start + quota, {lap} * w + ahead + size) - greatest(start, {lap} * w + ahead))" for lap in range(MAX_EPOCHS + 1))} AS BIGINT) AS taken
+FROM a
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9}
