@@ -14,9 +14,8 @@ def main(sf: str) -> None:
     from replysift.operators import analytics as an
     from replysift.operators import filters as fl
     from replysift.operators import review as rv
-    from replysift.operators.model_batch import classify_with_model
-    from replysift.plans.fake_model import keyword_model_factory
-    from replysift.operators.classify import classify
+    from replysift.operators.model_batch import batch_rows, build_prompts
+    from replysift.operators.classify import classify, validate
     from replysift.plans import queries as q
     from replysift.session import local_session
     from replysift.sources import derived as dv
@@ -24,7 +23,7 @@ def main(sf: str) -> None:
     spark = local_session(8)
     ev = q.events_classified(spark, sf)
     shown = {
-        "classify (events listing -> classified rows; the only Exchange is the round-robin spread of the single-split input file, the scoring itself is one narrow stage)":
+        "classify (events listing -> classified rows; the exchanges are the check for shared ids, the scoring is narrow)":
             classify(q.events_keyed(spark, sf)),
         "category_counts over the stage table (pushed filters, partial + final aggregate)":
             an.category_counts(ev),
@@ -32,12 +31,12 @@ def main(sf: str) -> None:
             an.confidence_histogram(ev),
         "study_category_pivot (pivot with given values)": an.study_category_pivot(ev),
         "top_confused_items (take-ordered top-k)": an.top_items(ev, q.C, "Confused", 10),
-        "apply_corrections (max_by dedupe, equi left join on row_key; AQE picks the join)":
+        "apply_corrections (one maximum per key, equi left join on row_key; AQE picks the join)":
             rv.apply_corrections(ev, dv.events_corrections(spark, sf)),
         "row keys for a listing with repeated rows (salted ordinals; group sizes by partial aggregate)":
             q.lineitem_keyed(spark, sf),
-        "model path (hashed buckets, prompts per batch, replies staged, per-position fallback, key join)":
-            classify_with_model(q.events_keyed(spark, sf), keyword_model_factory(), q.C, q.MODEL_BATCH),
+        "prompts (hashed buckets, one prompt per batch)":
+            build_prompts(batch_rows(validate(q.events_keyed(spark, sf)), q.C, q.MODEL_BATCH)),
         "export positions (range partitions checkpointed once, local index + broadcast per-partition offsets)":
             fl.export_positions(ev),
     }
