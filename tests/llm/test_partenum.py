@@ -131,3 +131,18 @@ def test_odd_documents(spark):
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[5] == 1 and 7 not in ids and ids[None] == 2 and ids[11] == ids[12] == ids[13] == ids[14] == 1
     assert pj.one_of_each(no_documents(spark)).count() == 0
+
+
+def test_sketches_never_drop_a_link():
+    rng = np.random.default_rng(5)
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        dropped = 0
+        for _ in range(300):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))
+            b = np.unique(np.concatenate((rng.permutation(a)[int(rng.integers(0, len(a) // 3 + 1)):], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64))))
+            if len(b):
+                may = pj.may_link(len(a), pj.sketch(a), len(b), pj.sketch(b), num, den)
+                assert may or not pj.linked(a, b, num, den)
+                assert pj.differing_bits(pj.sketch(a), pj.sketch(b)) <= len(np.setxor1d(a, b))
+                dropped += not may
+        assert dropped > 20

@@ -53,10 +53,10 @@ def test_context_and_misspelling():
     plain, quoted = score.margin("What an idiot he is."), score.margin('He wrote "What an idiot" on the wall.')
     assert plain > 1 > quoted
     assert score.margin("The word idiot is old.") == quoted
-    assert score.margin("you are an idiot") == plain  # two words away is too far for the address
-    assert score.margin("you idiot") > plain
+    assert score.margin("you are an idiot") == score.margin("you idiot") > plain
+    assert score.margin("you see there was an idiot") == plain  # too far for the address
     assert plain > score.margin("such a wortlhess thing") > score.margin("nothing") == -4.0
-    assert score.margin("1d10t") == plain - 0 and score.margin("") == -4.0
+    assert score.margin("1d10t") == plain and score.margin("") == -4.0
     assert score.hits("“idiot”")[0][2] == tx.QUOTED and score.hits('" x\nidiot "')[0][2] == 1.0
     assert score.margin("İdiot idiot") > 1  # a letter that grows in lower case
 
