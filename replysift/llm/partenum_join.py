@@ -22,9 +22,9 @@ exact filter that moves little data. What passes is checked on the sets themselv
 Nodes joined in one step aren't compared again:
 1. each node with the smallest fitting node among those of its signature groups;
 2. each node with every such node still in another component;
-3. groups that still have two components: all pairs across components in blocks of
-   ``BLOCK`` nodes, inside tasks, first on sketches, then on the sets of the nodes that
-   found a partner; no pair is written but the links found.
+3. groups that still have two components, in waves: all pairs across components in
+   blocks of ``BLOCK`` nodes, inside tasks, first on sketches, then on the sets of the
+   nodes that found a partner; no pair is written but the links found.
 So no link between different texts is lost, and a group of copies or near copies
 costs a row for each member.
 
@@ -220,7 +220,8 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     each (sig, i, j) meets one block of queries with one of nodes, about two blocks of
     rows whatever the group's size."""
     narrow = members.select("sig", "node", "label")
-    sizes = narrow.groupBy("sig").agg(F.mode("label", deterministic=True).alias("main"), F.count("*").alias("n"))
+    each = narrow.groupBy("sig", "label").agg(F.count("*").alias("c"))
+    sizes = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).select("sig", F.col("top.label").alias("main"), "n")
     queries = narrow.join(sizes.select("sig", "main"), "sig").where("label != main").groupBy("sig").agg(F.count("*").alias("nq"))
     counts = sizes.join(queries, "sig").select("sig", "main", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("nq") / block).cast("int").alias("qb"))
     dealt = members.join(counts, "sig")
@@ -315,13 +316,21 @@ def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     apart = apart.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
     links = stage(links.union(check_pairs(apart, sets, num, den)), "join-links")
     labels = stage(components(links), "join-labels")
-    # 3: what is left, in blocks; groups of two nodes are settled by now
-    rest = stage(_open_groups(groups, labels), "join-rest")
-    hopeful = stage(promising(rest, nodes, num, den), "join-hopeful")
-    if hopeful.take(1):
-        sets = sets_for(hopeful.select("node").distinct(), "join-sets")
-        links = stage(links.union(check_groups(rest.join(hopeful, ["sig", "node"], "left_semi"), sets, num, den)), "join-links")
-        labels = stage(components(links), "join-labels")
+    # 3: what is left, in blocks; groups of two nodes are settled by now. Near copies share many
+    # signatures, so a wave takes the groups of each node's least open signatures: one, then
+    # four, sixteen, ... A group is settled when all its pairs are; most close before their turn.
+    rest, take = stage(_open_groups(groups, labels), "join-rest"), 1
+    while rest.take(1):
+        turn = rest.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("sig")))
+        turn = stage(turn.where(F.col("place") <= take).select("sig").distinct(), "join-turn")
+        now = rest.join(turn, "sig", "left_semi")
+        hopeful = stage(promising(now, nodes, num, den), "join-hopeful")
+        if hopeful.take(1):
+            sets = sets_for(hopeful.select("node").distinct(), "join-sets")
+            links = stage(links.union(check_groups(now.join(hopeful, ["sig", "node"], "left_semi"), sets, num, den)), "join-links")
+            labels = stage(components(links), "join-labels")
+        left = groups.join(rest.select("sig").distinct().join(turn, "sig", "left_anti"), "sig", "left_semi")
+        rest, take = stage(_open_groups(left, labels), "join-rest"), 4 * take
 
     classes = keyed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
