@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered in a worker; more are encoded where they occur.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = r"[\t-\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Two white characters in a row, or one at either end: such a text isn't cut at every space.
