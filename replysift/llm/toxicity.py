@@ -10,9 +10,10 @@ smoothed log odds.
 Matching. The terms stand in a trie. Running the Levenshtein automata of all terms
 over it side by side gives one automaton; its states (trie nodes with the edits spent)
 are made when a word first needs them, so each character of a word costs one lookup
-and most words end in the dead state after two or three. The first letter must fit;
-long terms may differ by one or two edits; digits and signs that stand for letters
-are read as these.
+and most words end in the dead state after a few. Long terms may differ by one or two
+edits, in the first letter as in any other; whole words below five letters and stems
+below seven must fit. Digits and signs that stand for letters are read as these; signs
+before or behind a word are read both ways, as letters and as signs.
 
 Scoring. Each hit is weighed by its window: between quotation marks or after words of
 reporting it counts little, beside a word of address it counts more. What a misspelled
@@ -45,6 +46,9 @@ STEM_CHARS, LONGEST_PREFIX = 4, 12
 QUOTED, ADDRESSED, EDIT_FACTOR = 0.25, 1.25, 0.6
 WINDOW_CHARS, WINDOW_WORDS = 80, 4
 TOKEN = re.compile(r"[^\W_](?:[\w@$!*'’]*[^\W_])?")
+SIGNS = "@$!"
+SIGNED = re.compile(rf"(?:(?<![{SIGNS}])[{SIGNS}]++)?+{TOKEN.pattern}[{SIGNS}]*+")  # a token with the signs around it
+MOST_HELD, MOST_WORDS, LONGEST_KEPT = 1_000_000, 100_000, 64  # bounds of what a task remembers
 STANDS_FOR = str.maketrans("013457@$!", "oieastasi")
 OPEN_QUOTES, CLOSE_QUOTES = "\"“„«‹‘", "\"”“»›’"
 REPORTING = frozenset("word words term called said says wrote quote quoted quoting insult insults phrase reported".split())
@@ -65,15 +69,18 @@ def allowed_edits(size: int, stem: bool) -> int:
 
 
 class Automaton:
-    """All terms' Levenshtein automata, run over the trie of the terms."""
+    """All terms' Levenshtein automata, run over the trie of the terms. With ``any_first``
+    the first letter may be an edit like any other, else it must fit."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool]], any_first: bool = False):
+        self.terms, self.any_first = terms, any_first
+        self.longest = max((len(t) for t, _ in terms), default=0) + 2  # no text longer than this is a whole word
         self.children: list[dict[str, int]] = [{}]
         self.word_end: dict[int, int] = {}
         self.stem_end: dict[int, int] = {}
         self.room = [0]  # most edits that a term below the node allows
         self.edits = [allowed_edits(len(t), s) for t, s in terms]
+        self.room[0] = max(self.edits, default=0)
         for i, (text, stem) in enumerate(terms):
             node = 0
             for c in text:
@@ -84,11 +91,23 @@ class Automaton:
                 node = self.children[node][c]
                 self.room[node] = max(self.room[node], self.edits[i])
             (self.stem_end if stem else self.word_end)[node] = i
+        self._begin()
+
+    def _begin(self) -> None:
+        """No state but the dead one and those of the start."""
         self.number: dict[tuple, int] = {(): 0}
         self.states: list[tuple] = [()]
         self.next: list[dict[str, int]] = [{}]
         self.accept: list = [None]
-        self.first = {c: self._state({n: 0}) for c, n in self.children[0].items()}
+        self.held = 0  # entries of all states, and four for each
+        if self.any_first:
+            self.start = self._state({0: 0})
+        else:
+            self.start = 1  # a state with the steps given here and no others
+            self.states.append(())
+            self.next.append({})
+            self.accept.append(None)
+            self.next[1] = {c: self._state({n: 0}) for c, n in self.children[0].items()}
 
     def _state(self, found: dict) -> int:
         """The state with these nodes, after the moves that spend an edit on a letter left out."""
@@ -109,6 +128,7 @@ class Automaton:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
+            self.held += len(key) + 4
             self.next.append({})
             hits = [(e, -1 - n) for n, e in key if n < 0]
             hits += [(e, self.word_end[n]) for n, e in key if n in self.word_end and e <= self.edits[self.word_end[n]]]
@@ -133,18 +153,23 @@ class Automaton:
             if spent + 1 <= self.room[node]:
                 put(node, spent + 1)  # a letter too many
         to = self._state(found) if found else 0
-        if len(self.states) < 200_000:
-            self.next[state][c] = to
+        self.next[state][c] = to
         return to
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, term) of the nearest term; None if there is none near enough."""
-        state = self.first.get(word[:1], 0)
-        for c in word[1:]:
+    def match(self, word: str, free: int = 0) -> tuple[int, int] | None:
+        """(edits, term) of the nearest term; None if there is none near enough. The last
+        ``free`` characters may be part of the word or not."""
+        if self.held > MOST_HELD:
+            self._begin()
+        state, best, must = self.start, None, len(word) - free
+        for i, c in enumerate(word):
             if not state:
-                return None
-            state = self.next[state].get(c, -1) if c in self.next[state] else self._step(state, c)
-        return self.accept[state]
+                return best
+            if free and i >= must:
+                best = min(filter(None, (best, self.accept[state])), default=None)
+            to = self.next[state].get(c)
+            state = self._step(state, c) if to is None else to
+        return min(filter(None, (best, self.accept[state])), default=None)
 
 
 class Model:
@@ -172,24 +197,44 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.automaton = model, Automaton(model.terms)
+        self.model, self.automaton = model, Automaton(model.terms, any_first=True)
+        self.seen: dict[str, tuple[int, int] | None] = {}
+
+    def nearest(self, token: str) -> tuple[int, int] | None:
+        """(edits, term) of the nearest term, over all readings of the signs around the token."""
+        if token in self.seen:
+            return self.seen[token]
+        core = token.strip(SIGNS)
+        lead, tail = token[:token.index(core)], token[token.index(core) + len(core):]
+        match = self.automaton.match
+        best = match(folded(core))
+        if (lead or tail) and any(c.isalpha() for c in core):
+            # more signs before the word than any term has letters can't be its letters
+            word, after = folded(core), tail.translate(STANDS_FOR)
+            starts = [lead[i:].translate(STANDS_FOR) for i in range(max(0, len(lead) - self.automaton.longest), len(lead) + 1)]
+            found = [match(start + word + after, len(after)) for start in starts]
+            best = min(filter(None, [best, *found]), default=None)
+        if len(token) <= LONGEST_KEPT:
+            if len(self.seen) >= MOST_WORDS:
+                self.seen.clear()
+            self.seen[token] = best
+        return best
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
         """(term, edits, factor of the context) of every hit, in text order."""
         low = text.lower()
         if len(low) != len(text):  # a few characters grow in lower case; keep positions together
             text = low
-        match = self.automaton.match
-        first = self.automaton.first
-        tokens = TOKEN.findall(low)
-        found = {t: m for t in set(tokens) if folded(t)[:1] in first and (m := match(folded(t)))}
+        if not self.model.terms:
+            return []
+        found = {t: m for t in set(SIGNED.findall(low)) if (m := self.nearest(t))}
         if not found:
             return []
-        out, spans = [], [m for m in TOKEN.finditer(low)]
+        out, spans = [], [m for m in SIGNED.finditer(low)]
         for i, m in enumerate(spans):
             if m[0] in found:
                 edits, term = found[m[0]]
-                near = [s[0] for s in spans[max(0, i - WINDOW_WORDS):i]]
+                near = [s[0].strip(SIGNS) for s in spans[max(0, i - WINDOW_WORDS):i]]
                 factor = QUOTED if is_quoted(text, m.start(), m.end()) or REPORTING.intersection(near) else 1.0
                 if factor == 1.0 and ADDRESS.intersection(near[-2:]):
                     factor = ADDRESSED

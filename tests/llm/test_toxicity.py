@@ -93,3 +93,32 @@ def test_odd_documents(spark):
     empty = tx.fit_toxicity(no_documents(spark), labels, F.lit(True))
     assert empty.terms == [] and {round(r.score, 9) for r in tx.score_toxicity(docs, empty).collect()} == {0.5}
     assert tx.score_toxicity(no_documents(spark), empty).count() == 0
+
+
+def test_edits_and_signs_at_the_first_letter():
+    rng = random.Random(8)
+    terms = [("worthless", False), ("loser", False), ("scum", False), ("stupid", False), ("asshole", False), ("lostras", True), ("vequent", True)]
+    auto = tx.Automaton(terms, any_first=True)
+
+    def brute(word):
+        near = [(min(distance(word[:n], t) for n in range(len(word) + 1)) if s else distance(word, t), i) for i, (t, s) in enumerate(terms)]
+        return min(((d, i) for d, i in near if d <= tx.allowed_edits(len(terms[i][0]), terms[i][1])), default=None)
+
+    words = {t for t, _ in terms} | {"", "l", "ztupid", "tupid", "tsupid", "xstupid", "orthless", "rthless", "ostrasung", "xlostrasung"}
+    for _ in range(3000):
+        w = list(rng.choice(terms)[0] + rng.choice(["", "", "er", "s"]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice([0, 0, 1, rng.randrange(len(w) + 1)])
+            w[at:at + rng.choice([0, 1])] = rng.choice([[], ["a"], ["s"], ["e"]])
+        words.add("".join(w))
+    want = {w: brute(w) for w in words}
+    assert {w: auto.match(w) for w in words} == want and want["ztupid"] == (1, 3)
+    for w in sorted(words)[:300]:  # the states are made anew, the answers stay
+        auto.held = tx.MOST_HELD + 1
+        assert auto.match(w) == want[w]
+
+    score = tx.Scorer(tx.Model([(t, s) for t, s in terms], [5.0] * len(terms), -4.0))
+    for text, hit in (("$tupid", (3, 0)), ("a ztupid one", (3, 1)), ("@sshole!!", (4, 0)), ("$cum", (2, 0)), ("stupid!!!", (3, 0)),
+                      ("!!!stupid", (3, 0)), ("loser$", (1, 0)), ("“@sshole”", (4, 0))):
+        assert [h[:2] for h in score.hits(text)] == [hit], text
+    assert score.hits("$5 @455 !!! cum " + "$" * 50_000 + " tupidity@") == [] and score.hits("you !!$tupid")[0][2] == tx.ADDRESSED
