@@ -2,8 +2,10 @@
 
 In Spark expressions only. A text is made canonical: lower case, copyright lines and
 everything but letters and digits dropped, equivalent spellings made one, blanks
-collapsed. The digest of the whole canonical text is hash-joined to the digests of
-the known licences (a fixed table, so its broadcast has a fixed size). The lines of the
+collapsed. The digest of the canonical text, title lines at its head left out
+('MIT License'), is hash-joined to the digests of the known licences: the notices of
+``KNOWN`` and the whole texts of ``WHOLE`` (a fixed table, so its broadcast has a fixed
+size). The lines of the
 text are looked up the same way, which finds the notices by which a document states
 its licence. A text that differs in a single word has another digest: this finds
 licences, not texts about them.
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import quoted, without
+from .license_texts import BSD_3, TEXTS
 
 # Spellings that count as equal.
 SPELLINGS = (
@@ -69,6 +72,59 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+
+# Canonical title lines, as licences have them above their text, in any order.
+TITLES = (
+    "license", "the license", "software license", "all rights reserved", "mit license", "the mit license", "the mit license mit", "mit license mit",
+    "mit", "expat license", "isc license", "the isc license", "isc license isc", "the isc license isc", "isc", "zero clause bsd", "bsd zero clause license",
+    "zero clause bsd license", "zero clause bsd license 0bsd", "0bsd", "bsd zero clause license 0bsd", "bsd license", "the bsd license", "new bsd license",
+    "the new bsd license", "modified bsd license", "simplified bsd license", "bsd 2 clause license", "the bsd 2 clause license", "bsd 2 clause",
+    "bsd 2 clause simplified license", "bsd 2 clause simplified", "freebsd license", "bsd 3 clause license", "the bsd 3 clause license", "bsd 3 clause",
+    "bsd 3 clause new or revised license", "bsd 3 clause new license", "revised bsd license", "apache license", "the apache license", "version 2 january 2004",
+    "apache license version 2 january 2004", "apache license version 2", "apache license 2 0", "http www apache org licenses", "gnu general public license",
+    "the gnu general public license gpl", "the gnu general public license", "version 1 february 1989", "version 2 june 1991", "version 3 29 june 2007",
+    "gnu general public license version 2 june 1991", "gnu general public license version 3 29 june 2007", "gnu general public license version 3",
+    "gnu general public license version 2", "gnu lesser general public license", "version 2 1 february 1999", "gnu library general public license",
+    "gnu lesser general public license version 3 29 june 2007", "gnu lesser general public license version 2 1 february 1999", "gnu free documentation license",
+    "version 1 2 november 2002", "version 1 3 3 november 2008", "mozilla public license", "mozilla public license version 2 0", "mozilla public license version 2",
+    "mozilla public license version 1 1", "version 1 1", "version 2 0", "version 2", "the artistic license", "artistic license", "creative commons legal code",
+    "cc0 1 0 universal", "creative commons zero v1 0 universal", "the unlicense", "unlicense", "boost software license version 1 0 august 17th 2003",
+    "boost software license version 1 0", "boost software license", "zlib license", "the zlib license", "zlib",
+)
+TITLE_LINES = 8
+
+
+def _whole_texts() -> tuple[tuple[str, str], ...]:
+    """(id, text) of whole licences in their usual variants: the BSD ones with or without
+    numbers, by holder and name; ISC with 'and'; long ones with or without what follows their terms."""
+    out = []
+    for numbered in (True, False):
+        for bsd in (BSD_3, BSD_3.replace("COPYRIGHT HOLDERS AND", "COPYRIGHT HOLDER AND")):
+            for owner in ("HOLDER", "HOLDERS", "OWNER"):
+                text = bsd.replace("COPYRIGHT\nHOLDER OR", f"COPYRIGHT\n{owner} OR")
+                parts = [p[3:] if not numbered and p[:1].isdigit() else p for p in text.split("\n\n")]
+                out.append(("BSD-2-Clause", "\n\n".join(p for p in parts if "Neither the name" not in p)))
+                for name in ("the copyright holder", "the copyright holders", "the copyright owner", "the author", "the authors", "the project", "the organization", "the University"):
+                    for whose in ("its", "their", "any"):
+                        out.append(("BSD-3-Clause", "\n\n".join(parts).replace("the copyright holder nor the names of its", f"{name} nor the names of {whose}")))
+    for i, text in KNOWN:
+        if i in ("ISC", "0BSD") and "modify, and/or distribute" in text:
+            out.append((i, text.replace("modify, and/or distribute", "modify, and distribute")))
+        if i == "MIT" and "permission notice shall" in text:
+            out.append((i, text.replace("permission notice shall", "permission notice (including the next paragraph) shall")))
+    for i, text in TEXTS:
+        out.append((i, text))
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest.strip():
+            out += [(i, terms + end), (i, terms)]
+        if i == "Unlicense":
+            out += [(i, text.replace("http:", "https:")), (i, text[:text.index("For more information")])]
+            out.append((i, text.replace("http://unlicense.org/", "https://unlicense.org")))
+    return tuple(dict.fromkeys(out))
+
+
+# Whole texts of known licences, for the text as a whole.
+WHOLE = _whole_texts()
 MOST_KNOWN = 1_000
 OUTPUTS = ("license_id", "notices", "n_notice_lines", "canonical_md5")
 
@@ -83,29 +139,38 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def untitled(lines: Column) -> Column:
+    """Canonical lines without the title lines at their head (``TITLE_LINES`` at most)."""
+    other = F.array_position(F.transform(F.slice(lines, 1, TITLE_LINES), lambda x: x.isin(*TITLES)), F.lit(False)).cast("int")
+    first = F.when(other > 0, other).otherwise(F.lit(TITLE_LINES + 1))
+    return F.when(F.get(lines, F.lit(0)).isin(*TITLES), F.slice(lines, first, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines)
+
+
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, id) of the known licences; ``MOST_KNOWN`` at most, so it may be broadcast."""
+    """(digest, id) of the known licences without titles; ``MOST_KNOWN`` at most, so it may be broadcast."""
     if len(known) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
     table = spark.createDataFrame([(i, t) for i, t in known], "id string, text string")
-    digest = F.md5(F.array_join(canonical_lines(F.col("text")), " ").cast("binary"))
+    digest = F.md5(F.array_join(untitled(canonical_lines(F.col("text"))), " ").cast("binary"))
     return table.select(digest.alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("id"))
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", known=KNOWN) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", known=KNOWN, whole=WHOLE) -> DataFrame:
     """``docs`` with ``license_id`` (of the licence that the whole text is, else null),
     ``notices`` (sorted ids of the licences that its lines are), ``n_notice_lines`` and
     ``canonical_md5``. No shuffle: both lookups are against the fixed table."""
-    digests = known_digests(docs.sparkSession, known)
-    # the same fixed table as a literal map, for the lines (at most MOST_KNOWN entries, known before the job)
-    entries = digests.collect()
+    digests = known_digests(docs.sparkSession, (*known, *whole))
+    # the notices as a literal map, for the lines (at most MOST_KNOWN entries, known before the job)
+    entries = known_digests(docs.sparkSession, known).collect()
     lookup = F.create_map(*[F.lit(v) for r in entries for v in (r["digest"], r["id"])])
     rows = docs.select(*[quoted(c) for c in without(docs, OUTPUTS)]).withColumn("__lines", canonical_lines(quoted(text_col)))
     rows = rows.withColumn("canonical_md5", F.md5(F.array_join("__lines", " ").cast("binary")))
-    rows = rows.join(F.broadcast(digests.withColumnsRenamed({"digest": "__digest", "id": "license_id"})), F.col("canonical_md5") == F.col("__digest"), "left")
+    titled = F.get("__lines", F.lit(0)).isin(*TITLES)
+    rows = rows.withColumn("__body", F.when(titled, F.md5(F.array_join(untitled(F.col("__lines")), " ").cast("binary"))).otherwise(F.col("canonical_md5")))
+    rows = rows.join(F.broadcast(digests.withColumnsRenamed({"digest": "__digest", "id": "license_id"})), F.col("__body") == F.col("__digest"), "left")
     found = F.filter(F.transform("__lines", lambda x: F.try_element_at(lookup, F.md5(x.cast("binary")))), lambda x: x.isNotNull())
     return rows.withColumn("__found", found).withColumn("notices", F.array_sort(F.array_distinct("__found"))) \
-        .withColumn("n_notice_lines", F.size("__found").cast("long")).drop("__lines", "__digest", "__found")
+        .withColumn("n_notice_lines", F.size("__found").cast("long")).drop("__lines", "__body", "__digest", "__found")
 
 
 def q_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

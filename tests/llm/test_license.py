@@ -37,3 +37,17 @@ def test_odd_documents(spark):
     assert ls.scan_licenses(no_documents(spark)).count() == 0
     plan = ls.q_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_texts_of_common_licenses_with_titles(spark):
+    whole = dict(ls.TEXTS)
+    texts = [(i, t) for i, t in ls.TEXTS] + [(i, "Copyright (c) 2020 X\n\n" + t.upper()) for i, t in ls.TEXTS]
+    texts += [("MIT", f"{h}\n\nCopyright (c) 2020 X\n\n{MIT}") for h in ("MIT License", "The MIT License (MIT)", "# The MIT Licence")]
+    texts += [("ISC", "ISC License\n\n" + ISC), ("0BSD", "BSD Zero Clause License\n" + ls.KNOWN[2][1]), ("Unlicense", "The Unlicense\n" + whole["Unlicense"])]
+    bsd_2 = ls.BSD_3[:ls.BSD_3.index("3. Neither")] + ls.BSD_3[ls.BSD_3.index("THIS SOFTWARE"):]
+    for i, t in (("BSD-3-Clause", ls.BSD_3), ("BSD-2-Clause", bsd_2)):
+        texts += [(i, t), (i, f"{i[:5]} Clause License\n\nCopyright 2020 X\nAll rights reserved.\n\n{t}"), (i, t.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    texts += [("Apache-2.0", whole["Apache-2.0"].partition("END OF TERMS")[0]), (None, "MIT License"), (None, "MIT License\n\n" + MIT + "\nExtra."), (None, "\n".join(["MIT"] * 40))]
+    got = scan(spark, [t for _, t in texts])
+    assert [got[i].license_id for i in range(len(texts))] == [i for i, _ in texts]
+    assert len({*ls.KNOWN, *ls.WHOLE}) <= ls.MOST_KNOWN
