@@ -2,7 +2,8 @@
 
 In Spark expressions only. A text is made canonical: lower case, copyright lines and
 everything but letters and digits dropped, equivalent spellings made one, blanks
-collapsed. The digest of the canonical text, title lines at its head left out
+collapsed. A copyright line has the form of a notice (word or sign, then a year or a
+holder); lines of a licence that only begin with the word ('copyright holders') stay. The digest of the canonical text, title lines at its head left out
 ('MIT License'), is hash-joined to the digests of the known licences: the notices of
 ``KNOWN`` and the whole texts of ``WHOLE`` (a fixed table, so its broadcast has a fixed
 size). The lines of the
@@ -126,13 +127,27 @@ def _whole_texts() -> tuple[tuple[str, str], ...]:
 # Whole texts of known licences, for the text as a whole.
 WHOLE = _whole_texts()
 MOST_KNOWN = 1_000
+
+# Words after 'copyright' that name no holder.
+NO_HOLDER = (
+    r"(?:holder|owner|notice|law|licen[sc]e|statement|interest|permission|disclaimer|act|right|claim|infringement|work|doctrine|material|term|issue|treat(?:y|ie))s?"
+    r"|holder['’]s|owner['’]s|ownership|licen[sc]ing|information|protection|protected|resulting|status|policy|like|year"
+    r"|and|or|of|on|in|is|are|if|as|to|for|with|under|that|which|may|shall|must|will|can|but|any|this|these|the[ \t]+(?:software|program|library|work|document)"
+)
+COPYRIGHT_LINE = (
+    r"(?md)^[ \t]*(?:"
+    r"(?:copyright|\(c\)|©)(?:[ \t:,]|copyright\b|\(c\)|©|by\b)*[\[<{(]?(?:(?:[12][0-9]{3}|19yy|20yy|yyyy)\b|year\b)"  # a year, or the place of one
+    r"|copyright[ \t:,]*(?:\(c\)|©)|©"  # the sign
+    rf"|copyright(?:[ \t]+|[ \t]*:[ \t]*)(?!(?:{NO_HOLDER})\b|the[ \t]*$)[\p{{L}}\p{{N}}\[<{{]"  # a holder
+    r")[^\n]*$"
+)
 OUTPUTS = ("license_id", "notices", "n_notice_lines", "canonical_md5")
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that have a letter or digit."""
     t = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    t = F.regexp_replace(t, r"(?md)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", "")
+    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")

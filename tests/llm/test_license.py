@@ -1,3 +1,5 @@
+import re
+import textwrap
 from collections import Counter
 
 from odd import ROWS, no_documents, odd_documents
@@ -51,3 +53,35 @@ def test_whole_texts_of_common_licenses_with_titles(spark):
     got = scan(spark, [t for _, t in texts])
     assert [got[i].license_id for i in range(len(texts))] == [i for i, _ in texts]
     assert len({*ls.KNOWN, *ls.WHOLE}) <= ls.MOST_KNOWN
+
+
+def test_known_texts_wrapped_at_any_width(spark):
+    sign = re.compile(r"\(c\) *[<\[\d]|copyright\s+(?:\[|\(c\))|©", re.IGNORECASE)
+
+    def wrapped(p, width):  # not between 'version' and its number, which SPELLINGS read together
+        joined = re.sub(r"(?i)(version) (?=\d)", r"\1~", " ".join(p.split()))
+        return textwrap.fill(joined, width, break_long_words=False, break_on_hyphens=False).replace("~", " ")
+
+    rows, want = [], []
+    for i, t in [(i, t) for i, t in (*ls.KNOWN[:3], ("BSD-3-Clause", ls.BSD_3), *ls.TEXTS)]:
+        # headings stay lines of their own, and so do paragraphs with a notice
+        parts = re.split(r"\n[ ]*\n", t)
+        for width in (15, 30, 47, 60, 72, 80, 100, 10_000):
+            body = [p if n < (3 if len(t) > 2000 else t.startswith("Boost")) or sign.search(p) else wrapped(p, width) for n, p in enumerate(parts)]
+            rows.append("\n\n".join(body))
+            want.append((i, width))
+    usual = MIT.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT").replace("The above copyright", "The above\ncopyright")
+    rows, want = [*rows, usual], [*want, ("MIT", 0)]
+    got = scan(spark, rows)
+    assert [w for n, w in enumerate(want) if got[n].license_id != w[0]] == []
+
+
+def test_copyright_lines(spark):
+    notices = ["Copyright 2019 A", "copyright (c) 1999-2004, A B", "(C) 2020 X", "© X", "Copyright © X", "Copyright: A Person", "Copyright by A", "Copyright The Project Authors",
+               "Copyright [yyyy] [name of copyright owner]", "Copyright (C) <year>  <name>", "  COPYRIGHT SOME ONE", "(c) Copyright 2001 X"]
+    body = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list", "copyright, patent and trademark", "(c) You must retain", "Copyright and Related Rights", "copyright law.",
+            "Copyright Holder(s)", "copyright owner or contributors", "copyright the software, and"]
+    got = scan(spark, [*notices, *body])
+    nothing = scan(spark, [""])[0].canonical_md5
+    assert [n for n, r in enumerate(notices) if got[n].canonical_md5 != nothing] == []
+    assert [t for n, t in enumerate(body, len(notices)) if got[n].canonical_md5 == nothing] == []
