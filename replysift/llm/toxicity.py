@@ -1,7 +1,7 @@
 """Toxicity (1): a lexicon trie crossed with Levenshtein automata, scored by context.
 
 Learning. From at most ``max_rows`` labelled documents (least hashes of the ids, the
-bound is a parameter; documents that share their least word hash, so near copies,
+bound is a parameter; documents that share four least word hashes, so near copies,
 count once) every word and word beginning is counted in toxic and in clean
 documents. Terms that are much likelier in toxic ones form the lexicon: whole words,
 and stems where many words with one beginning behave alike. A term's weight is its
@@ -258,10 +258,21 @@ def words_of(text: str) -> set[str]:
 
 
 class _Group:
-    """Least hash of the longer words: the same for most near copies."""
+    """Least hashes of the longer words in four orders, together: the same for most near
+    copies, hardly ever for others. Without longer words, a hash of all words."""
+
+    ORDERS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def key(self, text: bytes) -> int:
+        words = set(text.lower().split())
+        longer = [xxhash.xxh3_64_intdigest(w) for w in words if len(w) > 4]
+        if not longer:
+            return xxhash.xxh3_64_intdigest(b" ".join(sorted(words)))
+        least = [(np.array(longer, np.uint64) * order).min() for order in self.ORDERS]
+        return xxhash.xxh3_64_intdigest(np.array(least, np.uint64).tobytes())
 
     def __call__(self, texts):
-        return [pa.array([min((xxhash.xxh3_64_intdigest(w) for w in set(t.lower().split()) if len(w) > 4), default=0) - (1 << 63) for t in texts], pa.int64())]
+        return [pa.array([self.key(t) - (1 << 63) for t in texts], pa.int64())]
 
 
 def count_terms(known: DataFrame) -> DataFrame:

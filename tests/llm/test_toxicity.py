@@ -122,3 +122,16 @@ def test_edits_and_signs_at_the_first_letter():
                       ("!!!stupid", (3, 0)), ("loser$", (1, 0)), ("“@sshole”", (4, 0))):
         assert [h[:2] for h in score.hits(text)] == [hit], text
     assert score.hits("$5 @455 !!! cum " + "$" * 50_000 + " tupidity@") == [] and score.hits("you !!$tupid")[0][2] == tx.ADDRESSED
+
+
+def test_only_near_copies_count_once():
+    rng = random.Random(3)
+    words = [f"word{i:04d}" for i in range(2000)]
+    least = min(words, key=lambda w: tx.xxhash.xxh3_64_intdigest(w.encode()))
+    unlike = [" ".join([least, *rng.sample(words, 40)]).encode() for _ in range(300)]
+    key = tx._Group()([*unlike, b"a b c", b"d e f", b"b c a c", b"", unlike[0].upper()])[0].to_pylist()
+    assert len(set(key[:300])) > 290 and len({key[300], key[301], key[303]}) == 3
+    assert key[302] == key[300] and key[304] == key[0]
+    long = [" ".join(rng.sample(words, 400)) for _ in range(100)]
+    near = tx._Group()([t.encode() for x in long for t in (x, x + " added")])[0].to_pylist()
+    assert sum(near[2 * i] == near[2 * i + 1] for i in range(100)) > 90
