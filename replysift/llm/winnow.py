@@ -6,7 +6,10 @@ units in a row give one hash; of every ``window`` consecutive hashes the least i
 selected, the rightmost of equal ones, and kept with its position. Two texts that
 share a run of at least ``k + window - 1`` units share a selected hash (the match
 guarantee) and the positions say where; nothing shorter than ``k`` units is ever
-matched. Units rather than characters: at the same guarantee in text length there
+matched. The cuts of a run without blanks are counted from its start: text without
+blanks (Chinese, Japanese, Thai, minified code, long encodings) has the match guarantee
+only where a shared passage lies at the same offset modulo ``UNIT_CHARS`` in its run; one
+character put in before it may leave no hash in common. Units rather than characters: at the same guarantee in text length there
 are about six times fewer hashes to make, and blanks don't count.
 
 A hash (36 bits) and its position (27 bits, counted from the end) are packed in
