@@ -5,7 +5,8 @@
 3. n-gram Jaccard join: of each component of five-word shingle sets with a similarity
    of 0.8 or more, the document with the smallest id stays;
 4. mixing: documents are repeated and cut so that the sources' words meet their targets;
-5. SentencePiece: the ids of every text that is left.
+5. SentencePiece: the ids of every text that is left. Encoding only: nothing is decoded
+   here, and no column says whether the ids give the text back (``op6`` does that).
 
 Each stage takes (spark, docs, sf_dir), works on all of ``docs``, and but for the last
 returns the columns of ``documents``. Fitting uses labels of the training fold only.
