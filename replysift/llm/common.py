@@ -43,6 +43,14 @@ def fold_of(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of "a long, b string"; needs the session, so call it on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of a string or binary column of about ``most`` bytes at most."""
     ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
@@ -108,6 +116,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 __all__ = [
-    "BLANKS", "WORD_RE", "fold_of", "map_texts", "mix64", "new_stage_path", "quoted", "read_table",
+    "BLANKS", "WORD_RE", "arrow_schema", "fold_of", "map_texts", "mix64", "new_stage_path", "quoted", "read_table",
     "ship_package", "stage", "stage_root", "text_slices", "without",
 ]

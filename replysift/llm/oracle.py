@@ -78,4 +78,54 @@ SELECT doc_id, size, source_size, target,
 FROM a
 """
 
-ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9}
+def _moved(best: str, cost: str, edit: str) -> str:
+    """``best`` (nine digits of cost, then an audit) behind one more edit."""
+    return f"(lpad(CAST(CAST(left({best}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{edit}' || substr({best}, 10))"
+
+
+#: One recursive step for each row from the last to the first; least() takes the cost, then the audit.
+OP13 = f"""
+WITH RECURSIVE steps AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+    FROM range(256) r(i))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+dealt AS (SELECT src.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) % 20 AS d FROM src, steps),
+hurt AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM dealt, range(2) x(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+named AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT c, hurt.*, rtrim(text, {_BLANKS}) AS ended, left(role, 1) AS ini,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM hurt JOIN named ON named.conv_id IS NOT DISTINCT FROM hurt.conv_id),
+faulty AS (SELECT *, CASE WHEN ended = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY c ORDER BY i) AS prev FROM placed),
+counted AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY c),
+best(c, i, f0, f1, f2, f3) AS (
+    SELECT c, coalesce(n, 0) + 1, '000000000', '000000010II', '000000005I', '000000000' FROM named LEFT JOIN counted USING (c)
+    UNION ALL
+    SELECT c, i, least(g0, {_moved("least(g2, " + _moved("g3", "5", "I") + ")", "5", "I")}), least(g1, {_moved("least(g2, " + _moved("g3", "5", "I") + ")", "5", "I")}),
+           least(g2, {_moved("g3", "5", "I")}), least(g3, {_moved("g2", "5", "I")})
+    FROM (SELECT c, i, least({_moved("f0", "2", "D")}, CASE WHEN stays THEN {_moved("f2", "1 + p", "R")} END, CASE WHEN stays AND ini = 's' THEN {_moved("f1", "p", "K")} WHEN stays AND ini = 'u' THEN {_moved("f2", "p", "K")} END) AS g0,
+                 least({_moved("f1", "2", "D")}, CASE WHEN stays THEN {_moved("f2", "1 + p", "R")} END, CASE WHEN stays AND ini = 'u' THEN {_moved("f2", "p", "K")} END) AS g1,
+                 least({_moved("f2", "2", "D")}, CASE WHEN stays THEN {_moved("f3", "1 + p", "R")} END, CASE WHEN stays AND ini = 'a' THEN {_moved("f3", "p", "K")} END) AS g2,
+                 least({_moved("f3", "2", "D")}, CASE WHEN stays THEN {_moved("f2", "1 + p", "R")} END, CASE WHEN stays AND ini = 'u' THEN {_moved("f2", "p", "K")} END) AS g3
+          FROM (SELECT f.c, f.i, f.ini, fault NOT IN ('b', 'd') AS stays, CASE fault WHEN 't' THEN 5 ELSE 0 END AS p, f0, f1, f2, f3
+                FROM best JOIN faulty f ON f.c = best.c AND f.i = best.i - 1))),
+solved AS (SELECT c, CAST(left(f0, 9) AS BIGINT) AS cost, substr(f0, 10) AS audit FROM best WHERE i = 1),
+edits AS (SELECT c, e, j, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY j) AS i
+    FROM (SELECT c, unnest(string_split(audit, '')) AS e, unnest(range(1, len(audit) + 1)) AS j FROM solved WHERE audit <> '')),
+kept AS (SELECT edits.c, e, j, role, text, ini, row_number() OVER (PARTITION BY edits.c ORDER BY j) AS place
+    FROM edits LEFT JOIN faulty ON faulty.c = edits.c AND faulty.i = edits.i AND e <> 'I' WHERE e <> 'D'),
+said AS (SELECT c, place, CASE WHEN e = 'K' THEN role WHEN (place - max(CASE WHEN place = 1 AND e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c)) % 2 = 1
+    THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM kept),
+hashed AS (SELECT c, sha256(string_agg(line, chr(10) ORDER BY place)) AS h FROM said GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, cost, audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM named JOIN solved USING (c) LEFT JOIN counted USING (c) LEFT JOIN hashed USING (c)
+"""
+
+
+ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9, "op13_conversation_repair": OP13}

@@ -15,6 +15,7 @@ from .quality_rules import q_quality_rules
 from .sentencepiece_backend import q_sentencepiece
 from .token_records import q_token_records
 from .toxicity import q_toxicity
+from .turn_repair import q_conversation_repair
 from .winnow import q_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": q_license_scan,
     "op9_line_dedup": q_line_dedup,
     "op10_winnow": q_winnow,
+    "op13_conversation_repair": q_conversation_repair,
 }
