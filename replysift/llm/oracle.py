@@ -128,4 +128,19 @@ FROM named JOIN solved USING (c) LEFT JOIN counted USING (c) LEFT JOIN hashed US
 """
 
 
-ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9, "op13_conversation_repair": OP13}
+OP12 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS other, b.label AS label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, own, other AS positive_id, score AS positive_score FROM s WHERE label = own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> p.own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9, "op12_hard_negatives": OP12, "op13_conversation_repair": OP13}

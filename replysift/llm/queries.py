@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .gbt_quality import q_gbt_quality
+from .hard_negatives import q_hard_negatives
 from .license_scan import q_license_scan
 from .line_dedup import q_line_dedup
 from .mixing import q_mixing
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": q_license_scan,
     "op9_line_dedup": q_line_dedup,
     "op10_winnow": q_winnow,
+    "op12_hard_negatives": q_hard_negatives,
     "op13_conversation_repair": q_conversation_repair,
 }
