@@ -10,6 +10,7 @@ from .gbt_quality import q_gbt_quality
 from .hard_negatives import q_hard_negatives
 from .license_scan import q_license_scan
 from .line_dedup import q_line_dedup
+from .minhash_join import q_minhash_near_dedup
 from .mixing import q_mixing
 from .partenum_join import q_partenum_join
 from .quality_rules import q_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": q_license_scan,
     "op9_line_dedup": q_line_dedup,
     "op10_winnow": q_winnow,
+    "op11_minhash_near_dedup": q_minhash_near_dedup,
     "op12_hard_negatives": q_hard_negatives,
     "op13_conversation_repair": q_conversation_repair,
 }
