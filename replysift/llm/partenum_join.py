@@ -13,20 +13,10 @@ the three subsets of two parts one holds no difference. A set's signatures are t
 hashes of its shingles in every such subset (the subset's number and the scheme
 included): linking sets share at least one, for certain.
 
-Verifying. Equal sets are one node from the start (node: 64-bit hash of the set).
-Nodes with a common signature are candidates. Each node carries a sketch, a quarter of
-a byte for each shingle: bit ``h mod size`` is the parity of its shingles there. Every
-shingle that two sets don't share changes one bit, so the bits in which two sketches
-differ are a lower bound of the difference, and a pair above the bound can't link: an
-exact filter that moves little data. What passes is checked on the sets themselves.
-Nodes joined in one step aren't compared again:
-1. each node with the smallest fitting node among those of its signature groups;
-2. each node with every such node still in another component;
-3. groups that still have two components: all pairs across components in blocks of
-   ``BLOCK`` nodes, inside tasks, first on sketches, then on the sets of the nodes that
-   found a partner; no pair is written but the links found.
-So no link between different texts is lost, and a group of copies or near copies
-costs a row for each member.
+Verifying. Equal sets are one node from the start. ``settle`` turns the signature groups into
+components: pairs first meet a bound from the parities of their shingles that never drops a link,
+then their whole sets; nodes joined in one step aren't compared again, and no link between different
+texts is lost.
 
 Defined cases: a null or empty text has no shingles and is its own component; equal
 texts are linked; rows that repeat an id count as one document (their sets are
@@ -37,42 +27,19 @@ is replaced.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix64, quoted, ship_package, stage, text_slices
-from .components import components
-from .text_stats import word_ids
+from .common import mix64, quoted, read_table
+from .settle import check_groups, linked_components
+from .shingle_sets import Rule, differing_bits, linked, may_link, set_hash, shingles, sketch
 
 #: Parts of a first-level partition; every subset of all parts but one is a signature.
 PARTS = 3
-BLOCK = 256
-_ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-
-
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``n``-word shingles."""
-    words = text.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = word_ids(words)
-    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, dict.fromkeys(words)), np.uint64)[ids]
-    size = min(n, len(words))
-    total = np.full(len(words) - size + 1, _ODD[60 - size], np.uint64)
-    for i in range(size):
-        total += of_word[i:len(words) - size + 1 + i] * _ODD[i % 50]
-        total = mix64(total) if i % 4 == 3 else total
-    return np.unique(mix64(total))
-
-
-def set_hash(shingle_set: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingle_set.tobytes()) - (1 << 63)
 
 
 @lru_cache(maxsize=None)
@@ -113,231 +80,14 @@ def signatures(shingle_set: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if not small or den * small < num * large:
-        return False
-    both = np.concatenate((a, b))
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return den * common >= num * (small + large - common)
-
-
-def sketch(shingle_set: np.ndarray) -> bytes:
-    """Parities of the shingles by their low bits; at least two bits for a shingle, a power of two."""
-    bits = 1 << max(6, int(2 * len(shingle_set) - 1).bit_length())
-    place = (shingle_set & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Bits in which two sketches differ, the larger one folded to the size of the other."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) != len(y):
-        small = min(len(x), len(y))
-        x, y = (np.bitwise_xor.reduce(v.reshape(-1, small), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def may_link(na: int, a: bytes, nb: int, b: bytes, num: int, den: int) -> bool:
-    """False only if the two sets certainly don't link."""
-    return den * min(na, nb) >= num * max(na, nb) and differing_bits(a, b) * (den + num) <= (den - num) * (na + nb)
-
-
-class _Sets:
-    def __init__(self, n):
-        self.n = n
-
-    def __call__(self, texts):
-        sets = [shingles(t, self.n) for t in texts]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
-
-
-def signature_rows(docs: DataFrame, n: int, num: int, den: int, text_col: str) -> DataFrame:
-    """(sig, node) of every distinct set; each task gives a set once."""
-    ship_package(docs.sparkSession)
-
-    def run(batches):
-        given = set()
-        for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                nodes, sigs = [], []
-                for text in texts:
-                    own = shingles(text, n)
-                    if len(own) and (node := set_hash(own)) not in given:
-                        given.add(node)
-                        made = signatures(own, num, den)
-                        nodes.append(np.full(len(made), node, np.int64))
-                        sigs.append(made)
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-
-    return docs.select(quoted(text_col).cast("string").alias("t")).mapInArrow(run, "sig long, node long")
-
-
-def sets_of(docs: DataFrame, n: int, text_col: str) -> DataFrame:
-    """(node, shingles binary) of these documents."""
-    def run(batches):
-        for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                sets = [s for t in texts if len(s := shingles(t, n))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
-
-    return docs.select(quoted(text_col).cast("string").alias("t")).mapInArrow(run, "node long, shingles binary")
-
-
-def filter_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link. ``nodes``: (node, n, sketch)."""
-    def run(batches):
-        for batch in batches:
-            _, _, na, x, nb, y = (c.to_pylist() for c in batch.columns)
-            keep = pa.array([may_link(*v, num, den) for v in zip(na, x, nb, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "x", "nb", "y").mapInArrow(run, "a long, b long")
-
-
-def check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, checked on their sets."""
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            good = [linked(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64), num, den) for i in range(batch.num_rows)]
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """``members`` (sig, node, label and payload) dealt out: a group's nodes outside its
-    commonest component are queries; queries and all nodes go into blocks by hash, and
-    each (sig, i, j) meets one block of queries with one of nodes, about two blocks of
-    rows whatever the group's size."""
-    narrow = members.select("sig", "node", "label")
-    each = narrow.groupBy("sig", "label").agg(F.count("*").alias("c"))
-    sizes = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).select("sig", F.col("top.label").alias("main"), "n")
-    queries = narrow.join(sizes.select("sig", "main"), "sig").where("label != main").groupBy("sig").agg(F.count("*").alias("nq"))
-    counts = sizes.join(queries, "sig").select("sig", "main", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("nq") / block).cast("int").alias("qb"))
-    dealt = members.join(counts, "sig")
-    as_node = dealt.withColumn("j", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")) \
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).withColumn("query", F.lit(False))
-    as_query = dealt.where("label != main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
-        .withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("qb")).cast("int")).withColumn("query", F.lit(True))
-    return as_node.unionByName(as_query).drop("main", "nb", "qb")
-
-
-def promising(members: DataFrame, nodes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """(sig, node) of the members that have a partner in another component whose sketch
-    allows a link. ``members``: (sig, node, label)."""
-    def run(pdf):
-        import pandas as pd
-
-        mine, asked = pdf[~pdf["query"]], pdf[pdf["query"]]
-        size, label = mine["n"].to_numpy(), mine["label"].to_numpy()
-        node, sketches = mine["node"].to_numpy(), mine["sketch"].to_numpy()
-        found = set()
-        for a, n, c, x in zip(asked["node"], asked["n"], asked["label"], asked["sketch"], strict=True):
-            fits = (label != c) & (den * np.minimum(size, n) >= num * np.maximum(size, n))
-            hits = [k for k in np.flatnonzero(fits) if may_link(n, x, size[k], sketches[k], num, den)]
-            if hits:
-                found.add(int(a))
-                found.update(int(node[k]) for k in hits)
-        return pd.DataFrame({"sig": [int(pdf["sig"].iloc[0])] * len(found), "node": sorted(found)}).astype("int64")
-
-    dealt = _blocks(members.join(nodes, "node"), block)
-    return dealt.groupBy("sig", "i", "j").applyInPandas(run, "sig long, node long").distinct()
-
-
-def check_groups(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links across components inside signature groups. ``members``: (sig, node, label)."""
-    def run(pdf):
-        import pandas as pd
-
-        label = {}
-
-        def root(x):
-            while label.get(x, x) != x:
-                x = label[x]
-            return x
-
-        found = []
-        rows = [(int(n), int(c), np.frombuffer(s, np.uint64), q) for n, c, s, q in zip(pdf["node"], pdf["label"], pdf["shingles"], pdf["query"], strict=True)]
-        nodes, asked = [r for r in rows if not r[3]], [r for r in rows if r[3]]
-        for a, ca, x, _ in asked:
-            for b, cb, y, _ in nodes:
-                if root(ca) != root(cb) and linked(x, y, num, den):
-                    label[root(ca)] = root(cb)
-                    found.append((a, b))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return _blocks(members.join(sets, "node"), block).groupBy("sig", "i", "j").applyInPandas(run, "a long, b long")
+def _describe(sets: list[np.ndarray], num: int, den: int) -> tuple[list[bytes], list[np.ndarray]]:
+    return [b""] * len(sets), [signatures(s, num, den) for s in sets]
 
 
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row for each row of ``docs``."""
-    keyed = stage(map_texts(docs, "n_shingles long, node long, sketch binary", _Sets(n), text_col, keep=[id_col]).select(
-        quoted(id_col).cast("long").alias("id"), "n_shingles", "node", "sketch"), "join-nodes")
-    over = W.partitionBy("sig")
-    rows = signature_rows(docs.where(quoted(id_col).isNotNull()), n, num, den, text_col)
-    grouped = rows.withColumn("rep", F.min("node").over(over)).withColumn("last", F.max("node").over(over))
-    groups = stage(grouped.where("rep != last").select("sig", "node", "rep").distinct(), "join-groups")
-    wanted = groups.select("node").distinct()
-    nodes = stage(keyed.where("id is not null").select("node", F.col("n_shingles").alias("n"), "sketch").join(wanted, "node", "left_semi")
-                  .dropDuplicates(["node"]), "join-sketches")
-
-    def sets_for(some: DataFrame, name: str) -> DataFrame:
-        """The sets of some nodes, from the text of one document each."""
-        one_doc = keyed.join(some, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("__id")).distinct()
-        texts = docs.select(quoted(id_col).cast("long").alias("__id"), quoted(text_col).alias("__text")).join(one_doc, "__id", "left_semi")
-        return stage(sets_of(texts, n, "__text").join(some, "node", "left_semi").dropDuplicates(["node"]), name)
-
-    # 0: an id given to several sets links them
-    same_id = keyed.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    same_id = keyed.join(same_id.where("a != b"), "id").where("node is not null").select("a", F.col("node").alias("b"))
-    # 1: each node with the smallest fitting node of its groups
-    pairs = groups.where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stage(filter_pairs(pairs, nodes, num, den), "join-pairs")
-    sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-sets")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(check_pairs(first, sets, num, den).union(same_id), "join-links")
-    labels = stage(components(links), "join-labels")
-    # 2: each node with every fitting one
-    def label_of(name):
-        return labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
-
-    apart = pairs.join(first, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
-    apart = apart.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
-    links = stage(links.union(check_pairs(apart, sets, num, den)), "join-links")
-    labels = stage(components(links), "join-labels")
-    # 3: what is left, in blocks; groups of two nodes are settled by now
-    rest = stage(_open_groups(groups, labels), "join-rest")
-    hopeful = stage(promising(rest, nodes, num, den), "join-hopeful")
-    if hopeful.take(1):
-        sets = sets_for(hopeful.select("node").distinct(), "join-sets")
-        links = stage(links.union(check_groups(rest.join(hopeful, ["sig", "node"], "left_semi"), sets, num, den)), "join-links")
-        labels = stage(components(links), "join-labels")
-
-    classes = keyed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "label").select("node", "component_id")
-    known = F.col("id").isNotNull()
-    return keyed.join(classes, "node", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(known, F.coalesce("component_id", "id")).alias("component_id"), "node")
-
-
-def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (sig, node, label) of the groups of three nodes or more with two components or more."""
-    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
-    return labelled.join(open_sigs.where("lo != hi and members > 2").select("sig"), "sig", "left_semi").select("sig", "node", "label")
+    return linked_components(docs, n, partial(_describe, num=num, den=den), Rule(num, den), id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -353,5 +103,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
 
 
 def q_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return link_components(docs, n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return link_components(docs, n=3, num=90, den=100)
+
+
+__all__ = ["PARTS", "bands", "check_groups", "differing_bits", "link_components", "linked", "may_link", "one_of_each",
+           "q_partenum_join", "set_hash", "shingles", "signatures", "sketch"]
