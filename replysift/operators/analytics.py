@@ -7,7 +7,7 @@ Results are small; ordering is applied only to those small results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import named
@@ -16,6 +16,8 @@ from ..config import (
     INVALID_LABEL, LABEL, LOW_CONFIDENCE_DEFAULT, TOP_ITEMS_SUMMARY, ListingColumns,
 )
 
+from ..sources.sinks import stage
+
 
 def valid_only(df: DataFrame) -> DataFrame:
     """Rows whose label is not ``INVALID`` (a null label is kept, as in the
@@ -196,8 +198,6 @@ def summary_bundle(
     """The numbers of the run summary as one table
     ``(section, rank, key, n, pct)``: total classified (A9), rows per label
     (A2) and the top-``k`` items among confused rows (A5)."""
-    from pyspark.sql import Window
-
     cc = category_counts(df)
     # the valid-row total as a scalar subquery: no join with the data
     total = valid_only(df).agg(F.count(F.lit(1)).cast("long")).scalar()
@@ -266,3 +266,75 @@ def site_confusion(
         .where(F.col("n_valid") >= F.lit(min_rows))
     )
     return g.withColumn("confused_rate", F.col("n_confused").cast("double") / F.col("n_valid").cast("double"))
+
+
+def alert_report(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS, rate: float = CONFUSION_ALERT_RATE,
+                 k: int = TOP_ITEMS_SUMMARY) -> DataFrame:
+    """D1, what an alert says: (section, scope, study, rank, key, n, pct, alert), sections
+
+    * ``total``: valid rows and confused share, overall and for each study (``alert``: the share exceeds ``rate``);
+    * ``breakdown``: rows for each label, overall and for each study;
+    * ``top_item``: the ``k`` items with most confused rows, overall and for each study.
+
+    The listing is read once: rows for each (study, item, label) are counted with partial sums,
+    and that small table, stored, gives every section. The best items are cut to ``k`` for each task before
+    they move. Rows without a study count overall only, rows without an item in no item list."""
+    study, item = named(cols.study).alias("study"), named(cols.item).alias("item")
+    counted = valid_only(df).groupBy(study, item, F.col(LABEL).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counted = stage(counted, "alert-counts")
+    scopes = F.when(F.col("study").isNull(), F.array(F.struct(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("of")))).otherwise(
+        F.array(F.struct(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("of")), F.struct(F.lit("study").alias("scope"), F.col("study").alias("of"))))
+    each = counted.withColumn("at", F.explode(scopes)).select("at.scope", F.col("at.of").alias("study"), "item", "label", "n")
+    confused = F.col("label") == F.lit("Confused")
+
+    total = each.groupBy("scope", "study").agg(F.sum("n").alias("all"), F.sum(F.when(confused, F.col("n")).otherwise(0)).alias("n"))
+    of_total = total.select("scope", "study", "all")
+    out = ["section", "scope", "study", "rank", "key", "n", "pct", "alert"]
+
+    def shaped(rows: DataFrame, section: str, rank: Column, key: Column, alert: Column) -> DataFrame:
+        named_rows = rows.select(F.lit(section).alias("section"), "scope", "study", rank.cast("long").alias("rank"), key.alias("key"),
+                                 F.col("n").cast("long").alias("n"), _pct(F.col("n"), F.col("all")).alias("pct"), alert.alias("alert"))
+        return named_rows.select(*out)
+
+    def ranked(rows: DataFrame, key: str) -> Column:
+        return F.row_number().over(Window.partitionBy("scope", "study").orderBy(F.desc("n"), F.asc(key)))
+
+    def with_total(rows: DataFrame) -> DataFrame:
+        t = of_total.select(F.col("scope").alias("_s"), F.col("study").alias("_t"), "all")
+        return rows.join(t, (F.col("scope") == F.col("_s")) & F.col("study").eqNullSafe(F.col("_t")))
+
+    none = F.lit(None)
+    share = F.col("n").cast("double") / F.col("all").cast("double")
+    totals = shaped(total, "total", F.lit(0), none.cast("string"), share > F.lit(rate))
+    labels = with_total(each.where(F.col("label").isNotNull()).groupBy("scope", "study", "label").agg(F.sum("n").alias("n")))
+    labels = shaped(labels.withColumn("_r", ranked(labels, "label")), "breakdown", F.col("_r"), F.col("label"), none.cast("boolean"))
+    items = each.where(confused & F.col("item").isNotNull()).groupBy("scope", "study", "item").agg(F.sum("n").alias("n"))
+    items = with_total(items.withColumn("_r", ranked(items, "item")).where(F.col("_r") <= k))
+    items = shaped(items, "top_item", F.col("_r"), F.col("item"), none.cast("boolean"))
+    return totals.unionByName(labels).unionByName(items)
+
+
+def consistently_confused_sites(df: DataFrame, period: Column, cols: ListingColumns = DEFAULT_COLUMNS,
+                                rate: float = CONFUSION_ALERT_RATE, runs: int = 3, min_rows: int = 1) -> DataFrame:
+    """D2 over time: runs of ``runs`` or more consecutive periods in which a site's confused share
+    of valid rows exceeds ``rate``: (site, first_period, last_period, n_periods, n_valid, n_confused).
+
+    ``period``: a whole number that grows by one from a period to the next. A period without
+    ``min_rows`` valid rows ends a run. Rows are counted for each site and period with partial sums; what the
+    window then sees is one row for each site and period over the rate."""
+    confused = F.count_if(F.col(LABEL) == F.lit("Confused"))
+    g = (
+        valid_only(df).where(named(cols.site).isNotNull())
+        .groupBy(named(cols.site).alias("site"), period.cast("long").alias("period"))
+        .agg(F.count(F.lit(1)).alias("n_valid"), confused.alias("n_confused"))
+        .where(F.col("period").isNotNull() & (F.col("n_valid") >= min_rows)
+               & (F.col("n_confused").cast("double") / F.col("n_valid").cast("double") > F.lit(rate)))
+    )
+    # consecutive periods keep their distance to their rank
+    island = F.col("period") - F.row_number().over(Window.partitionBy("site").orderBy("period"))
+    return (
+        g.withColumn("_island", island).groupBy("site", "_island")
+        .agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count(F.lit(1)).cast("long").alias("n_periods"),
+             F.sum("n_valid").cast("long").alias("n_valid"), F.sum("n_confused").cast("long").alias("n_confused"))
+        .where(F.col("n_periods") >= runs).drop("_island")
+    )

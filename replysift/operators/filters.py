@@ -16,10 +16,13 @@ from ..config import (
     MEDIUM_BAND, PREVIEW_CHARS, REASONING, ROW_KEY, ListingColumns,
 )
 from ..functions.text import named, preview
+from ..sources.places import input_positions
 from ..sources.sinks import stage_root
 from .analytics import valid_only
 
 ALL = "All"
+#: Bits of a draw that tell its bin in ``exact_sample``: 4,096 bins for each stratum.
+DRAW_BITS = 12
 
 
 def confidence_band(c: Column | None = None) -> Column:
@@ -160,6 +163,12 @@ def export_positions(df: DataFrame, key: str = ROW_KEY, pos_col: str = "row_pos"
     )
 
 
+def input_export_positions(classified: DataFrame, pos_col: str = "row_pos") -> DataFrame:
+    """L5 + U1 in input order: valid rows in the order of the input, then invalid rows in theirs.
+    ``classified`` is stored and carries places (``sources.places.with_place``)."""
+    return input_positions(classified, [F.col(IS_VALID)], pos_col)
+
+
 def sample_listing(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
     """Bernoulli sample of a listing, e.g. to try a model on part of a large file."""
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
@@ -195,3 +204,30 @@ def key_sample(
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").cast("double")
     return df.where(draw < _stratum_fraction(strata_col, fractions, fraction) * F.lit(4294967296.0))
+
+
+def exact_sample(df: DataFrame, n: int, strata_col: str | None = None, seed: int = 7, key: str = ROW_KEY) -> DataFrame:
+    """D6, exact size: the ``n`` rows of each stratum (all rows of a smaller one; null is a stratum)
+    with the least draws, a draw being the first 32 bits of ``md5("<seed>|<key>")``, ties by key.
+
+    No stratum is sorted or passes through one task: draws are counted in ``2 ** DRAW_BITS`` equal bins for
+    each stratum (a hash aggregate with partial sums, of bounded size), a prefix sum finds the bin in which the
+    n-th row lies, rows of lower bins stay as they are, and only rows of that one bin are ranked.
+    The sample depends on the keys only, not on the layout of the data."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    stratum = named(strata_col) if strata_col else F.lit(None).cast("string")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), named(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    # keys of a stratum as one text, so that null and any value differ
+    d = df.withColumns({"_xs": F.when(stratum.isNull(), "N").otherwise(F.concat(F.lit("V"), stratum.cast("string"))), "_xd": draw})
+    d = d.withColumn("_xb", F.shiftright("_xd", 32 - DRAW_BITS))
+    bins = d.groupBy("_xs", "_xb").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("_xs").orderBy("_xb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = bins.withColumn("upto", F.sum("c").over(upto))
+    cut = bins.where(F.col("upto") >= n).groupBy("_xs").agg(F.min(F.struct("_xb", "upto", "c")).alias("cut"))
+    cut = cut.select("_xs", F.col("cut._xb").alias("_xc"), (F.lit(n) - (F.col("cut.upto") - F.col("cut.c"))).alias("_xn"))
+    j = d.join(cut, "_xs", "left").where(F.col("_xc").isNull() | (F.col("_xb") <= F.col("_xc")))
+    inner = j.where(F.col("_xc").isNull() | (F.col("_xb") < F.col("_xc")))
+    edge = j.where(F.col("_xb") == F.col("_xc")).withColumn("_xr", F.row_number().over(Window.partitionBy("_xs").orderBy("_xd", named(key))))
+    edge = edge.where(F.col("_xr") <= F.col("_xn")).drop("_xr")
+    return inner.unionByName(edge).drop("_xs", "_xd", "_xb", "_xc", "_xn")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import (
@@ -37,6 +37,7 @@ from ..config import (
 )
 from ..functions.text import model_text, named, unicode_trim
 from ..sources.sinks import stage
+from ..sources.snapshots import Folder
 from .classify import stamp_results, validate
 
 #: Width of a bucket when rows are dealt by a numeric id.
@@ -160,6 +161,38 @@ def call_model(prompts: DataFrame, scorer_factory: ScorerFactory, max_parallel:
     return src.mapInPandas(run, "bucket long, batch long, row_keys array<string>, reply string")
 
 
+def ledger_replies(spark: SparkSession, ledger: str) -> DataFrame:
+    """(digest, reply) of the ledger, one reply for each prompt; empty before the first call."""
+    schema = "digest string, reply string"
+    if not Folder(spark, ledger).names():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(ledger).groupBy("digest").agg(F.min("reply").alias("reply"))
+
+
+def call_open_prompts(prompts: DataFrame, scorer_factory: ScorerFactory, ledger: str, max_parallel: int | None = None,
+                      waves: int = 8) -> DataFrame:
+    """M4 with a memory: replies are kept in a Parquet ledger by the SHA-256 of their prompt, and only
+    prompts that it lacks are asked. Returns what ``call_model`` returns.
+
+    Open prompts are asked in ``waves`` jobs (by digest), and each job's replies are in the
+    ledger when it ends: a rerun after a lost job asks at most the wave that was lost again. Equal
+    prompts are asked once. A call that failed leaves nothing behind and is asked again next time. One
+    writer at a time."""
+    if waves < 1:
+        raise ValueError("waves must be at least 1")
+    spark = prompts.sparkSession
+    keyed = stage(prompts.withColumn("digest", F.sha2("prompt", 256)), "model-prompts")
+    known = ledger_replies(spark, ledger).select("digest")
+    asked = keyed.select("digest", "prompt").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    asked = stage(asked.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")), "model-open", partition_by=["wave"])
+    for wave in [r["wave"] for r in asked.select("wave").distinct().orderBy("wave").collect()]:  # at most ``waves``
+        one = asked.where(F.col("wave") == wave).select(
+            F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("batch"), F.array("digest").alias("row_keys"), "prompt")
+        replies = call_model(one, scorer_factory, max_parallel or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        replies.where(F.col("reply").isNotNull()).select(F.col("row_keys")[0].alias("digest"), "reply").write.mode("append").parquet(ledger)
+    return keyed.join(ledger_replies(spark, ledger), "digest", "left").select("bucket", "batch", "row_keys", "reply")
+
+
 def reply_array_text(reply: Column) -> Column:
     """M5 + M6: drop a Markdown fence, then take the first ``[`` to the last ``]``
     across lines; ``''`` when there is none."""
@@ -208,15 +241,20 @@ def classify_with_model(
     persist_replies: bool = True,
     categories=CATEGORIES,
     descriptions=None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """Classified listing with an external model (M1-M9). ``keyed`` must have a
     unique ``row_key`` (``with_row_key`` gives one). Invalid rows never reach the model.
-    ``categories`` and ``descriptions`` put own categories into the instructions."""
+    ``categories`` and ``descriptions`` put own categories into the instructions. ``ledger`` (a folder on the shared
+    store) keeps replies by prompt: a second run, or one after a lost job, asks only what is open."""
     validated = validate(keyed, cols)
     if instructions is None:
         instructions = default_instructions(categories, descriptions)
     prompts = build_prompts(batch_rows(validated, cols, batch_size, n_buckets, bucket_by), instructions)
-    replies = call_model(prompts, scorer_factory, max_parallel)
+    if ledger:
+        replies = call_open_prompts(prompts, scorer_factory, ledger, max_parallel)
+    else:
+        replies = call_model(prompts, scorer_factory, max_parallel)
     if persist_replies:
         replies = stage(replies, "model-replies")
     return apply_results(validated, match_results(replies))

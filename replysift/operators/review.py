@@ -62,6 +62,17 @@ def latest_corrections(corrections: DataFrame, categories=CATEGORIES) -> DataFra
     return latest.select(ROW_KEY, F.element_at(F.array(*[F.lit(c) for c in categories]), which + 1).alias("corrected_label"))
 
 
+def deciding_corrections(corrections: DataFrame, categories=CATEGORIES) -> DataFrame:
+    """Of each row key the correction (row_key, corrected_label, seq) that ``latest_corrections`` goes by.
+    A maximum in one hash aggregate: the order of the rows doesn't matter, and it may be
+    applied again to its own result and more rows."""
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("corrected_label"))
+    rank = F.struct(F.col("seq").isNotNull().alias("given"), F.col("seq").alias("seq"), place.alias("place"), "corrected_label")
+    usable = corrections.where(F.col("corrected_label").isin(*categories) & F.col(ROW_KEY).isNotNull())
+    last = usable.groupBy(ROW_KEY).agg(F.max(rank).alias("last"))
+    return last.select(ROW_KEY, "last.corrected_label", "last.seq")
+
+
 def ignored_corrections(df: DataFrame, corrections: DataFrame, categories=CATEGORIES, key: str = ROW_KEY) -> DataFrame:
     """Corrections that ``apply_corrections`` leaves out, with the reason: no row key, a
     label that is no category, no such row, or a row without a valid answer."""

@@ -156,6 +156,11 @@ cls AS (SELECT * EXCLUDE ({", ".join(f"_n{i}" for i in range(k))}),
 EV = classified_sql(events_listing_sql())
 DOC = classified_sql(documents_listing_sql())
 LI = classified_sql(lineitem_listing_sql())
+# places of the rows: DuckDB scans a file in its order
+LI_PLACED = classified_sql(f"""SELECT * FROM (SELECT {", ".join(na(a, b) for a, b in [
+    ("q", "Query ID"), ("st", "Study Alias"), ("it", "CRF Item"), ("re", "Site Response")])}, place FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS q,
+        'RF-' || l_returnflag AS st, 'LS-' || l_linestatus AS it, ({PHRASES})[(l_orderkey + l_linenumber) % {N_PHRASES} + 1] AS re,
+        row_number() OVER () AS place FROM lineitem))""")
 OUT = '"Is_Valid", "LLM_Classification", "Confidence", "Reasoning", "Human_Reviewed"'
 
 
@@ -497,4 +502,63 @@ ORACLE_SQL: dict[str, str] = {
         f'SELECT "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n {_CLS_VALID} '
         'AND "LLM_Classification" IS NOT NULL GROUP BY 1'
     ),
+    "export_positions_input": f"""WITH {LI_PLACED}
+        SELECT "Query ID", "Is_Valid", "LLM_Classification",
+               row_number() OVER (ORDER BY NOT "Is_Valid", place) - 1 AS row_pos FROM cls""",
+    "alert_report": with_ev(
+        f"""SELECT section, scope, study, CAST(rank AS BIGINT) AS rank, key, CAST(n AS BIGINT) AS n,
+             CAST(n AS DOUBLE) / CAST(total AS DOUBLE) * CAST(100.0 AS DOUBLE) AS pct,
+             CASE section WHEN 'total' THEN CAST(n AS DOUBLE) / CAST(total AS DOUBLE) > CAST(0.3 AS DOUBLE) END AS alert
+           FROM (SELECT 'total' AS section, scope, study, 0 AS rank, CAST(NULL AS VARCHAR) AS key, confused AS n, total FROM totals
+             UNION ALL
+             SELECT 'breakdown', scope, study, row_number() OVER (PARTITION BY scope, study ORDER BY n DESC, label), label, n, total
+             FROM (SELECT scope, study, label, count(*) AS n FROM rows WHERE label IS NOT NULL GROUP BY ALL)
+               JOIN totals t USING (scope, sk)
+             UNION ALL
+             SELECT * FROM (SELECT 'top_item', scope, study, row_number() OVER (PARTITION BY scope, study ORDER BY n DESC, item) AS r, item, n, total
+               FROM (SELECT scope, study, item, count(*) AS n FROM rows WHERE label = 'Confused' AND item IS NOT NULL GROUP BY ALL)
+                 JOIN totals t USING (scope, sk)) WHERE r <= 3)""".replace("SELECT scope, study, label, count", "SELECT scope, study, sk, label, count")
+        .replace("SELECT scope, study, item, count", "SELECT scope, study, sk, item, count").replace("'breakdown', scope, study,", "'breakdown', scope, t.study,")
+        .replace("'top_item', scope, study,", "'top_item', scope, t.study,").replace("PARTITION BY scope, study", "PARTITION BY scope, sk"),
+        f"""rows AS (SELECT 'overall' AS scope, CAST(NULL AS VARCHAR) AS study, '' AS sk, "CRF Item" AS item, "LLM_Classification" AS label {_CLS_VALID}
+             UNION ALL SELECT 'study', "Study Alias", "Study Alias", "CRF Item", "LLM_Classification" {_CLS_VALID} AND "Study Alias" IS NOT NULL),
+           totals AS (SELECT scope, study, sk, count(*) AS total, count(*) FILTER (label = 'Confused') AS confused FROM rows GROUP BY ALL)"""
+    ),
+    "consistent_sites": with_ev(
+        """SELECT site, min(day) AS first_period, max(day) AS last_period, CAST(count(*) AS BIGINT) AS n_periods,
+             CAST(sum(v) AS BIGINT) AS n_valid, CAST(sum(k) AS BIGINT) AS n_confused
+           FROM (SELECT *, sum(CASE WHEN day = before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY site ORDER BY day) AS run
+                 FROM (SELECT *, lag(day) OVER (PARTITION BY site ORDER BY day) AS before FROM days
+                       WHERE CAST(k AS DOUBLE) / CAST(v AS DOUBLE) > CAST(0.25 AS DOUBLE)))
+           GROUP BY site, run HAVING count(*) >= 3""",
+        f"""days AS (SELECT "Site" AS site, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, count(*) AS v,
+             count(*) FILTER ("LLM_Classification" = 'Confused') AS k
+             FROM cls JOIN events ON CAST(event_id AS VARCHAR) = row_key WHERE {NOT_INVALID} AND "Site" IS NOT NULL GROUP BY ALL)"""
+    ),
+    "exact_study_sample": with_ev(
+        """SELECT * FROM cls QUALIFY row_number() OVER (PARTITION BY "Study Alias"
+             ORDER BY CAST('0x' || substr(md5('5|' || row_key), 1, 8) AS BIGINT), row_key) <= 40"""
+    ),
+    "merge_corrections": with_ev("SELECT * FROM applied", f"{CORR}, {APPLIED}"),
+    "column_fill": f"""WITH l AS ({events_listing_sql()})
+        SELECT role, "column", present, n_filled, (SELECT count(*) FROM l) AS n_rows FROM (
+          SELECT 'response' AS role, 'Site Response' AS "column", true AS present, count("Site Response") AS n_filled FROM l
+          UNION ALL SELECT 'item', 'CRF Item', true, count("CRF Item") FROM l
+          UNION ALL SELECT 'query_id', 'Query ID', true, count("Query ID") FROM l
+          UNION ALL SELECT 'study', 'Study Alias', true, count("Study Alias") FROM l
+          UNION ALL SELECT 'original_query', 'Original Query', false, 0
+          UNION ALL SELECT 'site', 'Site', true, count("Site") FROM l)""",
+    "classify_own_roles": with_ev(
+        f"""SELECT "Study Alias" AS study, "LLM_Classification" AS label, CAST(count(*) AS BIGINT) AS n {_CLS_VALID}
+            AND "Study Alias" IS NOT NULL GROUP BY 1, 2"""
+    ),
+    "stream_window_alerts": with_ev(
+        f"""SELECT date_trunc('day', ts) AS window_start, "Study Alias" AS study, CAST(count(*) AS BIGINT) AS n_valid,
+             CAST(count(*) FILTER ("LLM_Classification" = 'Confused') AS BIGINT) AS n_confused,
+             CAST(count(*) FILTER ("LLM_Classification" = 'Confused') AS DOUBLE) / CAST(count(*) AS DOUBLE) AS confused_rate,
+             CAST(count(*) FILTER ("LLM_Classification" = 'Confused') AS DOUBLE) / CAST(count(*) AS DOUBLE) > CAST(0.3 AS DOUBLE) AS alert
+           FROM cls JOIN events ON CAST(event_id AS VARCHAR) = row_key WHERE {NOT_INVALID} GROUP BY ALL"""
+    ),
+    "stream_deciding_corrections": f"""WITH {CORR.replace("SELECT row_key, corrected_label, row_number()", "SELECT row_key, corrected_label, seq, row_number()")}
+        SELECT row_key, corrected_label, seq FROM ranked WHERE rn = 1""",
 }

@@ -7,12 +7,13 @@ Each entry is ``(spark, sf_dir) -> DataFrame`` and reads the benchmark tables
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (
-    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY, CueRule, RuleSet,
+    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY, CueRule, ListingColumns, RuleSet,
 )
 from ..operators import analytics as an
 from ..operators import filters as fl
@@ -21,11 +22,13 @@ from ..operators.classify import classify, validate, validity_counts
 from ..operators.model_batch import apply_results, batch_rows, build_prompts, match_results
 from ..operators.summary import summary_text
 from ..sources import derived as dv
+from ..sources.label_table import LabelTable
 from ..sources.listing import (
-    SURPLUS_COLUMN, listing_profile, normalise_null_tokens, preview_rows, read_listing_csv, with_row_key,
+    SURPLUS_COLUMN, column_fill, listing_profile, normalise_null_tokens, preview_rows, read_listing_csv, spread, with_row_key,
 )
+from ..sources.places import PLACE, with_place
 from ..sources.sinks import (
-    export_by_category, new_stage_path, read_category_export, read_classified_csv, stage, write_csv,
+    export_by_category, new_stage_path, read_category_export, read_classified_csv, stage, stage_scope, write_csv,
 )
 from ..streaming import stream as st
 
@@ -165,10 +168,12 @@ def q_study_category_pivot(spark, sf):
 
 
 def lineitem_classified(spark: SparkSession, sf: str) -> DataFrame:
-    """Classified lineitem listing. Its study (return flag) has three values, one of
-    them holding about half of all rows: a hot group key for the aggregates below.
-    They read the rows once and need no row key, so there is no key and no stage."""
-    return classify(normalise_null_tokens(dv.lineitem_listing(spark, sf)))
+    """Study, label and confidence of the classified lineitem listing, without row keys.
+    Its study (return flag) has three values, one of them holding about half of all rows: a
+    hot group key for the aggregates below. The narrow stage holds what they read: filters on
+    label or confidence would otherwise be pushed below the scoring and copy it."""
+    classified = classify(normalise_null_tokens(dv.lineitem_listing(spark, sf)))
+    return stage(classified.select(C.study, IS_VALID, LABEL, CONFIDENCE), "lineitem-labels")
 
 
 def q_study_category_pivot_lineitem(spark, sf):
@@ -258,8 +263,10 @@ def q_prompt_batches(spark, sf):
 
 
 def q_parse_replies(spark, sf):
-    """M5-M9: replies of every kind, a batch of three rows for each event, parsed and matched."""
-    return match_results(dv.events_replies(spark, sf))
+    """M5-M9: replies of every kind, a batch of three rows for each event, parsed and matched.
+    Parsing is heavy for its few bytes, so replies are dealt out over the shuffle partitions."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return match_results(spread(dv.events_replies(spark, sf), parts))
 
 
 def q_model_results(spark, sf):
@@ -364,6 +371,82 @@ def q_stream_category_counts(spark, sf):
     return st.run_counts_to_table(spark, st.classify_stream(_events_stream(spark, sf)))
 
 
+def q_export_positions_input(spark, sf):
+    """L5/U1 in input order: places are taken at the scan, stored with the classified rows, and
+    turned into positions without a sort over the table."""
+    e = with_place(dv.table(spark, sf, "lineitem"))
+    listing = normalise_null_tokens(dv.lineitem_to_listing(e, (PLACE,)))
+    classified = stage(classify(listing).select(C.query_id, IS_VALID, LABEL, PLACE), "placed")
+    return fl.input_export_positions(classified).select(C.query_id, IS_VALID, LABEL, "row_pos")
+
+
+def q_alert_report(spark, sf):
+    return an.alert_report(events_classified(spark, sf), k=3)
+
+
+def events_timed(spark: SparkSession, sf: str) -> DataFrame:
+    """Classified events listing with the event's time."""
+    e = dv.table(spark, sf, "events")
+    return classify(normalise_null_tokens(dv.events_to_listing(e, ("ts",))))
+
+
+def q_consistent_sites(spark, sf):
+    timed = stage(events_timed(spark, sf).select(C.site, LABEL, "ts"), "events-timed")
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    return an.consistently_confused_sites(timed, day, rate=0.25, runs=3)
+
+
+def q_exact_study_sample(spark, sf):
+    return fl.exact_sample(events_classified(spark, sf), 40, C.study, seed=5)
+
+
+def q_merge_corrections(spark, sf):
+    """R3 as a merge: the classified listing stored by label, corrected part by part."""
+    table = LabelTable(spark, new_stage_path(spark, "label-table"))
+    table.create(events_classified(spark, sf))
+    table.merge(dv.events_corrections(spark, sf))
+    return table.read()
+
+
+def q_column_fill(spark, sf):
+    return column_fill(events_keyed(spark, sf).drop(C.original_query))
+
+
+OWN_ROLES = ListingColumns(response="Reply text", item="Form", query_id="No", study="Trial", original_query="Asked", site="Centre")
+
+
+def q_classify_own_roles(spark, sf):
+    """A listing with headers of its own, from validation to breakdown."""
+    e = events_keyed(spark, sf)
+    renamed = e.withColumnsRenamed(dict(zip(C.roles().values(), OWN_ROLES.roles().values())))
+    return an.study_category_counts(stage(classify(renamed, OWN_ROLES).select("Trial", LABEL), "own-roles"), OWN_ROLES)
+
+
+def q_stream_window_alerts(spark, sf):
+    """D1 over event time: a windowed aggregate with a watermark on the classified stream."""
+    schema = dv.table(spark, sf, "events").schema
+    ev = st.read_parquet_stream(spark, sf, schema, glob="events.parquet")
+    classified = classify(normalise_null_tokens(dv.events_to_listing(ev, ("ts",))))
+    return st.run_alerts_to_table(spark, st.windowed_alerts(classified, "ts", "1 day"))
+
+
+def q_stream_deciding_corrections(spark, sf):
+    """Corrections as a stream, folded into one deciding correction for each row."""
+    schema = dv.table(spark, sf, "events").schema
+    ev = st.read_parquet_stream(spark, sf, schema, glob="events.parquet")
+    return st.run_corrections_to_table(spark, dv.events_to_corrections(ev))
+
+
+def _scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query inside a stage scope: it leaves no stage folder but those its result reads."""
+    @wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with stage_scope(spark) as scope:
+            return scope.keep(query(spark, sf))
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_rows": q_validate_rows,
     "validity_counts": q_validity_counts,
@@ -421,4 +504,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_classify": q_stream_classify,
     "stream_category_counts": q_stream_category_counts,
     "stream_apply_corrections": q_stream_apply_corrections,
+    "export_positions_input": q_export_positions_input,
+    "alert_report": q_alert_report,
+    "consistent_sites": q_consistent_sites,
+    "exact_study_sample": q_exact_study_sample,
+    "merge_corrections": q_merge_corrections,
+    "column_fill": q_column_fill,
+    "classify_own_roles": q_classify_own_roles,
+    "stream_window_alerts": q_stream_window_alerts,
+    "stream_deciding_corrections": q_stream_deciding_corrections,
 }
+QUERIES = {name: _scoped(query) for name, query in QUERIES.items()}

@@ -112,8 +112,9 @@ def events_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_listing(table(spark, sf_dir, "events"))
 
 
-def events_to_listing(e: DataFrame) -> DataFrame:
-    """Row-local projection of ``events`` rows to listing rows (batch or stream)."""
+def events_to_listing(e: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Row-local projection of ``events`` rows to listing rows (batch or stream); ``extra``
+    columns of ``events`` come along."""
     uid = F.col("user_id")
     study = (
         F.when(F.pmod(uid, F.lit(17)) == 0, F.lit(None).cast("string"))
@@ -132,6 +133,7 @@ def events_to_listing(e: DataFrame) -> DataFrame:
         F.concat(F.lit("Please review "), F.col("event_type"), F.lit(" for subject "),
                  uid.cast("string")).alias(ORIGINAL_QUERY),
         phrase_at(F.col("event_id")).alias(RESPONSE),
+        *extra,
     )
 
 
@@ -147,13 +149,17 @@ def documents_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return lineitem_to_listing(table(spark, sf_dir, "lineitem"))
+
+
+def lineitem_to_listing(li: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return li.select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"),
                  F.col("l_linenumber").cast("string")).alias(QUERY_ID),
         F.concat(F.lit("RF-"), F.col("l_returnflag")).alias(STUDY),
         F.concat(F.lit("LS-"), F.col("l_linestatus")).alias(ITEM),
         phrase_at(F.col("l_orderkey") + F.col("l_linenumber")).alias(RESPONSE),
+        *extra,
     )
 
 
@@ -181,9 +187,12 @@ def conversations_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewer decisions derived from ``events``: two events propose a label for the
-    same query (even event ids); some have the same ``seq``, some none."""
-    e = table(spark, sf_dir, "events")
+    return events_to_corrections(table(spark, sf_dir, "events"))
+
+
+def events_to_corrections(e: DataFrame) -> DataFrame:
+    """Reviewer decisions derived from ``events`` rows (batch or stream): two events propose a
+    label for the same query (even event ids); some have the same ``seq``, some none."""
     i = F.col("event_id")
     even = i - F.pmod(i, F.lit(2))
     seq = F.when(F.pmod(i, F.lit(7)) == 0, F.lit(None).cast("long")).when(F.pmod(even, F.lit(5)) == 0, even).otherwise(i)

@@ -144,6 +144,19 @@ def check_columns(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS, strict:
     return report
 
 
+def column_fill(df: DataFrame, cols: ListingColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """S5 + S6 as a table: for each role its column, whether the listing has it, how many rows fill
+    it (not null) and how many rows there are; one aggregate, unpivoted."""
+    roles = cols.roles()
+    counts = [F.count(named(c) if c in df.columns else F.lit(None)).alias(f"_f{i}") for i, c in enumerate(roles.values())]
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+    rows = F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(f"_f{i}").alias("n_filled"))
+        for i, (role, c) in enumerate(roles.items())
+    ])
+    return one.select(F.inline(rows), "n_rows")
+
+
 def check_no_output_collision(df: DataFrame) -> None:
     clash = [c for c in OUTPUT_COLUMNS if c in df.columns]
     if clash:
@@ -186,8 +199,10 @@ def with_row_key(
     With ``id_col`` the key is that value where it is present and unique. Rows that
     share an id or have none are keyed by content instead (``fingerprint-ordinal``,
     with ``#`` before it), so they neither multiply in a join nor take each other's
-    correction. The check is one narrow aggregate over the ids; ``trust_ids`` leaves
-    it out for ids known to be unique (a stream has no other choice). Without
+    correction. The check is one narrow aggregate over the ids, run at once: ids that repeat
+    or are missing go to a stage table. With none the key is a projection, and no row
+    moves; otherwise those rows alone are stored and numbered, and the others stay where they
+    are. ``trust_ids`` leaves the check out for ids known to be unique (a stream has no other choice). Without
     ``id_col`` the key is ``fingerprint-ordinal``: the sha-256 of
     the row plus its ordinal among exact copies (copies are interchangeable,
     so any assignment of ordinals is right).
@@ -207,13 +222,16 @@ def with_row_key(
         key = named(id_col).cast("string")
         if trust_ids or df.isStreaming:
             return df.withColumn(key_col, key)
-        ids = df.select(key.alias("_rk_id"))
-        shared = ids.groupBy("_rk_id").agg(F.count(F.lit(1)).alias("_rk_n")).where((F.col("_rk_n") > 1) | F.col("_rk_id").isNull())
-        marked = df.join(shared, key.eqNullSafe(F.col("_rk_id")), "left")
-        good = marked.where(F.col("_rk_n").isNull()).drop("_rk_id", "_rk_n").withColumn(key_col, key)
-        bad = marked.where(F.col("_rk_n").isNotNull()).drop("_rk_id", "_rk_n")
+        from .sinks import stage  # that module imports this one
+
+        shared = df.groupBy(key.alias("_rk_id")).agg(F.count(F.lit(1)).alias("_rk_n"))
+        shared = stage(shared.where((F.col("_rk_n") > 1) | F.col("_rk_id").isNull()).select("_rk_id"), "shared-ids")
+        if not shared.take(1):
+            return df.withColumn(key_col, key)
+        same = key.eqNullSafe(F.col("_rk_id"))
+        bad = stage(df.join(shared, same, "left_semi"), "shared-id-rows")
         bad = with_row_key(bad, None, key_col, salts).withColumn(key_col, F.concat(F.lit("#"), named(key_col)))
-        return good.unionByName(bad)
+        return df.join(shared, same, "left_anti").withColumn(key_col, key).unionByName(bad)
 
     data_cols = [c for c in df.columns if c != key_col]
     fp, salt, rn, off = "_rk_fp", "_rk_salt", "_rk_rn", "_rk_off"

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from ..config import (
 from ..functions.text import category_slug
 from ..functions.text import named
 from .listing import read_listing_csv
+from .snapshots import Folder
 
 SLUG_COLUMN = "category_slug"
 
@@ -62,8 +65,53 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class StageScope:
+    """Stage folders made inside ``stage_scope``; those of kept results outlive it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self._kept = spark, [], set()
+
+    def keep(self, result: DataFrame) -> DataFrame:
+        """``result``, whose stage folders stay until they are removed by hand (``remove_stages``)."""
+        read = [f.split(":", 1)[-1].lstrip("/") for f in result.inputFiles()]
+        for path in self.made:
+            inside = path.split(":", 1)[-1].strip("/") + "/"
+            if any(f.startswith(inside) for f in read):
+                self._kept.add(path)
+        return result
+
+    def remove_stages(self, kept_too: bool = False) -> list[str]:
+        gone = [p for p in self.made if kept_too or p not in self._kept]
+        for path in gone:
+            Folder(self.spark, path).remove()
+        self.made = [p for p in self.made if p not in gone]
+        return gone
+
+
+_SCOPE: ContextVar[StageScope | None] = ContextVar("stage_scope", default=None)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """The life of stage tables. Folders made inside are removed at its end, also after
+    an error, but for those that a kept result still reads; an inner scope has folders of its own."""
+    scope = StageScope(spark)
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    except BaseException:
+        scope._kept.clear()
+        raise
+    finally:
+        _SCOPE.reset(token)
+        scope.remove_stages()
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/replysift/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/replysift/{name}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.made.append(path)
+    return path
 
 
 def write_stage(df: DataFrame, path: str, partition_by=None) -> None:
@@ -152,6 +200,6 @@ def read_category_export(spark: SparkSession, path: str, slug: str | None = None
 
 
 __all__ = [
-    "SLUG_COLUMN", "stage_root", "new_stage_path", "write_stage", "stage", "write_csv",
+    "SLUG_COLUMN", "StageScope", "stage_scope", "stage_root", "new_stage_path", "write_stage", "stage", "write_csv",
     "read_classified_csv", "export_by_category", "read_category_export", "ORIGINAL_LABEL",
 ]

@@ -191,3 +191,52 @@ def test_package_zip_goes_to_the_executors(spark):
 
     assert len(files) == 1 and "://" not in files[0]
     assert "replysift/operators/model_batch.py" in zipfile.ZipFile(files[0]).namelist()
+
+
+def counting_factory(log):
+    """A stand-in that writes a file for each prompt asked; prompts with ``fail`` in them raise."""
+    def factory():
+        import hashlib
+        import os
+        import uuid
+
+        def call(prompt):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(hashlib.sha256(prompt.encode()).hexdigest())
+            if "fail" in prompt and not os.path.exists(os.path.join(log, "healed")):
+                raise RuntimeError("no answer")
+            return keyword_model_factory()()(prompt)
+
+        return call
+
+    return factory
+
+
+def test_ledger_asks_only_what_is_open(spark, tmp_dir):
+    import os
+
+    log, ledger = tmp_dir + "/log", tmp_dir + "/ledger"
+    os.makedirs(log)
+    answers = [f"corrected value {i}" for i in range(60)] + ["will fail", "", None]
+    first = keyed(spark, answers)
+    plain = classify_with_model(first, keyword_model_factory(), batch_size=5, n_buckets=4)
+
+    def run(df):
+        out = classify_with_model(df, counting_factory(log), batch_size=5, n_buckets=4, ledger=ledger)
+        asked = [n for n in os.listdir(log) if n != "healed"]
+        rows = {r.row_key: (r.LLM_Classification, r.Confidence) for r in out.collect()}
+        for n in asked:
+            os.rename(os.path.join(log, n), os.path.join(tmp_dir, n))
+        return rows, len(asked)
+
+    rows, asked = run(first)
+    assert asked >= 13
+    failed = {k for k, v in rows.items() if v == FALLBACK[:2]}
+    assert failed and failed != set(rows)
+    again, asked_again = run(first)
+    assert again == rows and asked_again == 1  # only the call that failed
+    open(os.path.join(log, "healed"), "w").close()
+    assert run(first)[1] == 1
+    healed, asked_last = run(first)
+    assert asked_last == 0
+    assert healed == {r.row_key: (r.LLM_Classification, r.Confidence) for r in plain.collect()}

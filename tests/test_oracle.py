@@ -58,3 +58,15 @@ def test_query_matches_sql(spark, con, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert norm(srows, sdf.columns) == norm(drows, dcols)
+
+
+def test_no_plan_repeats_the_scoring(spark):
+    """The text scan stands in a plan once, whatever an analytic does with its result."""
+    from replysift.plans.queries import QUERIES
+
+    for name in ("study_category_pivot_lineitem", "confidence_histogram_lineitem", "category_counts", "filtered_rows", "alert_report",
+                 "classify_documents", "classify_lineitem", "summary_bundle", "consistent_sites"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= 1, name
+    validated = QUERIES["validate_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert validated.count("FileScan") <= 2

@@ -87,3 +87,18 @@ def test_property_keys_and_export_positions(spark):
         assert [pos[k][0] for k in order] == list(range(len(rows)))
 
     check()
+
+
+def test_unique_ids_move_no_row(spark, tmp_dir):
+    """With unique ids the key is a projection: one scan, no exchange."""
+    spark.range(50).selectExpr("cast(id as string) id", "'x' v").write.parquet(tmp_dir + "/t")
+    plan = with_row_key(spark.read.parquet(tmp_dir + "/t"), id_col="id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_repeated_ids_cost_one_scan_of_the_rest(spark, tmp_dir):
+    rows = spark.range(60).selectExpr("cast(if(id < 5, 1, id) as string) id", "cast(id as string) v")
+    rows.write.parquet(tmp_dir + "/t")
+    keyed = with_row_key(spark.read.parquet(tmp_dir + "/t"), id_col="id")
+    assert keyed._jdf.queryExecution().executedPlan().toString().count(tmp_dir) == 1
+    assert keyed.select("row_key").distinct().count() == 60

@@ -1,0 +1,100 @@
+"""Streams with state: corrections and alerts end as the batch over all rows does."""
+
+import os
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from replysift.operators.review import apply_corrections, deciding_corrections, latest_corrections
+from replysift.sources.snapshots import Snapshots
+from replysift.streaming import stream as st
+
+CATS = ["Affirmative", "Confused", "Medically Related", "Miscellaneous"]
+
+
+def parts(spark, rows, schema, folder, n):
+    """``rows`` in ``n`` files whose times follow the order of the rows."""
+    size = -(-len(rows) // n)
+    for i in range(n):
+        spark.createDataFrame(rows[i * size:(i + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def run_twice(spark, tmp_dir, stream, write):
+    """A stream stopped after some batches and started again from its checkpoint."""
+    path, check = tmp_dir + "/table", tmp_dir + "/check"
+    write(stream(), path, check).awaitTermination()
+    return path, check
+
+
+def test_late_and_repeated_corrections_end_as_in_batch(spark, tmp_dir):
+    rng = random.Random(2)
+    schema = "row_key string, corrected_label string, seq long"
+    rows = [(f"k{rng.randrange(15)}", rng.choice([*CATS, "unknown", None]), rng.choice([None, *range(6)])) for _ in range(300)]
+    rng.shuffle(rows)
+    folder = parts(spark, rows + rows[:40], schema, tmp_dir + "/in", 5)
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+    path, check = run_twice(spark, tmp_dir, stream, st.write_corrections)
+    everything = spark.createDataFrame(rows, schema)
+    assert sorted(map(str, Snapshots(spark, path).read().collect())) == sorted(map(str, deciding_corrections(everything).collect()))
+    spark.createDataFrame([("k1", "Confused", 99), ("late", "Affirmative", None)], schema).write.mode("append").parquet(folder)
+    st.write_corrections(stream(), path, check).awaitTermination()
+    latest = {r.row_key: r.corrected_label for r in latest_corrections(Snapshots(spark, path).read()).collect()}
+    assert latest["k1"] == "Confused" and latest["late"] == "Affirmative"
+    assert len(Snapshots(spark, path).epochs()) == 2
+
+
+def test_deciding_corrections_decide(spark):
+    rows = [("a", "Confused", 3), ("a", "Affirmative", 3), ("a", "Miscellaneous", None), ("b", "Confused", None), ("b", "none", 7), (None, "Confused", 1)]
+    df = spark.createDataFrame(rows, "row_key string, corrected_label string, seq long")
+    once = deciding_corrections(df)
+    want = {r.row_key: r.corrected_label for r in latest_corrections(df).collect()}
+    assert {r.row_key: r.corrected_label for r in once.collect()} == want == {"a": "Confused", "b": "Confused"}
+    assert sorted(deciding_corrections(once.unionByName(df)).collect()) == sorted(once.collect())
+    listing = spark.createDataFrame([("a", "Miscellaneous", 0.1, "", False)], "row_key string, LLM_Classification string, Confidence double, Reasoning string, Human_Reviewed boolean")
+    assert apply_corrections(listing, once).first().LLM_Classification == "Confused"
+
+
+def timed_rows(n, seed):
+    rng = random.Random(seed)
+    start = datetime(2024, 3, 1)
+    return [(f"s{rng.randrange(3)}" if rng.random() < 0.9 else None, rng.choice(["Confused", "Affirmative", "INVALID"]),
+             start + timedelta(minutes=rng.randrange(5 * 24 * 60))) for _ in range(n)]
+
+
+def test_windowed_alerts_equal_batch(spark, tmp_dir):
+    schema = "`Study Alias` string, LLM_Classification string, at timestamp"
+    rows = sorted(timed_rows(400, 1), key=lambda r: r[2])
+    rng = random.Random(7)  # out of order within a day, inside the allowed lateness
+    rows = [r for _, r in sorted(((r[2] + timedelta(minutes=rng.randrange(24 * 60))), r) for r in rows if r[0] is not None)]
+    folder = parts(spark, rows, schema, tmp_dir + "/in", 6)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = st.run_alerts_to_table(spark, st.windowed_alerts(stream, "at", "1 day", late="2 days"))
+    batch = st.alert_rates(st.windowed_alerts(spark.createDataFrame(rows, schema), "at", "1 day"))
+    assert sorted(map(str, got.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert {r.alert for r in got.collect()} == {True, False}
+
+
+def test_rows_below_the_watermark_change_nothing(spark, tmp_dir):
+    schema = "`Study Alias` string, LLM_Classification string, at timestamp"
+    old, new = datetime(2024, 1, 1, 5), datetime(2024, 2, 1, 5)
+    folder = parts(spark, [("s", "Confused", old), ("s", "Confused", new), ("s", "Affirmative", new), ("s", "Affirmative", old)], schema, tmp_dir + "/in", 4)
+    files = sorted((os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")), key=os.path.getmtime)
+    for i, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = st.run_alerts_to_table(spark, st.windowed_alerts(stream, "at", "1 day", late="2 days"))
+    assert {r.window_start.month: (r.n_valid, r.n_confused) for r in out.collect()} == {1: (1, 1), 2: (2, 1)}
+
+
+def test_counts_snapshot_is_whole(spark, tmp_dir):
+    spark.createDataFrame([("Confused",), ("Affirmative",), ("Confused",)], "LLM_Classification string").write.parquet(tmp_dir + "/in")
+    stream = spark.readStream.schema("LLM_Classification string").parquet(tmp_dir + "/in")
+    st.write_counts(st.running_category_counts(stream), tmp_dir + "/t", tmp_dir + "/c").awaitTermination()
+    table = Snapshots(spark, tmp_dir + "/t")
+    assert {r.label: r.n for r in table.read().collect()} == {"Confused": 2, "Affirmative": 1}
+    assert table.current() == 0 and not table.write(spark.range(1).withColumn("x", F.lit(1)), 0)
