@@ -13,9 +13,10 @@ from ..config import (
     CATEGORIES, CORRECTED_REASONING, DEFAULT_RULES, EMPTY_WORDS, FALLBACK_LABEL, FALLBACK_REASONING,
     INVALID_REASONING, NA_TOKENS, RuleSet,
 )
+from ..functions.noise import LEAST_PAIRS, MARGIN
 from ..functions.text import DG_CLASS, WS_CLASS
 from ..operators.model_batch import default_instructions
-from ..sources.derived import ANSWER_PHRASES, PLANTED_PHRASES
+from ..sources.derived import ANSWER_PHRASES, NOISE_LETTERS, PLANTED_PHRASES
 from .queries import CUSTOM_RULES, FILTER_ITEM, MODEL_BATCH, MODEL_BUCKET_ROWS, SITE_MIN_ROWS
 
 
@@ -561,4 +562,17 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "stream_deciding_corrections": f"""WITH {CORR.replace("SELECT row_key, corrected_label, row_number()", "SELECT row_key, corrected_label, seq, row_number()")}
         SELECT row_key, corrected_label, seq FROM ranked WHERE rn = 1""",
+    "classify_category_table": f"WITH {DOC} SELECT row_key, {OUT} FROM cls",
+    "noise_documents": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id % 7 = 0, false) AS planted,
+             translate(sha256(CAST(doc_id AS VARCHAR)), '0123456789abcdef', '{NOISE_LETTERS}') AS h, text FROM documents),
+        t AS (SELECT rid, doc_id, planted, trim(regexp_replace(regexp_replace(lower(coalesce(CASE WHEN planted THEN
+             concat_ws(' ', h[1:9], h[10:14], h[15:26], h[27:33], h[34:44], h[45:52], h[53:64]) ELSE text END, '')), '[^\\p{{L}}]+', ' ', 'g'), '[^a-z ]', '~', 'g')) AS t FROM d),
+        p AS (SELECT rid, unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) AS pair FROM t WHERE length(t) > 1),
+        seen AS (SELECT pair, left(pair, 1) AS a, count(*) AS n FROM p GROUP BY pair),
+        w AS (SELECT pair, n, CAST(floor(1000 * ln(CAST(n + 1 AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY a) + 28 AS DOUBLE)) + 0.5) AS BIGINT) AS w FROM seen),
+        m AS (SELECT CAST(floor(CAST(sum(n * w) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS mean FROM w),
+        s AS (SELECT rid, count(*) AS pairs, CAST(sum(w) AS BIGINT) AS total FROM p JOIN w USING (pair) GROUP BY rid)
+        SELECT doc_id, planted, coalesce(pairs, 0) AS pairs, coalesce(total, 0) AS total,
+               coalesce(pairs, 0) >= {LEAST_PAIRS} AND coalesce(total, 0) < coalesce(pairs, 0) * (mean - {MARGIN}) AS noise
+        FROM t CROSS JOIN m LEFT JOIN s USING (rid)""",
 }

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (
-    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY, CueRule, ListingColumns, RuleSet,
+    CATEGORIES, CONFIDENCE, DEFAULT_COLUMNS, DEFAULT_RULES, HUMAN_REVIEWED, IS_VALID, LABEL, REASONING, ROW_KEY, CueRule, ListingColumns, RuleSet,
 )
+from ..functions.noise import learn_transitions
+from ..functions.phrases import rule_tables
 from ..operators import analytics as an
 from ..operators import filters as fl
 from ..operators import review as rv
-from ..operators.classify import classify, validate, validity_counts
+from ..operators.classify import classify, classify_by_table, validate, validity_counts
 from ..operators.model_batch import apply_results, batch_rows, build_prompts, match_results
 from ..operators.summary import summary_text
 from ..sources import derived as dv
@@ -437,6 +439,20 @@ def q_stream_deciding_corrections(spark, sf):
     return st.run_corrections_to_table(spark, dv.events_to_corrections(ev))
 
 
+def q_classify_category_table(spark, sf):
+    """M12 with the categories and phrases of the default rule set as tables, over documents."""
+    phrases, categories = rule_tables(spark, DEFAULT_RULES)
+    return classify_by_table(documents_keyed(spark, sf), phrases, categories).select(ROW_KEY, *OUT)
+
+
+def q_noise_documents(spark, sf):
+    """D3, learned: transitions of all texts, and which texts read unlike the rest."""
+    docs = dv.documents_with_noise(spark, sf)
+    learned = learn_transitions(docs, "text")
+    scored = docs.select("doc_id", "planted", learned.score("text").alias("s"), learned.is_noise("text").alias("noise"))
+    return scored.select("doc_id", "planted", "s.pairs", "s.total", "noise")
+
+
 def _scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query inside a stage scope: it leaves no stage folder but those its result reads."""
     @wraps(query)
@@ -513,5 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_own_roles": q_classify_own_roles,
     "stream_window_alerts": q_stream_window_alerts,
     "stream_deciding_corrections": q_stream_deciding_corrections,
+    "classify_category_table": q_classify_category_table,
+    "noise_documents": q_noise_documents,
 }
 QUERIES = {name: _scoped(query) for name, query in QUERIES.items()}

@@ -264,3 +264,16 @@ def events_ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(full, F.lit("pain,")))
     )
     return e.select(line.alias(header))
+
+
+#: Letters that stand for the digits of a digest in planted noise: in no order of any language.
+NOISE_LETTERS = "qxzjkvwbtaegioup"
+
+
+def documents_with_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, planted, text): documents in which each seventh id has letters of a digest, cut
+    into words, as its text."""
+    digest = F.translate(F.sha2(F.col("doc_id").cast("string"), 256), "0123456789abcdef", NOISE_LETTERS)
+    words = F.concat_ws(" ", *[F.substring(digest, at, n) for at, n in ((1, 9), (10, 5), (15, 12), (27, 7), (34, 11), (45, 8), (53, 12))])
+    planted = F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False))
+    return table(spark, sf_dir, "documents").select("doc_id", planted.alias("planted"), F.when(planted, words).otherwise(F.col("text")).alias("text"))
