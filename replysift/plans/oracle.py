@@ -567,7 +567,8 @@ ORACLE_SQL: dict[str, str] = {
              translate(sha256(CAST(doc_id AS VARCHAR)), '0123456789abcdef', '{NOISE_LETTERS}') AS h, text FROM documents),
         t AS (SELECT rid, doc_id, planted, trim(regexp_replace(regexp_replace(lower(coalesce(CASE WHEN planted THEN
              concat_ws(' ', h[1:9], h[10:14], h[15:26], h[27:33], h[34:44], h[45:52], h[53:64]) ELSE text END, '')), '[^\\p{{L}}]+', ' ', 'g'), '[^a-z ]', '~', 'g')) AS t FROM d),
-        p AS (SELECT rid, unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) AS pair FROM t WHERE length(t) > 1),
+        c AS (SELECT rid, unnest(string_split(t, '')) AS ch, unnest(range(length(t))) AS place FROM t WHERE length(t) > 1),
+        p AS (SELECT rid, ch || nxt AS pair FROM (SELECT rid, ch, lead(ch) OVER (PARTITION BY rid ORDER BY place) AS nxt FROM c) WHERE nxt IS NOT NULL),
         seen AS (SELECT pair, left(pair, 1) AS a, count(*) AS n FROM p GROUP BY pair),
         w AS (SELECT pair, n, CAST(floor(1000 * ln(CAST(n + 1 AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY a) + 28 AS DOUBLE)) + 0.5) AS BIGINT) AS w FROM seen),
         m AS (SELECT CAST(floor(CAST(sum(n * w) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS mean FROM w),
