@@ -5,7 +5,7 @@ bound is a parameter; documents that share four least word hashes, so near copie
 count once) every word and word beginning is counted in toxic and in clean
 documents. Terms that are much likelier in toxic ones form the lexicon: whole words,
 and stems where many words with one beginning behave alike. A term's weight is its
-smoothed log odds.
+smoothed log odds. The lexicon holds ``max_terms`` terms at most (the model's size, a parameter).
 
 Matching. The terms stand in a trie. Running the Levenshtein automata of all terms
 over it side by side gives one automaton; its states (trie nodes with the edits spent)
@@ -18,7 +18,8 @@ before or behind a word are read both ways, as letters and as signs.
 Scoring. Each hit is weighed by its window: between quotation marks or after words of
 reporting it counts little, beside a word of address it counts more. What a misspelled
 hit is worth is learned too: the share of clean documents that hold one counts against
-it. The score is the logistic of the prior plus the weights of the distinct terms.
+it. The score is the logistic of the prior plus the weights of the distinct terms, each next
+one counting 0.7 times the one before. A text is read twice from front to back, whatever its lines.
 
 Only the text is an input of a score. Defined cases: a null or empty text scores like
 any text without a hit; without usable labels, or without toxic ones among them, every
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +174,7 @@ class Automaton:
 
 
 class Model:
-    """Lexicon, weights and prior; what every task gets (``MAX_TERMS`` terms at most)."""
+    """Lexicon, weights and prior; what every task gets (``max_terms`` of the fit at most)."""
 
     def __init__(self, terms: list[tuple[str, bool]], weights: list[float], prior: float, misspelled: float = EDIT_FACTOR):
         self.terms, self.weights, self.prior, self.misspelled = terms, weights, prior, misspelled
@@ -183,16 +184,37 @@ class Model:
         return Scorer(self)
 
 
+class Quotes:
+    """Tells whether a hit stands between quotation marks. Hits come in text order, so marks
+    are counted once along each line, however long it is and however many hits it holds."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.odd = text, 0, False
+
+    def _odd_before(self, start: int) -> bool:
+        """An odd number of plain marks on the line before ``start``."""
+        line = self.text.rfind("\n", self.at, start) + 1
+        if line:  # a new line has begun since the last hit
+            self.at, self.odd = line, False
+        self.odd ^= self.text.count('"', self.at, start) % 2 == 1
+        self.at = start
+        return self.odd
+
+    def around(self, start: int, end: int) -> bool:
+        """Between an opening and a closing quotation mark on the same line, not far away."""
+        odd = self._odd_before(start)
+        before = self.text[max(0, start - WINDOW_CHARS):start].rsplit("\n", 1)[-1]
+        after = self.text[end:end + WINDOW_CHARS].split("\n", 1)[0]
+        opened = max((before.rfind(q) for q in OPEN_QUOTES), default=-1)
+        if opened < 0 or not any(q in after for q in CLOSE_QUOTES):
+            return False
+        if before[opened] == '"':  # the same mark opens and closes: an odd number since the line began
+            return odd
+        return not any(q in before[opened + 1:] for q in CLOSE_QUOTES if q != before[opened])
+
+
 def is_quoted(text: str, start: int, end: int) -> bool:
-    """Between an opening and a closing quotation mark on the same line, not far away."""
-    before = text[max(0, start - WINDOW_CHARS):start].rsplit("\n", 1)[-1]
-    after = text[end:end + WINDOW_CHARS].split("\n", 1)[0]
-    opened = max((before.rfind(q) for q in OPEN_QUOTES), default=-1)
-    if opened < 0 or not any(q in after for q in CLOSE_QUOTES):
-        return False
-    if before[opened] == '"':  # the same mark opens and closes: an odd number since the line began
-        return text[text.rfind("\n", 0, start) + 1:start].count('"') % 2 == 1
-    return not any(q in before[opened + 1:] for q in CLOSE_QUOTES if q != before[opened])
+    return Quotes(text).around(start, end)
 
 
 class Scorer:
@@ -227,18 +249,19 @@ class Scorer:
             text = low
         if not self.model.terms:
             return []
-        found = {t: m for t in set(SIGNED.findall(low)) if (m := self.nearest(t))}
+        found = {t: m for t in {m[0] for m in SIGNED.finditer(low)} if (m := self.nearest(t))}
         if not found:
             return []
-        out, spans = [], [m for m in SIGNED.finditer(low)]
-        for i, m in enumerate(spans):
+        out, quotes, near = [], Quotes(text), deque(maxlen=WINDOW_WORDS)  # the words before
+        for m in SIGNED.finditer(low):
             if m[0] in found:
                 edits, term = found[m[0]]
-                near = [s[0].strip(SIGNS) for s in spans[max(0, i - WINDOW_WORDS):i]]
-                factor = QUOTED if is_quoted(text, m.start(), m.end()) or REPORTING.intersection(near) else 1.0
-                if factor == 1.0 and ADDRESS.intersection(near[-2:]):
+                words = [w.strip(SIGNS) for w in near]
+                factor = QUOTED if quotes.around(m.start(), m.end()) or REPORTING.intersection(words) else 1.0
+                if factor == 1.0 and ADDRESS.intersection(words[-2:]):
                     factor = ADDRESSED
                 out.append((term, edits, factor))
+            near.append(m[0])
         return out
 
     def margin(self, text: str) -> float:
@@ -246,8 +269,7 @@ class Scorer:
         for term, edits, factor in self.hits(text):
             value = self.model.weights[term] * factor * (self.model.misspelled ** edits)
             best[term] = max(best.get(term, 0.0), value)
-        top = sorted(best.values(), reverse=True)[:8]
-        return self.model.prior + sum(v * 0.7 ** i for i, v in enumerate(top))
+        return self.model.prior + sum(v * 0.7 ** i for i, v in enumerate(sorted(best.values(), reverse=True)))
 
     def __call__(self, texts):
         return [pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(t.decode()))))) for t in texts], pa.float64())]
@@ -286,7 +308,7 @@ def count_terms(known: DataFrame) -> DataFrame:
                     terms = set()
                     for w in words_of(text.decode()):
                         if len(w) > 2 and not w.isdigit():
-                            terms.add(w[:40] + " ")
+                            terms.add(w + " ")
                             terms.update(w[:n] for n in range(STEM_CHARS, min(len(w), LONGEST_PREFIX) + 1))
                     counts[y].update(terms)
                 done += len(texts)
@@ -299,8 +321,8 @@ def count_terms(known: DataFrame) -> DataFrame:
     return known.select("__text", "y").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> list[tuple[str, bool, float]]:
-    """(text, is a stem, weight) of the lexicon. A beginning gives way to the longer one, or
+def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int, max_terms: int = MAX_TERMS) -> list[tuple[str, bool, float]]:
+    """(text, is a stem, weight) of the lexicon, the best ``max_terms``. A beginning gives way to the longer one, or
     the whole word, that holds nearly all of its toxic documents; of nested terms the
     shortest stays."""
     odds = {t: math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) for t, a, b in counts}
@@ -314,11 +336,14 @@ def choose_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> list[t
         whole = t[-1] == " "
         if not any(t[:n] in good for n in range(STEM_CHARS, len(t))):
             out.append((t.rstrip(), not whole, odds[t]))
-    return out[:MAX_TERMS]
+    return out[:max_terms]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", id_col: str = "doc_id",
-                 text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
+                 text_col: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+    """The model of the usable labels. ``max_rows`` bounds the labelled documents learned from; ``max_terms`` the
+    lexicon, that is the model's size: of more candidates the best stay, chosen from the
+    ``50 * max_terms`` found in most toxic documents (what reaches the driver)."""
     one = labels.where(quoted(label_col).isNotNull() & usable).groupBy(quoted(id_col).alias("__id")).agg(F.max(quoted(label_col)).cast("int").alias("y"))
     chosen = F.broadcast(one.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))  # max_rows narrow rows
     known = docs.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__text")).join(chosen, "__id")
@@ -333,8 +358,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, label_col: str = "t
     support = max(SUPPORT, math.ceil(SUPPORT_SHARE * n1))
     lift = math.exp(LEAST_ODDS) * (n1 + 1) / (n0 + 1)
     counts = count_terms(known).where((F.col("n1") >= support) & (F.col("n1") + 0.5 >= lift * (F.col("n0") + 0.5)))
-    rows = counts.orderBy(F.desc("n1"), "term").limit(50 * MAX_TERMS).collect()  # bounded; the best supported terms
-    lexicon = choose_terms([(r["term"], r["n1"], r["n0"]) for r in rows], n1, n0)
+    rows = counts.orderBy(F.desc("n1"), "term").limit(50 * max_terms).collect()  # bounded; the best supported terms
+    lexicon = choose_terms([(r["term"], r["n1"], r["n0"]) for r in rows], n1, n0, max_terms)
     # texts without any hit: how much their share speaks against toxicity
     model = Model([(t, s) for t, s, _ in lexicon], [w for _, _, w in lexicon], prior)
     seen = map_texts(known, "exact boolean, near boolean", _Evidence(model), "__text").groupBy("y", "exact", "near").count().collect()  # eight rows at most

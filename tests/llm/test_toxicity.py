@@ -135,3 +135,39 @@ def test_only_near_copies_count_once():
     long = [" ".join(rng.sample(words, 400)) for _ in range(100)]
     near = tx._Group()([t.encode() for x in long for t in (x, x + " added")])[0].to_pylist()
     assert sum(near[2 * i] == near[2 * i + 1] for i in range(100)) > 90
+
+
+def test_one_long_line_is_read_in_linear_time():
+    """5 MB on one line with 100,000 quoted hits; quotes count from the line's start."""
+    import time
+
+    model = tx.Model([("stupid", False)], [4.0], -2.0)
+    score = tx.Scorer(model)
+    text = 'he put it so: "stupid" and left it there then went a way on. ' * 84_000
+    assert len(text) > 5_000_000
+    start = time.monotonic()
+    hits = score.hits(text)
+    assert time.monotonic() - start < 10
+    assert len(hits) == 84_000 and {h[2] for h in hits} == {tx.QUOTED}
+
+
+def test_quote_marks_along_lines():
+    """Hits in text order give what each gives by itself."""
+    text = 'a "stupid b" stupid "c\nstupid" and „stupid“ x "y" stupid\n"stupid" “stupid” "stupid'
+    quotes, found = tx.Quotes(text), []
+    at = text.find("stupid")
+    while at >= 0:
+        alone = text[:at].rsplit("\n", 1)[-1].count('"') % 2 == 1
+        got = quotes.around(at, at + 6)
+        assert got == tx.is_quoted(text, at, at + 6)
+        found.append((alone, got))
+        at = text.find("stupid", at + 1)
+    assert [g for _, g in found] == [True, False, False, True, False, True, True, False]
+
+
+def test_long_words_are_terms_of_their_own():
+    head = "x" * 45
+    rows = [(f"{head}bad ", 30, 0), (f"{head}good ", 0, 30)]
+    (text, stem, _), = tx.choose_terms(rows, 30, 30)
+    assert text == head + "bad" and not stem
+    assert len(tx.choose_terms([(f"w{i} ", 30, 0) for i in range(9)], 30, 30, max_terms=4)) == 4
