@@ -7,6 +7,7 @@ Words everywhere are runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,22 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+#: Rows of an Arrow batch while whole sets and texts move (Spark bounds batches by rows only).
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Smaller Arrow batches for the jobs run inside; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH, "10000")
+    try:
+        spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of a string or binary column of about ``most`` bytes at most."""
     ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
@@ -117,5 +134,5 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 __all__ = [
     "BLANKS", "WORD_RE", "arrow_schema", "fold_of", "map_texts", "mix64", "new_stage_path", "quoted", "read_table",
-    "ship_package", "stage", "stage_root", "text_slices", "without",
+    "ship_package", "small_batches", "stage", "stage_root", "text_slices", "without",
 ]

@@ -79,3 +79,38 @@ def test_many_files_of_a_part_and_no_documents(spark, monkeypatch, tmp_dir):
     assert [r.doc_id for r in index.orderBy("start").collect()] == list(range(40)) and index.agg({"piece": "max"}).first()[0] > 0
     _, index = tr.write_token_records(no_documents(spark), PATH, 2, f"file://{tmp_dir}/b")
     assert index.count() == 0
+
+
+def test_every_byte_value_survives_the_sink(spark, tmp_dir):
+    """Frames go through Spark's text sink as strings: no operator may read them as UTF-8."""
+    rows = [(bytes(range(256)) * 3 + b"\n" * 5,), (b"\xff\xfe\x00\n\r\x80",), (b"",)]
+    frames = [tr.frame(tr.pack(i, b + b"\x00" * (len(b) % 2), 2)) for i, (b,) in enumerate(rows)]
+    df = spark.createDataFrame([(bytearray(f),) for f in frames], "value binary").coalesce(1)
+    df.selectExpr("cast(value as string) value").write.option("lineSep", "\n").text(f"file://{tmp_dir}/t")
+    data = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{tmp_dir}/t").collect())
+    assert [p for _, _, p in tr.frames(data)] == [tr.pack(i, b + b"\x00" * (len(b) % 2), 2) for i, (b,) in enumerate(rows)]
+
+
+def test_long_documents_go_on_in_further_frames(spark, library, monkeypatch, tmp_dir):
+    """Twenty long records and short ones between them, with a small bound on frames and files."""
+    monkeypatch.setattr(tr, "FRAME_IDS", 500)
+    monkeypatch.setattr(tr, "RECORDS_PER_FILE", 7)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "x1"]) for _ in range(rng.choice([3, 40, 2000, 6000]) if i % 2 else 5)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path, index = tr.write_token_records(docs, PATH, 2, f"file://{tmp_dir}/records")
+    rows, start = index.orderBy("start").collect(), 0
+    for r, ids in zip(rows, whole(library, texts), strict=True):
+        ids = np.append(np.frombuffer(ids, "<u2"), 2).astype("<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32, r.n_frames) == (start, len(ids), zlib.crc32(ids.tobytes()), -(-len(ids) // 500))
+        start += len(ids)
+    content = {(int(f.path.split("/part-")[1][:5]), int(f.path.rsplit("-c", 1)[1][:3])): bytes(f.content)
+               for f in spark.read.format("binaryFile").load(f"{path}/shards").collect()}
+    assert max(map(len, content.values())) <= 7 * (500 * 2 + 64)
+    for r in rows:  # a document that ends in its file is read by the index alone
+        doc_id, ids = tr.record_at(content[r.part, r.piece], r.offset, r.length)
+        assert doc_id == r.doc_id and len(ids) <= r.n_tokens and (len(ids) == r.n_tokens or r.record + r.n_frames > 7)
+    records = spark.read.parquet(f"{path}/records")
+    lacking = records.where("not (frame = 1)")
+    with pytest.raises(Exception, match="lacks a frame"):
+        tr.documents_of(lacking).collect()
