@@ -127,6 +127,8 @@ def _whole_texts() -> tuple[tuple[str, str], ...]:
 # Whole texts of known licences, for the text as a whole.
 WHOLE = _whole_texts()
 MOST_KNOWN = 1_000
+#: Whole licences that ``planted`` puts into a listing: one text of each id.
+PLANTED = tuple(dict((i, (i, t)) for i, t in (*WHOLE, *((i, t) for i, t in KNOWN if "\n" in t)) if len(t) < 20_000).values())
 
 # Words after 'copyright' that name no holder.
 NO_HOLDER = (
@@ -191,3 +193,21 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", known=KNOWN, whole=WH
 def q_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "license_id", F.array_join("notices", ",").alias("notices"), "n_notice_lines", "canonical_md5")
+
+
+def planted(docs: DataFrame, every: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` in which each id divisible by ``every`` has a whole licence as its text, behind a
+    copyright line: the ``(id / every) mod n``-th of ``PLANTED``, in capitals where that is odd."""
+    number = F.floor(quoted(id_col) / F.lit(every))
+    chosen = F.when(quoted(id_col) % every == 0, F.pmod(number, F.lit(len(PLANTED))).cast("int"))
+    table = docs.sparkSession.createDataFrame([(i, text) for i, (_, text) in enumerate(PLANTED)], "__n int, __licence string")
+    joined = docs.withColumn("__at", chosen).join(F.broadcast(table), F.col("__at") == F.col("__n"), "left")  # a fixed table
+    body = F.when(number % 2 == 1, F.upper("__licence")).otherwise(F.col("__licence"))
+    text = F.when(F.col("__licence").isNotNull(), F.concat(F.lit("Copyright (c) 2021 The Owners\n\n"), body)).otherwise(quoted(text_col))
+    return joined.withColumn(text_col, text).drop("__at", "__n", "__licence")
+
+
+def q_license_scan_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over documents of which a fifth are whole licences."""
+    docs = planted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scan_licenses(docs).select("doc_id", "license_id", F.array_join("notices", ",").alias("notices"), "n_notice_lines", "canonical_md5")

@@ -9,7 +9,7 @@ exceptions table, so filter plus exceptions answer exactly.
 
 Insertions and deletions of documents change the counts by ``+1`` and ``-1``;
 keys that cross the threshold are inserted into or deleted from their shard's
-filter. Cleaning is a function of the counts alone, so deleting documents
+filter (``maintain``; a shard that overflows has the filters built anew). Cleaning is a function of the counts alone, so deleting documents
 undoes exactly what inserting them did.
 
 Defined cases: a null or empty text is one empty line and comes back as an
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, map_texts, mix64, quoted, ship_package, stage, text_slices
+from .common import BLANKS, map_texts, mix64, quoted, read_table, ship_package, stage, text_slices
 
 SLOTS = 4
-#: Filters and exceptions above this size are not broadcast (see ``clean_lines``).
+#: Filters and exceptions above this size are not broadcast but dealt out by shard (see ``clean_lines``).
 BROADCAST_BYTES = 64 << 20
+#: Lines that one task probes against one shard, about; more of them deal the shard's filter out several times.
+LINES_PER_PROBE = 5_000_000
 #: Most keys a shard is planned for; the number of shards follows the key count.
 SHARD_KEYS = 250_000
 REFS = "k1 long, k2 long, n_docs long"
@@ -197,11 +199,8 @@ def build_filters(refs: DataFrame, min_docs: int) -> tuple[int, int, DataFrame]:
     return bits, n_buckets, filters
 
 
-def update_filters(bits: int, n_buckets: int, filters: DataFrame, before: DataFrame, after: DataFrame,
-                   min_docs: int) -> DataFrame:
-    """Filters after a change of the counts: keys that rose to the threshold are
-    inserted, keys that fell below it are deleted; other shards stay as they are.
-    Raises if a shard overflows (build the filters anew then)."""
+def _changed_filters(bits: int, n_buckets: int, filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int) -> DataFrame:
+    """(shard, filter) after a change of the counts; the filter is null where the shard overflows."""
     joined = before.withColumnRenamed("n_docs", "n0").join(after.withColumnRenamed("n_docs", "n1"), ["k1", "k2"], "full")
     was, now = (F.coalesce(F.col(c), F.lit(0)) >= min_docs for c in ("n0", "n1"))
     moved = joined.where(was != now).select(_shard(bits).alias("shard"), "k2", now.alias("now"))
@@ -213,13 +212,31 @@ def update_filters(bits: int, n_buckets: int, filters: DataFrame, before: DataFr
         one = CuckooFilter(n_buckets, old)
         shard = int((left if len(left) else right)["shard"].iloc[0])
         one.delete(np.sort(right.loc[~right["now"].astype(bool), "k2"].to_numpy(np.int64)))
-        if not one.insert(np.sort(right.loc[right["now"].astype(bool), "k2"].to_numpy(np.int64))):
-            raise RuntimeError("the shard is full: build the filters anew")
-        return pd.DataFrame({"shard": [shard], "filter": [one.table.tobytes()]})
+        fits = one.insert(np.sort(right.loc[right["now"].astype(bool), "k2"].to_numpy(np.int64)))
+        return pd.DataFrame({"shard": [shard], "filter": [one.table.tobytes() if fits else None]})
 
     return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
 
 
+def update_filters(bits: int, n_buckets: int, filters: DataFrame, before: DataFrame, after: DataFrame,
+                   min_docs: int) -> DataFrame:
+    """Filters after a change of the counts: keys that rose to the threshold are
+    inserted, keys that fell below it are deleted; other shards stay as they are.
+    Fails if a shard overflows (``maintain`` goes on with new filters)."""
+    changed = _changed_filters(bits, n_buckets, filters, before, after, min_docs)
+    full = F.raise_error(F.lit("a shard is full: build the filters anew")).cast("binary")
+    return changed.withColumn("filter", F.coalesce("filter", full))
+
+
+def maintain(bits: int, n_buckets: int, filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int) -> tuple[int, int, DataFrame]:
+    """(shard bits, buckets, filters) after a change of the counts: changed in place while
+    every shard has room, else built anew from ``after``, as ``build_filters`` gives them."""
+    changed = stage(_changed_filters(bits, n_buckets, filters, before, after, min_docs), "line-filters")
+    if changed.where("filter is null").take(1):
+        return build_filters(after, min_docs)
+    return bits, n_buckets, changed
+
+
 def wrongly_reported(refs: DataFrame, min_docs: int, line_filter) -> DataFrame:
     """Keys below the threshold that the filters report: a narrow pass over the reference table."""
     def run(batches):
@@ -231,6 +248,42 @@ def wrongly_reported(refs: DataFrame, min_docs: int, line_filter) -> DataFrame:
     return refs.where(F.col("n_docs") < min_docs).select("k1", "k2").mapInArrow(run, "k1 long, k2 long")
 
 
+def probed(rows: DataFrame, bits: int, n_buckets: int, filters: DataFrame, n_rows: int) -> DataFrame:
+    """The ``rows`` (k1, k2 and other long columns) whose key its shard's filter reports.
+
+    Rows go to the task of their shard, which reads the filter first and then streams them
+    past it: a task holds one filter and one batch. A shard of many rows (a hot line lies in
+    one) is dealt out over several tasks, each with a copy of its filter. ``n_rows`` is about how
+    many rows there are; it decides the number of copies only."""
+    ship_package(rows.sparkSession)
+    copies = max(1, -(-n_rows // (LINES_PER_PROBE << bits)))
+    names = rows.columns
+    at = [F.col("shard"), F.col("copy")]
+    of_rows = rows.withColumns({"shard": _shard(bits), "copy": F.pmod(F.xxhash64(*names), F.lit(copies)).cast("int"),
+                                "kind": F.lit(1), "filter": F.lit(None).cast("binary")})
+    of_filters = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), "filter")
+    both = of_filters.unionByName(of_rows, allowMissingColumns=True).repartition(*at).sortWithinPartitions(*at, "kind")
+
+    def run(batches):
+        place, one = None, None
+        for batch in batches:
+            shard, copy, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            change = np.flatnonzero((shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for start, end in zip([0, *change], [*change, len(shard)], strict=True):
+                if start == end:
+                    continue
+                if kind[start] == 0:
+                    place = shard[start], copy[start]
+                    one = CuckooFilter(n_buckets, np.frombuffer(batch.column(3)[int(start)].as_py(), np.uint16))
+                elif place == (shard[start], copy[start]):  # a shard without a filter holds no key
+                    columns = [c.slice(start, end - start) for c in batch.columns[4:]]
+                    hit = pa.array(one.contains(np.ascontiguousarray(columns[names.index("k2")].to_numpy())))
+                    yield pa.RecordBatch.from_arrays([c.filter(hit) for c in columns], names)
+
+    schema = ", ".join(f"{n} long" for n in names)
+    return both.select("shard", "copy", "kind", "filter", *names).mapInArrow(run, schema)
+
+
 OUT = "{text} string, n_lines long, n_dropped long"
 
 
@@ -262,13 +315,13 @@ def clean_lines(docs: DataFrame, refs: DataFrame, min_docs: int, text_col: str =
 
     ``refs`` is the (stored) reference table that counts these documents. While
     filters and exceptions fit ``broadcast_bytes``, every task gets them and no
-    text is shuffled. Beyond that, the lines of each distinct text are joined to
-    the frequent keys by digest (a hot line is split by the skew join) and the
-    keys to drop come back to the documents by the text's digest. Both ways give
-    the same rows.
+    text is shuffled. Beyond that, the distinct lines of each distinct text go to the filter of
+    their shard (``probed``), those that it reports, less the keys it reports wrongly, come back to
+    the documents by the text's digest. Both ways probe the same filters and give the same rows.
     """
     spark = docs.sparkSession
     bits, n_buckets, filters = build_filters(refs, min_docs)
+    filters = stage(filters, "line-filters")
     size = (1 << bits) * n_buckets * SLOTS * 2
     if size <= broadcast_bytes:
         shards = {r[0]: bytes(r[1]) for r in filters.collect()}  # `size` bytes at most
@@ -279,7 +332,7 @@ def clean_lines(docs: DataFrame, refs: DataFrame, min_docs: int, text_col: str =
         if len(found) <= room:
             exact = spark.sparkContext.broadcast(LineFilter(bits, n_buckets, shards, [tuple(r) for r in found]))
             return map_texts(docs, OUT.format(text=f"`{text_col}`"), _Probe(exact, min_chars), text_col)
-    return _clean_by_join(docs, refs, min_docs, text_col, min_chars)
+    return _clean_by_shards(docs, refs, min_docs, bits, n_buckets, filters, text_col, min_chars)
 
 
 class _Probe:
@@ -291,7 +344,8 @@ class _Probe:
         return pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())
 
 
-def _clean_by_join(docs: DataFrame, refs: DataFrame, min_docs: int, text_col: str, min_chars: int) -> DataFrame:
+def _clean_by_shards(docs: DataFrame, refs: DataFrame, min_docs: int, bits: int, n_buckets: int, filters: DataFrame,
+                     text_col: str, min_chars: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -313,8 +367,10 @@ def _clean_by_join(docs: DataFrame, refs: DataFrame, min_docs: int, text_col: st
 
     text = quoted(text_col).cast("string")
     lines = docs.select(text.alias("t")).mapInArrow(explode, "d1 long, d2 long, k1 long, k2 long").distinct()
-    hot = refs.where(F.col("n_docs") >= min_docs).select("k1", "k2")
-    drops = lines.join(hot, ["k1", "k2"]).groupBy("d1", "d2").agg(F.collect_list(F.struct("k1", "k2")).alias("__drop__"))
+    total, keys = refs.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count("*")).first()
+    wrong = probed(refs.where(F.col("n_docs") < min_docs).select("k1", "k2"), bits, n_buckets, filters, keys)
+    reported = probed(lines, bits, n_buckets, filters, total)
+    drops = reported.join(wrong, ["k1", "k2"], "left_anti").groupBy("d1", "d2").agg(F.collect_list(F.struct("k1", "k2")).alias("__drop__"))
     stay = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     keyed_schema = StructType([*docs.select(*[quoted(c) for c in stay]).schema.fields,
                                *StructType.fromDDL("__d1__ long, __d2__ long").fields])
@@ -359,3 +415,26 @@ def q_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def without_and_again(docs: DataFrame, gone, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, state, n_lines, n_dropped), the reversible run: state ``without``, the other documents
+    cleaned after the documents ``gone`` (a condition, false where null) were deleted from counts
+    and filters; state ``again``, all documents cleaned after those were inserted again."""
+    gone = F.coalesce(gone, F.lit(False))
+    left, away = docs.where(~gone), docs.where(gone)
+    refs = stage(count_lines(docs, text_col), "line-refs")
+    bits, n_buckets, filters = build_filters(refs, min_docs)
+    fewer = stage(delete_documents(refs, away, text_col), "line-refs")
+    held = maintain(bits, n_buckets, stage(filters, "line-filters"), refs, fewer, min_docs)
+    without = _clean_by_shards(left, fewer, min_docs, *held, text_col, 1)
+    back = stage(insert_documents(fewer, away, text_col), "line-refs")
+    held = maintain(*held, fewer, back, min_docs)
+    again = _clean_by_shards(docs, back, min_docs, *held, text_col, 1)
+    out = [d.select(quoted(id_col).alias(id_col), F.lit(state).alias("state"), "n_lines", "n_dropped") for state, d in (("without", without), ("again", again))]
+    return out[0].unionByName(out[1])
+
+
+def q_line_dedup_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_and_again(docs, F.col("doc_id") % 3 == 0)

@@ -1,6 +1,7 @@
 """DuckDB twins of the queries that SQL can express."""
 
-from .license_scan import KNOWN, SPELLINGS
+from .license_scan import KNOWN, NO_HOLDER, PLANTED, SPELLINGS, TITLE_LINES, TITLES, WHOLE
+from .license_texts import TEXTS
 from .mixing import BLOCK_WORDS, DOCS_PER_SHARD, MAX_EPOCHS, SEED
 
 #: Blanks as DuckDB's trim takes them: space and \x09-\x0D.
@@ -19,29 +20,89 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM r JOIN d USI
 """
 
 
-def _canonical(text: str) -> str:
-    """SQL for the canonical lines of a text."""
-    t = f"lower(coalesce({text}, ''))"
-    t = f"regexp_replace({t}, '(?m)^[ \\t]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$', '', 'g')"
-    for old, new in SPELLINGS:
-        t = f"replace({t}, '{old}', '{new}')"
-    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+def _op9_counts(state: str, chosen: str) -> str:
+    """Lines of the chosen documents, and how many of them at least ten of these documents share."""
+    return f"""(WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE {chosen}),
+k AS (SELECT rid, unnest(list_transform(ls, lambda x: translate(trim(x, {_BLANKS}), '{_UPPER}', '{_LOWER}'))) AS key FROM d),
+hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, '{state}' AS state, n_lines, n_dropped FROM d JOIN
+  (SELECT rid, count(*) AS n_lines, count(hot.key) AS n_dropped FROM k LEFT JOIN hot USING (key) GROUP BY rid) USING (rid))"""
+
+
+OP9_REVERSED = _op9_counts("without", "coalesce(doc_id % 3 <> 0, true)") + " UNION ALL " + _op9_counts("again", "true")
+
+
+_BLANK_OR_COLON = r"([ \t]+|[ \t]*:[ \t]*)"
+
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-_KNOWN_ROWS = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)
-OP8 = f"""
-WITH known AS (SELECT md5(array_to_string({_canonical("t")}, ' ')) AS digest, min(id) AS id
-               FROM (VALUES {_KNOWN_ROWS}) v(id, t) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS rid, doc_id, {_canonical("text")} AS ls FROM documents),
+
+def _notice(x: str) -> str:
+    """SQL: the lower-case line is a copyright notice (a year or its place, a sign, or a holder)."""
+    rules = [
+        r"^[ \t]*(copyright|\(c\)|©)([ \t:,]|copyright\b|\(c\)|©|by\b)*[\[<{(]?(([12][0-9]{3}|19yy|20yy|yyyy)\b|year\b)",
+        r"^[ \t]*(copyright[ \t:,]*(\(c\)|©)|©)",
+    ]
+    holder = rf"^[ \t]*copyright{_BLANK_OR_COLON}[\p{{L}}\p{{N}}\[<{{]"
+    no_holder = rf"^[ \t]*copyright{_BLANK_OR_COLON}(({NO_HOLDER})\b|the[ \t]*$)"
+    matches = [f"regexp_matches({x}, {_quoted(r)})" for r in rules]
+    return "(" + " OR ".join(matches) + f" OR (regexp_matches({x}, {_quoted(holder)}) AND NOT regexp_matches({x}, {_quoted(no_holder)})))"
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical lines of a text: notices are told line by line, then each line is spelled anew."""
+    x = "x"
+    for old, new in SPELLINGS:
+        x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+    x = f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    lines = f"string_split(lower(coalesce({text}, '')), chr(10))"
+    return f"list_filter(list_transform(list_filter({lines}, lambda x: NOT {_notice('x')}), lambda x: {x}), lambda x: x <> '')"
+
+
+def _body(lines: str) -> str:
+    """SQL: canonical lines without the titles at their head."""
+    is_title = f"lambda x: x IN ({', '.join(_quoted(t) for t in TITLES)})"
+    other = f"list_position(list_transform({lines}[1:{TITLE_LINES}], {is_title}), false)"
+    return f"CASE WHEN coalesce({other}, 0) > 0 THEN {lines}[{other}:] ELSE {lines}[{TITLE_LINES + 1}:] END"
+
+
+def _values(texts) -> str:
+    return ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in texts)
+
+
+#: Long licences stand here once; their shorter variants are cut by SQL.
+_WITHOUT_CUTS = tuple((i, t) for i, t in WHOLE if not any(t != u and u.startswith(t) for _, u in TEXTS))
+_PLANTED_DOCS = f"""(SELECT doc_id, CASE WHEN t IS NULL THEN text ELSE 'Copyright (c) 2021 The Owners' || chr(10) || chr(10)
+        || CASE WHEN (doc_id // 5) % 2 = 1 THEN upper(t) ELSE t END END AS text
+    FROM documents LEFT JOIN (SELECT t, row_number() OVER () - 1 AS n FROM (VALUES {_values(PLANTED)}) v(id, t)) p
+      ON doc_id % 5 = 0 AND n = (doc_id // 5) % {len(PLANTED)})"""
+
+
+def _op8(docs: str) -> str:
+    return f"""
+WITH notice AS (SELECT id, t FROM (VALUES {_values(KNOWN)}) v(id, t)),
+base AS (SELECT * FROM notice UNION ALL SELECT * FROM (VALUES {_values(_WITHOUT_CUTS)}) v(id, t)),
+cuts AS (SELECT id, t FROM base UNION ALL
+         SELECT id, unnest([split_part(t, 'END OF TERMS AND CONDITIONS', 1), split_part(t, 'END OF TERMS AND CONDITIONS', 1) || 'END OF TERMS AND CONDITIONS'])
+         FROM base WHERE contains(t, 'END OF TERMS AND CONDITIONS') UNION ALL
+         SELECT id, split_part(t, 'For more information', 1) FROM base WHERE id = 'Unlicense' AND contains(t, 'For more information')),
+lined AS (SELECT id, {_canonical("t")} AS ls FROM cuts),
+known AS (SELECT md5(array_to_string(ls, ' ')) AS digest, min(id) AS id FROM (SELECT id, {_body("ls")} AS ls FROM lined) GROUP BY 1),
+stated AS (SELECT md5(array_to_string(ls, ' ')) AS digest, min(id) AS id FROM (SELECT id, {_body("ls")} AS ls FROM (SELECT id, {_canonical("t")} AS ls FROM notice)) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_canonical("text")} AS ls FROM {docs}),
 l AS (SELECT rid, unnest(ls) AS line FROM d),
-n AS (SELECT rid, string_agg(DISTINCT id, ',' ORDER BY id) AS notices, count(*) AS n FROM l JOIN known ON md5(line) = digest GROUP BY rid)
+n AS (SELECT rid, string_agg(DISTINCT id, ',' ORDER BY id) AS notices, count(*) AS n FROM l JOIN stated ON md5(line) = digest GROUP BY rid)
 SELECT doc_id, known.id AS license_id, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notice_lines,
        md5(array_to_string(ls, ' ')) AS canonical_md5
-FROM d LEFT JOIN known ON md5(array_to_string(ls, ' ')) = known.digest LEFT JOIN n USING (rid)
+FROM d LEFT JOIN known ON md5(array_to_string({_body("ls")}, ' ')) = known.digest LEFT JOIN n USING (rid)
 """
 
 
+OP8, OP8_PLANTED = _op8("documents"), _op8(_PLANTED_DOCS)
+
+
 def _number(seed: str, *parts: str) -> str:
     text = " || ':' || ".join([f"'{seed}'", *[f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts]])
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
@@ -143,4 +204,4 @@ FROM p JOIN s USING (anchor_id) WHERE label <> p.own AND 80 * positive_score <=
 QUALIFY rank <= 5
 """
 
-ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "op9_line_dedup": OP9, "op12_hard_negatives": OP12, "op13_conversation_repair": OP13}
+ORACLE_SQL = {"op2_mixing": OP2, "op8_license_scan": OP8, "license_scan_planted": OP8_PLANTED, "op9_line_dedup": OP9, "line_dedup_reversed": OP9_REVERSED, "op12_hard_negatives": OP12, "op13_conversation_repair": OP13}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .gbt_quality import q_gbt_quality
 from .hard_negatives import q_hard_negatives
-from .license_scan import q_license_scan
-from .line_dedup import q_line_dedup
+from .license_scan import q_license_scan, q_license_scan_planted
+from .line_dedup import q_line_dedup, q_line_dedup_reversed
 from .minhash_join import q_minhash_near_dedup
 from .mixing import q_mixing
 from .partenum_join import q_partenum_join
@@ -29,7 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": q_sentencepiece,
     "op7_quality_rules": q_quality_rules,
     "op8_license_scan": q_license_scan,
+    "license_scan_planted": q_license_scan_planted,
     "op9_line_dedup": q_line_dedup,
+    "line_dedup_reversed": q_line_dedup_reversed,
     "op10_winnow": q_winnow,
     "op11_minhash_near_dedup": q_minhash_near_dedup,
     "op12_hard_negatives": q_hard_negatives,

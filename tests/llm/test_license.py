@@ -85,3 +85,18 @@ def test_copyright_lines(spark):
     nothing = scan(spark, [""])[0].canonical_md5
     assert [n for n, r in enumerate(notices) if got[n].canonical_md5 != nothing] == []
     assert [t for n, t in enumerate(body, len(notices)) if got[n].canonical_md5 == nothing] == []
+
+
+def test_planted_licences_are_found(spark):
+    docs = spark.createDataFrame([(i, f"prose {i}") for i in range(400)] + [(None, "no id")], "doc_id long, text string")
+    rows = {r.doc_id: (r.text, r.license_id) for r in ls.scan_licenses(ls.planted(docs)).collect()}
+    n = len(ls.PLANTED)
+    assert n >= 12 and {rows[i][1] for i in range(0, 400, 5)} == {i for i, _ in ls.PLANTED}
+    assert all(rows[i][1] == ls.PLANTED[i // 5 % n][0] for i in range(0, 400, 5))
+    assert all(rows[i] == (f"prose {i}", None) for i in range(400) if i % 5) and rows[None] == ("no id", None)
+    assert rows[5][0].startswith("Copyright (c) 2021 The Owners\n\n") and rows[5][0].endswith(ls.PLANTED[1][1].upper())
+
+
+def test_texts_are_read_from_the_data_file():
+    assert ls.BSD_3.startswith("Redistribution and use") and ls.BSD_3.endswith("DAMAGE.\n") and len(ls.TEXTS) == 16
+    assert dict(ls.TEXTS)["Zlib"].strip() and not any(t.startswith("=== ") for _, t in ls.TEXTS)

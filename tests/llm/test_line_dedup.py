@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from odd import ROWS, no_documents, odd_documents
 from replysift.llm import line_dedup as ld
 
@@ -106,3 +107,38 @@ def test_query_digest(spark):
 
     r = ld.q_line_dedup(spark, "/root/testdata/sf0.001").first()
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_deleted_and_inserted_again(spark):
+    texts = random_texts()
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(4)
+    got = {}
+    for r in ld.without_and_again(df, F.col("doc_id") % 3 == 0, min_docs=10).collect():
+        got.setdefault((r.state, r.doc_id), (r.n_lines, r.n_dropped))
+    everything = [*enumerate(texts), (None, texts[0])]
+    left = [(i, t) for i, t in everything if i is None or i % 3]
+    for state, rows in (("again", everything), ("without", left)):
+        want = {(state, i): (n, d) for (i, _), (_, n, d) in zip(rows, brute([t for _, t in rows], 10), strict=True)}
+        assert {k: v for k, v in got.items() if k[0] == state} == want
+
+
+def test_full_shard_has_the_filters_built_anew(spark):
+    df = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i % 7 * 300))) for i in range(70)], "doc_id long, text string")
+    few, more = df.where("doc_id < 12"), df.where("doc_id >= 12")
+    before = ld.count_lines(few)
+    after = ld.insert_documents(before, more)
+    bits, n_buckets, filters = ld.build_filters(before, 10)
+    bits, grown, filters = ld.maintain(bits, n_buckets, filters, before, after, 10)
+    assert grown > n_buckets
+    hot = after.where("n_docs >= 10").select("k1", "k2")
+    assert ld.probed(hot, bits, grown, filters, 10).count() == hot.count() > 500
+    with pytest.raises(Exception, match="full"):
+        ld.update_filters(bits, n_buckets, ld.build_filters(before, 10)[2], before, after, 10).collect()
+
+
+def test_probes_of_a_shard_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ld, "LINES_PER_PROBE", 5)
+    texts = random_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in ld.dedup_lines(df, 10, broadcast_bytes=0).collect()}
+    assert got == dict(enumerate(brute(texts, 10)))
