@@ -169,6 +169,16 @@ def ledger_replies(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.schema(schema).parquet(ledger).groupBy("digest").agg(F.min("reply").alias("reply"))
 
 
+def with_digest(prompts: DataFrame) -> DataFrame:
+    """``prompts`` with ``digest``, the SHA-256 by which a ledger knows them."""
+    return prompts.withColumn("digest", F.sha2("prompt", 256))
+
+
+def open_prompts(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """(digest, prompt) of the prompts (see ``with_digest``) that the ledger ``known`` (digest) lacks, each once."""
+    return keyed.select("digest", "prompt").join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+
+
 def call_open_prompts(prompts: DataFrame, scorer_factory: ScorerFactory, ledger: str, max_parallel: int | None = None,
                       waves: int = 8) -> DataFrame:
     """M4 with a memory: replies are kept in a Parquet ledger by the SHA-256 of their prompt, and only
@@ -181,9 +191,8 @@ def call_open_prompts(prompts: DataFrame, scorer_factory: ScorerFactory, ledger:
     if waves < 1:
         raise ValueError("waves must be at least 1")
     spark = prompts.sparkSession
-    keyed = stage(prompts.withColumn("digest", F.sha2("prompt", 256)), "model-prompts")
-    known = ledger_replies(spark, ledger).select("digest")
-    asked = keyed.select("digest", "prompt").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    keyed = stage(with_digest(prompts), "model-prompts")
+    asked = open_prompts(keyed, ledger_replies(spark, ledger))
     asked = stage(asked.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")), "model-open", partition_by=["wave"])
     for wave in [r["wave"] for r in asked.select("wave").distinct().orderBy("wave").collect()]:  # at most ``waves``
         one = asked.where(F.col("wave") == wave).select(

@@ -576,4 +576,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, planted, coalesce(pairs, 0) AS pairs, coalesce(total, 0) AS total,
                coalesce(pairs, 0) >= {LEAST_PAIRS} AND coalesce(total, 0) < coalesce(pairs, 0) * (mean - {MARGIN}) AS noise
         FROM t CROSS JOIN m LEFT JOIN s USING (rid)""",
+    "open_prompts": with_ev(
+        f"SELECT sha256(prompt) AS digest, CAST(length(any_value(prompt)) AS BIGINT) AS n_chars FROM ({PROMPT_SELECT}) WHERE sha256(prompt) >= '8' GROUP BY 1",
+        batched_sql()),
 }

@@ -21,7 +21,7 @@ from ..operators import analytics as an
 from ..operators import filters as fl
 from ..operators import review as rv
 from ..operators.classify import classify, classify_by_table, validate, validity_counts
-from ..operators.model_batch import apply_results, batch_rows, build_prompts, match_results
+from ..operators.model_batch import apply_results, batch_rows, build_prompts, match_results, open_prompts, with_digest
 from ..operators.summary import summary_text
 from ..sources import derived as dv
 from ..sources.label_table import LabelTable
@@ -453,6 +453,14 @@ def q_noise_documents(spark, sf):
     return scored.select("doc_id", "planted", "s.pairs", "s.total", "noise")
 
 
+def q_open_prompts(spark, sf):
+    """M4 with a memory: which prompts are still to be asked when a ledger holds the replies to about half of them."""
+    prompts = with_digest(build_prompts(batch_rows(validate(events_keyed(spark, sf)), C, MODEL_BATCH, bucket_by=C.query_id, bucket_rows=MODEL_BUCKET_ROWS)))
+    ledger = prompts.where(F.col("digest") < "8").select("digest")
+    still = open_prompts(prompts, ledger).select("digest", F.char_length("prompt").cast("long").alias("n_chars"))
+    return still
+
+
 def _scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query inside a stage scope: it leaves no stage folder but those its result reads."""
     @wraps(query)
@@ -531,5 +539,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_deciding_corrections": q_stream_deciding_corrections,
     "classify_category_table": q_classify_category_table,
     "noise_documents": q_noise_documents,
+    "open_prompts": q_open_prompts,
 }
 QUERIES = {name: _scoped(query) for name, query in QUERIES.items()}

@@ -116,10 +116,11 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
 
 def write_stage(df: DataFrame, path: str, partition_by=None) -> None:
     """Persist a step's output as Parquet (replaces a driver-side copy)."""
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        # a part's rows meet in files of the advised size (large parts split), not in one file for each task and part
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def stage(df: DataFrame, name: str, partition_by=None) -> DataFrame:
