@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, quoted, read_table
-from .settle import linked_components
+from .settle import keys_from_heads, linked_components
 from .shingle_sets import Rule
 
 VALUES = 64
@@ -89,17 +89,15 @@ def chunk_keys(signatures: np.ndarray, distance: int) -> np.ndarray:
     return mix64(left ^ mix64(np.arange(1, VALUES + 1, dtype=np.uint64)))
 
 
-def _describe(sets: list[np.ndarray], distance: int) -> tuple[list[bytes], list[np.ndarray]]:
-    if not sets:
-        return [], []
-    signatures = np.stack([minhashes(s) for s in sets])
-    return [s.tobytes() for s in signatures], list(chunk_keys(signatures, distance))
+def _heads(sets: list[np.ndarray]) -> list[bytes]:
+    return [minhashes(s).tobytes() for s in sets]
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     distance = distance_of(num, den)
-    found = linked_components(docs, n, partial(_describe, distance=distance), Rule(num, den, VALUES, distance), id_col, text_col)
+    keys = keys_from_heads(VALUES, partial(chunk_keys, distance=distance))
+    found = linked_components(docs, n, _heads, keys, Rule(num, den, VALUES, distance), id_col, text_col)
     return found.withColumn("kept", quoted(id_col).eqNullSafe(F.col("component_id")))
 
 

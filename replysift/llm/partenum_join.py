@@ -8,10 +8,11 @@ Candidates. Sets that can link differ in size by num/den at most, so sizes are c
 into bands of that ratio, and one signature scheme stands for each two
 neighbouring bands: two sets of such a pair that link differ in at most ``k``
 shingles. The shingle domain is cut into ``k // 2 + 1`` partitions by hash, so in one
-of them they differ in one shingle at most; that partition is cut into three, and of
-the three subsets of two parts one holds no difference. A set's signatures are the
+of them they differ in one shingle at most; that partition is cut into two or three parts, and of
+the subsets of all parts but one, one holds no difference. A set's signatures are the
 hashes of its shingles in every such subset (the subset's number and the scheme
-included): linking sets share at least one, for certain.
+included): linking sets share at least one, for certain. Two parts give fewer signatures, three
+more selective ones; the similarity decides (``parts_of``).
 
 Verifying. Equal sets are one node from the start. ``settle`` turns the signature groups into
 components: pairs first meet a bound from the parities of their shingles that never drops a link,
@@ -34,12 +35,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, quoted, read_table
-from .settle import check_groups, linked_components
+from .common import mix64, quoted, read_table, stage
+from .settle import check_groups, keys_from_texts, linked_components
 from .shingle_sets import Rule, differing_bits, linked, may_link, set_hash, shingles, sketch
 
-#: Parts of a first-level partition; every subset of all parts but one is a signature.
-PARTS = 3
+#: Shingles that a signature should stand for on average, so that few sets share one by chance.
+SELECTIVE = 8
+
+
+def parts_of(num: int, den: int) -> int:
+    """Parts of a first-level partition; every subset of all parts but one is a signature. A
+    partition of a set in which two differences are allowed holds 2 * s shingles, s = (den + num) /
+    (2 * (den - num)): the least number of parts whose subsets stand for ``SELECTIVE`` of them, 3 at most."""
+    return 2 if den + num >= 2 * SELECTIVE * (den - num) else 3
 
 
 @lru_cache(maxsize=None)
@@ -69,37 +77,45 @@ def signatures(shingle_set: np.ndarray, num: int, den: int) -> np.ndarray:
         k = int(most_k[scheme]) if scheme >= 0 else 0
         if k < 1:  # linking sets are equal: one node already
             continue
-        first = k // 2 + 1
-        cell = (shingle_set >> np.uint64(32)) % np.uint64(first) * np.uint64(PARTS) + (shingle_set & np.uint64(0xFFFFFFFF)) % np.uint64(PARTS)
-        sums = np.zeros(first * PARTS, np.uint64)
+        first, parts = k // 2 + 1, parts_of(num, den)
+        cell = (shingle_set >> np.uint64(32)) % np.uint64(first) * np.uint64(parts) + (shingle_set & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+        sums = np.zeros(first * parts, np.uint64)
         np.add.at(sums, cell.astype(np.int64), value)
-        sums = sums.reshape(first, PARTS)
+        sums = sums.reshape(first, parts)
         rest = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums  # all parts but one
-        number = np.arange(first * PARTS, dtype=np.uint64).reshape(first, PARTS) + (np.uint64(scheme) << np.uint64(32))
+        number = np.arange(first * parts, dtype=np.uint64).reshape(first, parts) + (np.uint64(scheme) << np.uint64(32))
         out.append(mix64(rest + mix64(number + np.uint64(1))).ravel())
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _describe(sets: list[np.ndarray], num: int, den: int) -> tuple[list[bytes], list[np.ndarray]]:
-    return [b""] * len(sets), [signatures(s, num, den) for s in sets]
+def _no_heads(sets: list[np.ndarray]) -> list[bytes]:
+    return [b""] * len(sets)
 
 
 def link_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): one row for each row of ``docs``."""
-    return linked_components(docs, n, partial(_describe, num=num, den=den), Rule(num, den), id_col, text_col)
+    # signatures are made from the texts where they are sent: stored, they would take more room than the texts
+    keys = keys_from_texts(n, partial(signatures, num=num, den=den))
+    return linked_components(docs, n, _no_heads, keys, Rule(num, den), id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each component the rows of its smallest id stay
     (one row, the least text first, where that id repeats); rows without an id stay."""
-    found = link_components(docs, n, num, den, id_col, text_col)
+    found = stage(link_components(docs, n, num, den, id_col, text_col), "join-components")
     stay = found.where("component_id = " + f"`{id_col}`").select(F.col(id_col).alias("__id")).distinct()
-    known = docs.where(quoted(id_col).isNotNull()).join(stay, quoted(id_col).cast("long") == F.col("__id"), "left_semi")
+    same = quoted(id_col).cast("long") == F.col("__id")
+    known = docs.where(quoted(id_col).isNotNull()).join(stay, same, "left_semi")
+    without_id = docs.where(quoted(id_col).isNull())
+    again = stage(known.groupBy(quoted(id_col).cast("long").alias("__id")).count().where("count > 1").select("__id"), "join-again")
+    if not again.take(1):
+        return known.unionByName(without_id)
+    # ids that repeat: only their rows are ordered
     first = W.partitionBy(quoted(id_col)).orderBy(quoted(text_col).asc_nulls_first())
-    known = known.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return known.unionByName(docs.where(quoted(id_col).isNull())).select(*[quoted(c) for c in docs.columns])
+    one = known.join(again, same, "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+    return known.join(again, same, "left_anti").unionByName(one).unionByName(without_id)
 
 
 def q_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +123,5 @@ def q_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(docs, n=3, num=90, den=100)
 
 
-__all__ = ["PARTS", "bands", "check_groups", "differing_bits", "link_components", "linked", "may_link", "one_of_each",
-           "q_partenum_join", "set_hash", "shingles", "signatures", "sketch"]
+__all__ = ["bands", "check_groups", "differing_bits", "link_components", "linked", "may_link", "one_of_each",
+           "parts_of", "q_partenum_join", "set_hash", "shingles", "signatures", "sketch"]

@@ -1,11 +1,10 @@
 """From groups of candidates to components, the part that the joins on word shingles share.
 
-``linked_components`` takes for each text its set's size, digest (128 bits), sketch and keys; sets that can
-link share a key, as the caller's scheme guarantees. A node is the smallest id of the documents with one set
+``linked_components`` takes for each text its set's size, digest (128 bits) and sketch, and key rows (key, id);
+sets that can link share a key, as the caller's scheme guarantees. A node is the smallest id of the documents with one set
 (equal digests), so copies are one node and a component's smallest node is its id.
 
-Keys of one node alone go by a partial aggregate (least and greatest id), so a key that very many
-rows share costs a row for each task before it moves. Groups of the same nodes are one group. Then:
+Keys of one node alone go (least and greatest id by an aggregate). Groups of the same nodes are one group. Then:
 1. each node is checked with the smallest fitting node among those of its groups;
 2. each node with every such node still in another component;
 3. groups that still have two components: all pairs across components in blocks, bounded
@@ -18,67 +17,85 @@ texts is lost, and a group of copies or near copies costs a row for each member.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_texts, quoted, ship_package, stage, text_slices
+from .common import arrow_schema, map_texts, quoted, ship_package, small_batches, stage, text_slices
 from .components import components
 from .shingle_sets import Rule, Sketches, linked, pairs_may_link, set_digest, shingles, sketch
 
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
-#: Rows of an Arrow batch while whole sets and texts move (Spark bounds batches by rows only).
-BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Smaller Arrow batches for the jobs run inside; the session's own setting comes back."""
-    before = spark.conf.get(_BATCH, "10000")
-    try:
-        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+class SetsOfTexts:
+    """Size, digest and sketch of each text's set. ``heads(sets)``: what the sketches begin with."""
 
+    def __init__(self, n: int, heads: Callable):
+        self.n, self.heads = n, heads
 
-class SetsOfTexts:
-    """Size, digest, sketch and keys of each text's set; a task gives the keys of a set once.
-
-    ``describe(sets) -> (head of each sketch, keys of each set)``."""
-
-    def __init__(self, n: int, describe: Callable):
-        self.n, self.describe = n, describe
-
-    def setup(self):
-        given: set[bytes] = set()
-
-        def work(texts):
-            sets = [shingles(t, self.n) for t in texts]
-            digests = [set_digest(s) if len(s) else None for s in sets]
-            new = []
-            for i, d in enumerate(digests):
-                if d is not None and d not in given:
-                    given.add(d)
-                    new.append(i)
-            heads, keys = self.describe([s for s in sets if len(s)])
-            heads = iter(heads)
-            sketches = [next(heads) + sketch(s) if len(s) else None for s in sets]
-            where = {i: k for k, i in enumerate(i for i, s in enumerate(sets) if len(s))}
-            own = [keys[where[i]] for i in new]
-            counts = np.zeros(len(texts), np.int64)
-            counts[new] = [len(k) for k in own]
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            values = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-
-        return work
+    def __call__(self, texts):
+        sets = [shingles(t, self.n) for t in texts]
+        heads = iter(self.heads([s for s in sets if len(s)]))
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([next(heads) + sketch(s) if len(s) else None for s in sets], pa.binary())]
+
+
+def key_rows(ids: pa.Array, digests: list, keys: Callable, given: set) -> pa.RecordBatch | None:
+    """(sig, node) of rows whose set's digest isn't ``given`` yet; ``keys(places)``: the keys of the sets at these places."""
+    new = []
+    for i, d in enumerate(digests):
+        if d is not None and d not in given:
+            given.add(d)
+            new.append(i)
+    own = keys(new)
+    if not new:
+        return None
+    nodes = np.repeat(ids.take(pa.array(new)).to_numpy(), [len(k) for k in own])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(nodes)], ["sig", "node"])
+
+
+def keys_from_texts(n: int, keys: Callable) -> Callable:
+    """Key rows made from the texts: ``keys(set)`` of each set, which a task gives once."""
+    def rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+        def run(batches):
+            given: set[bytes] = set()
+            for batch in batches:
+                done = 0
+                for texts in text_slices(batch.column(1)):
+                    ids = batch.column(0).slice(done, len(texts))
+                    done += len(texts)
+                    sets = [shingles(t, n) for t in texts]
+                    made = key_rows(ids, [set_digest(s) if len(s) else None for s in sets], lambda new, sets=sets: [keys(sets[i]) for i in new], given)
+                    if made is not None:
+                        yield made
+
+        return docs.mapInArrow(run, "sig long, node long")
+
+    return rows
+
+
+def keys_from_heads(head: int, keys: Callable) -> Callable:
+    """Key rows made from the heads of stored sketches: ``keys(matrix of heads)``, a row of keys for each."""
+    def rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+        def run(batches):
+            given: set[bytes] = set()
+            for batch in batches:
+                sketches = batch.column(2).to_pylist()
+
+                def of(new, sketches=sketches):
+                    return list(keys(np.frombuffer(b"".join(sketches[i][:head] for i in new), np.uint8).reshape(-1, head))) if new else []
+
+                made = key_rows(batch.column(0), batch.column(1).to_pylist(), of, given)
+                if made is not None:
+                    yield made
+
+        return keyed.where("id is not null").select("id", "digest", "sketch").mapInArrow(run, "sig long, node long")
+
+    return rows
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -235,9 +252,15 @@ def check_groups(members: DataFrame, sets: DataFrame, num: int, den: int, block:
 
 
 def candidate_groups(rows: DataFrame) -> DataFrame:
-    """Of (sig, node) those of signatures with two nodes or more; groups of the same nodes once."""
-    ends = rows.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep != last").drop("last")
-    return rows.join(ends, "sig").distinct()
+    """Of (sig, node) those of signatures with two nodes or more.
+
+    Rows move once, narrow, and aggregate and join read the same shuffle. Nothing is sorted: both
+    are hashed, on signatures for the aggregate and on those that stay, few beside the rows, for
+    the join, so rows of a hot signature only stream by and take no memory."""
+    # both uses need the same rows, nulls told apart from the start, or their shuffles would differ
+    dealt = rows.where("sig is not null and node is not null").repartition("sig")
+    ends = dealt.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep != last").select("sig")
+    return dealt.join(ends.hint("shuffle_hash"), "sig")
 
 
 def distinct_groups(groups: DataFrame) -> DataFrame:
@@ -254,28 +277,25 @@ def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(open_sigs.where("lo != hi and members > 2").select("sig"), "sig", "left_semi").select("sig", "node", "label")
 
 
-def linked_components(docs: DataFrame, n: int, describe: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+def linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, component_id): one row for each row of ``docs``.
 
-    ``describe``: see ``SetsOfTexts``; called inside tasks."""
+    ``heads``: see ``SetsOfTexts``; ``key_rows_of``: from ``keys_from_texts`` or ``keys_from_heads``."""
     spark = docs.sparkSession
     ship_package(spark)
     with small_batches(spark):
-        return _linked_components(docs, n, describe, rule, id_col, text_col)
-
+        return _linked_components(docs, n, heads, key_rows_of, rule, id_col, text_col)
 
-def _linked_components(docs: DataFrame, n: int, describe: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    def described(some: DataFrame) -> DataFrame:
-        return map_texts(some, "n_shingles long, digest binary, sketch binary, keys array<long>", SetsOfTexts(n, describe), text_col, keep=[id_col]).select(
-            quoted(id_col).cast("long").alias("id"), "n_shingles", "digest", "sketch", "keys")
 
-    # rows without an id apart, so that a task doesn't give a set's keys to one of them
-    has_id = quoted(id_col).isNotNull()
-    keyed = stage(described(docs.where(has_id)).unionByName(described(docs.where(~has_id))), "join-keyed")
+def _linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    described = map_texts(docs, "n_shingles long, digest binary, sketch binary", SetsOfTexts(n, heads), text_col, keep=[id_col])
+    keyed = stage(described.select(quoted(id_col).cast("long").alias("id"), "n_shingles", "digest", "sketch"), "join-keyed")
+    has_id = docs.where(quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
     of_set = keyed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("node"))
     nodes_of = stage(keyed.select("id", "n_shingles", "digest").join(of_set, "digest", "left").select("id", "n_shingles", "node"), "join-nodes")
 
-    by_doc = candidate_groups(keyed.where("id is not null").select("id", F.explode("keys").alias("sig")).select("sig", F.col("id").alias("node")))
+    # stored by itself: a condition of a later join, pushed below one use of the shuffle, would make it two
+    by_doc = stage(candidate_groups(key_rows_of(has_id, keyed)), "join-candidates")
     # keys hang on documents so far: one document for each set and task
     of_doc = nodes_of.where("id is not null and node is not null").select("id", "node").distinct()
     moved = stage(by_doc.select("sig", F.col("node").alias("id")).join(of_doc, "id").select("sig", "node").distinct(), "join-moved")
