@@ -2,7 +2,9 @@
 
 A text is cut into words (``[a-z0-9_]+`` in lower case) and what stands between them. Every run of up to
 ``longest`` words, with its gaps, is a gram; grams meet the phrase table in an equi-join on
-their hash and text, so the table may hold a million phrases and neither plan nor pattern grows with it. Of
+their hash and text, so the table may hold a million phrases and neither plan nor pattern grows with it. A
+table of up to ``BROADCAST_BYTES`` is sent to the texts, so that no gram moves; Spark can't tell by itself
+which side is small, and would move the grams, many times the texts. Of
 overlapping matches the leftmost counts, and of those that begin together the longest, as a
 regex with all phrases, longest first, reads them.
 
@@ -22,6 +24,8 @@ from .text import named
 PIECES = "[a-z0-9_]+|[^a-z0-9_]+"
 #: Categories that ``read_categories`` brings to the driver at most; phrases stay a table.
 MOST_CATEGORIES = 200
+#: Bytes of phrases up to which the phrase table goes to the texts; a larger one meets the grams in a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def rule_tables(spark: SparkSession, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
@@ -89,12 +93,15 @@ def table_scores(texts: DataFrame, key: str, text_col: str, phrases: DataFrame,
     rules = read_categories(categories)
     labels = [r["label"] for r in rules]
     table = checked_phrases(phrases, labels)
-    longest = table.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
+    # 40: a row's other columns
+    longest, size = table.agg(F.coalesce(F.max("words"), F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + 40), F.lit(0))).first()
     text = normalised_text(named(text_col))
     rows = texts.select(named(key).alias("_k"), text.alias("_t"))
     each = rows.select("_k", F.inline(grams(F.col("_t"), longest)))
-    hashed = table.withColumn("_h", F.xxhash64("phrase"))
-    met = each.withColumn("_h", F.xxhash64("gram")).join(hashed.drop("words"), "_h").where("gram = phrase")
+    hashed = table.withColumn("_h", F.xxhash64("phrase")).drop("words")
+    if size <= BROADCAST_BYTES:
+        hashed = F.broadcast(hashed)
+    met = each.withColumn("_h", F.xxhash64("gram")).join(hashed, "_h").where("gram = phrase")
     # of the longest first: the order of the struct is place, then fewer words last
     found = met.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("words")).alias("less"), "words", "rule"))).alias("_m"))
     marks = F.regexp_count("_t", F.lit("\\?"))

@@ -47,6 +47,26 @@ def test_very_many_phrases(spark):
     assert got == {1: ("even", "cues: odd 1, even 2"), 2: ("rest", "cues: odd 0, even 0"), 3: ("odd", "cues: odd 2, even 0"), 4: ("rest", "cues: odd 0, even 0")}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_small_tables_go_to_the_texts(spark, monkeypatch, small):
+    """Grams never move for a table that fits a broadcast, whatever Spark thinks of its size; beyond it both move."""
+    from replysift.functions import phrases as ph
+
+    if not small:
+        monkeypatch.setattr(ph, "BROADCAST_BYTES", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table, categories = rule_tables(spark, RuleSet((CueRule("A", ("a b", "b")), CueRule("B", ("b c",))), default_label="none"))
+        texts = spark.createDataFrame([(1, "a b c"), (2, "b c b"), (3, "x"), (4, None)], "k long, t string")
+        out = table_scores(texts, "k", "t", table, categories, "none")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == small
+        assert {r.k: r.reasoning for r in out.collect()} == {1: "cues: A 1, B 0", 2: "cues: A 1, B 1", 3: "cues: A 0, B 0", 4: "cues: A 0, B 0"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("bad", [("A", "two  "), ("A", None), ("A", "why?"), ("B", "shared")])
 def test_unusable_phrases_fail(spark, bad):
     phrases = spark.createDataFrame([("A", "shared"), bad], "label string, phrase string")
