@@ -101,6 +101,36 @@ def test_transitions_equal_plain_counting(spark):
     assert got == {t: (max(len(reduced(t)) - 1, 0), sum(weight[reduced(t)[i:i + 2]] for i in range(len(reduced(t)) - 1))) for t in texts}
 
 
+def test_stretches_equal_plain_counting(monkeypatch):
+    """Texts cut across stretches, empty ones between, and arrays that begin inside a larger one."""
+    import numpy as np
+    import pyarrow as pa
+    from replysift.functions import noise
+
+    rng = random.Random(8)
+    texts = ["", "a", "", *["".join(rng.choice(SYMBOLS) for _ in range(rng.choice([0, 0, 1, 2, 3, 9, 40]))) for _ in range(200)], ""]
+    weights = np.arange(784) ** 2 - 90_000
+    number = {c: i for i, c in enumerate(SYMBOLS)}
+    for stretch in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(noise, "_STRETCH", stretch)
+        for cut in (0, 3, 50, len(texts), len(texts) - 1):
+            some = texts[cut:]
+            pairs = [[28 * number[a] + number[b] for a, b in zip(t, t[1:])] for t in some]
+            column = pa.array(texts, pa.string()).slice(cut)
+            n, total = noise.sum_pairs(column, weights)
+            assert n.tolist() == [len(p) for p in pairs] and total.tolist() == [int(sum(weights[i] for i in p)) for p in pairs]
+            counts = Counter(i for p in pairs for i in p)
+            assert noise.count_pairs(column).tolist() == [counts[i] for i in range(784)]
+
+
+def test_no_character_becomes_a_row(spark):
+    """Learning moves a count for each kind of transition and task, and a text is scored once."""
+    df = spark.createDataFrame([("the end of the road",), ("xq zk",)], "t string")
+    learned = learn_transitions(df, "t")
+    plan = df.select(learned.score("t").alias("s"), learned.is_noise("t").alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_replace") <= 3 and "transform" not in plan
+
+
 def test_planted_noise_is_found(spark):
     from replysift.plans.queries import QUERIES
 
