@@ -22,7 +22,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -181,15 +183,25 @@ class Backend:
             out.append(text)
         return out
 
-    def parity(self, texts: list[str]) -> list[bool]:
-        """For each text: the same ids as the sentencepiece library, and the same text back."""
+    @cached_property
+    def library(self):
+        """The sentencepiece library's processor of the model."""
         import sentencepiece
 
-        other = sentencepiece.SentencePieceProcessor(model_proto=self.data)
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
+    def parity(self, texts: list[str]) -> list[bool]:
+        """For each text: the same ids as the sentencepiece library, and the same text back."""
         ids = self.encode(pa.array(texts, pa.large_string()))
-        mine = [np.frombuffer(x, f"<u{self.width}").tolist() for x in ids]
-        theirs = other.encode(texts, num_threads=1)
-        return [a == b and c.decode("utf-8", "replace") == other.decode(b) for a, b, c in zip(mine, theirs, self.decode(ids), strict=True)]
+        return self.agrees(texts, ids, self.decode(ids))
+
+    def agrees(self, texts: Iterable[str], ids: list[bytes], decoded: list[bytes]) -> list[bool]:
+        """For each text whether ``ids`` and the text ``decoded`` from them are those of the library."""
+        other, out = self.library, []
+        for text, mine, back in zip(texts, ids, decoded, strict=True):
+            theirs = other.encode_as_numpy(text)
+            out.append(mine == theirs.astype(f"<u{self.width}").tobytes() and back.decode("utf-8", "replace") == other.decode(theirs))
+        return out
 
 
 _backends: dict[str, Backend] = {}
@@ -202,8 +214,8 @@ def backend(path: str) -> Backend:
     return _backends[path]
 
 
-#: Rows of the query whose id is divisible by this are held against the sentencepiece library.
-PARITY_EVERY = 10
+#: Rows of the query whose id is divisible by this are held against the sentencepiece library: all.
+PARITY_EVERY = 1
 
 
 class _Parity:
@@ -215,8 +227,8 @@ class _Parity:
 
 
 class _Encode:
-    def __init__(self, path: str, verify: bool):
-        self.path, self.verify = path, verify
+    def __init__(self, path: str, verify: bool, parity: bool = False):
+        self.path, self.verify, self.parity = path, verify, parity
 
     def __call__(self, texts):
         one = backend(self.path)
@@ -227,8 +239,10 @@ class _Encode:
             return [pa.array(ids, pa.binary()), pa.array(count, pa.int64())]
         wide = [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in ids]
         mark, space = MARK.encode(), b" "
-        same = [d == (t.replace(mark, space) if mark in t else t) for d, t in zip(one.decode(ids), texts, strict=True)]
-        return [pa.array(count, pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(same, pa.bool_())]
+        decoded = one.decode(ids)
+        same = [d == (t.replace(mark, space) if mark in t else t) for d, t in zip(decoded, texts, strict=True)]
+        out = [pa.array(count, pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), pa.array(same, pa.bool_())]
+        return [*out, pa.array(one.agrees((t.decode() for t in texts), ids, decoded), pa.bool_())] if self.parity else out
 
 
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -259,10 +273,14 @@ def decode_ids(docs: DataFrame, model_path: str, ids_col: str = "ids", out: str
     return source.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, text_col: str = "text", parity: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit
-    integers) and ``same``: the ids decode to the text. For models without a character map."""
-    return map_texts(docs, "n_tokens long, ids_crc32 long, same boolean", _Encode(model_path, True), text_col)
+    integers) and ``same``: the ids decode to the text. For models without a character map.
+
+    ``parity`` adds a column of that name: the same ids and decoded text as the sentencepiece
+    library, which encodes and decodes every text as well."""
+    fields = "n_tokens long, ids_crc32 long, same boolean" + ", parity boolean" * parity
+    return map_texts(docs, fields, _Encode(model_path, True, parity), text_col)
 
 
 def with_parity(docs: DataFrame, model_path: str, checked, text_col: str = "text") -> DataFrame:
@@ -278,6 +296,5 @@ def q_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # every tenth id is held against the library too: encoding all rows twice would double the cost
-    checked = with_parity(docs, model, F.col("doc_id") % PARITY_EVERY == 0)
-    return round_trip(checked, model).select("doc_id", "n_tokens", "ids_crc32", "same", "parity")
+    # every row is held against the library too, on the ids and text made here
+    return round_trip(docs, model, parity=True).select("doc_id", "n_tokens", "ids_crc32", "same", "parity")
