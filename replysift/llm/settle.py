@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_texts, quoted, ship_package, small_batches, stage, text_slices
+from .common import arrow_schema, map_texts, quoted, ship_package, small_batches, stage, text_slices, without
 from .components import components
 from .shingle_sets import Rule, Sketches, linked, pairs_may_link, set_digest, shingles, sketch
 
@@ -138,12 +138,18 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, payload: str, block: int) -> DataFrame:
-    """``members`` (sig, node, label and payload) dealt out: a group's nodes outside its
+def _sized(members: DataFrame, payloads: DataFrame, payload: str) -> DataFrame:
+    """``members`` (sig, node, label) with ``size``: bytes of the node's payloads."""
+    return members.join(payloads.groupBy("node").agg(F.sum(F.octet_length(payload)).alias("size")), "node")
+
+
+def _blocks(members: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
+    """``members`` (sig, node, label, size) dealt out with their ``payloads`` (by node): a group's nodes outside its
     commonest component are queries; queries and all nodes go into blocks by hash, and
     each (sig, i, j) meets one block of queries with one of nodes, about two blocks of
-    ``block`` rows and ``BLOCK_BYTES`` of payload whatever the group's size."""
-    each = members.groupBy("sig", "label").agg(F.count("*").alias("c"), F.sum(F.octet_length(payload)).alias("size"))
+    ``block`` rows and ``BLOCK_BYTES`` of payload whatever the group's size. Payloads are joined once for
+    each member, before its row goes to its blocks."""
+    each = members.groupBy("sig", "label").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
     sizes = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("size").alias("size"),
                                     F.max(F.struct("c", "label", "size")).alias("left"))
 
@@ -153,12 +159,17 @@ def _blocks(members: DataFrame, payload: str, block: int) -> DataFrame:
     counts = sizes.where("n > top.c").select(
         "sig", F.col("top.label").alias("main"), parts(F.col("n"), F.col("size")).alias("nb"),
         parts(F.col("n") - F.col("top.c"), F.col("size") - F.col("left.size")).alias("qb"))
-    dealt = members.join(counts, "sig")
-    as_node = dealt.withColumn("j", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")) \
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).withColumn("query", F.lit(False))
-    as_query = dealt.where("label != main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
-        .withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("qb")).cast("int")).withColumn("query", F.lit(True))
-    return as_node.unionByName(as_query).drop("main", "nb", "qb")
+    i, j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("qb")).cast("int"), F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+
+    def place(i, j, query):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(query).alias("query"))
+
+    as_node = F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda x: place(x, F.col("__j"), False))
+    as_query = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: place(F.col("__i"), x, True))
+    dealt = members.join(counts, "sig").drop("size").withColumns({"__i": i, "__j": j})
+    places = F.when(F.col("label") != F.col("main"), F.concat(as_node, as_query)).otherwise(as_node)
+    dealt = dealt.withColumn("__at", places).drop("main", "nb", "qb", "__i", "__j").join(payloads, "node")
+    return dealt.withColumn("__at", F.explode("__at")).select("*", "__at.i", "__at.j", "__at.query").drop("__at")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -196,7 +207,7 @@ def _by_block(dealt: DataFrame, columns: list[str], fn: Callable, schema: str) -
 
 def promising(members: DataFrame, nodes: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """(sig, node) of the members that have a partner in another component whose sketch
-    allows a link. ``members``: (sig, node, label)."""
+    allows a link. ``members``: (sig, node, label, size), the size that of the node's sketch."""
     def run(table):
         sig, query = table.column("sig")[0].as_py(), table.column("query").to_numpy()
         node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n"))
@@ -212,7 +223,7 @@ def promising(members: DataFrame, nodes: DataFrame, rule: Rule, block: int = BLO
                 found.update(node[mine[hits]].tolist())
         return [(sig, x) for x in sorted(found)]
 
-    dealt = _blocks(members.join(nodes, "node"), "sketch", block)
+    dealt = _blocks(members, nodes, block)
     return _by_block(dealt, ["node", "label", "n", "sketch", "query"], run, "sig long, node long").distinct()
 
 
@@ -247,7 +258,7 @@ def check_groups(members: DataFrame, sets: DataFrame, num: int, den: int, block:
         return found
 
     every = members.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))  # a set has a bounded number of keys
-    dealt = _blocks(members.join(sets, "node"), "shingles", block).join(every, "node")
+    dealt = _blocks(_sized(members.select("sig", "node", "label"), sets, "shingles"), sets.join(every, "node"), block)
     return _by_block(dealt, ["node", "label", "query", "sigs", "shingles"], run, "a long, b long")
 
 
@@ -271,10 +282,11 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
 
 
 def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (sig, node, label) of the groups of three nodes or more with two components or more."""
+    """Rows (sig, node, label and what else ``labels`` says of a node) of the groups of three nodes or more
+    with two components or more."""
     labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
-    return labelled.join(open_sigs.where("lo != hi and members > 2").select("sig"), "sig", "left_semi").select("sig", "node", "label")
+    return labelled.join(open_sigs.where("lo != hi and members > 2").select("sig"), "sig", "left_semi").select("sig", "node", *without(labels, ["node"]))
 
 
 def linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
@@ -331,7 +343,9 @@ def _linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Ca
     links = stage(links.union(check_pairs(apart, sets, rule.num, rule.den)), "join-links")
     labels = stage(components(links), "join-labels")
     # 3: what is left, in blocks; groups of two nodes are settled by now
-    rest = stage(open_groups(groups.select("sig", "node"), labels), "join-rest")
+    # the sketches' bytes come along: they deal out the blocks
+    sizes = nodes.groupBy("node").agg(F.sum(F.octet_length("sketch")).alias("size"))
+    rest = stage(open_groups(groups.select("sig", "node"), sizes.join(labels, "node", "left")), "join-rest")
     hopeful = stage(promising(rest, nodes, rule), "join-hopeful")
     if hopeful.take(1):
         sets = sets_for(hopeful.select("node").distinct(), "join-sets")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -114,3 +115,21 @@ def test_same_groups_are_one(spark):
     out = settle.distinct_groups(spark.createDataFrame(rows, "sig long, node long"))
     assert sorted(map(tuple, out.collect())) == [(1, 10), (1, 11), (1, 12), (4, 10), (4, 11), (5, 10), (5, 11), (5, 12), (5, 13)]
     assert shingle_set("A b", 3) == {("a", "b")}
+
+
+def test_members_meet_their_payloads_once(spark):
+    """Whatever the blocks, a member's payload is joined once, before its row is copied; blocks hold each pair once."""
+    rows = [(1, x, 0 if x < 60 else 100 + x, 50) for x in range(100)] + [(2, x, x, 50) for x in range(3)]
+    members = spark.createDataFrame(rows, "sig long, node long, label long, size long")
+    payloads = spark.createDataFrame([(x, bytes(50)) for x in range(100)], "node long, sketch binary")
+    dealt = settle._blocks(members, payloads, 16)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, \(node#\d+L = node#\d+L\)", plan)) == 1
+    met = Counter()
+    for (sig, _, _), some in itertools.groupby(sorted(dealt.collect(), key=lambda r: (r.sig, r.i, r.j)), key=lambda r: (r.sig, r.i, r.j)):
+        some = list(some)
+        assert len(some) <= 80
+        met.update((sig, q.node, x.node) for q in some if q.query for x in some if not x.query)
+    groups = {s: [r[1:3] for r in rows if r[0] == s] for s in (1, 2)}
+    queries = {1: range(60, 100), 2: (0, 1)}  # of labels as common the greatest is the main one
+    assert met == Counter((s, q, x) for s in groups for q in queries[s] for x, _ in groups[s])
