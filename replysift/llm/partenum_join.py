@@ -97,9 +97,11 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     """``docs`` without near duplicates: of each component the rows of its smallest id stay
     (one row, the least text first, where that id repeats); rows without an id stay."""
     found = stage(link_components(docs, n, num, den, id_col, text_col), "join-components")
-    stay = found.where("component_id = " + f"`{id_col}`").select(F.col(id_col).alias("__id")).distinct()
+    # told by the ids that go, far fewer than those that stay: texts needn't move to meet them while they are few
+    gone = found.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__id"))
+    gone = stage(gone.agg(F.max(F.col("component_id") == F.col(f"`{id_col}`")).alias("stays")).where("not stays").select("__id"), "join-gone")
     same = quoted(id_col).cast("long") == F.col("__id")
-    known = docs.where(quoted(id_col).isNotNull()).join(stay, same, "left_semi")
+    known = docs.where(quoted(id_col).cast("long").isNotNull()).join(gone, same, "left_anti")
     without_id = docs.where(quoted(id_col).isNull())
     again = stage(known.groupBy(quoted(id_col).cast("long").alias("__id")).count().where("count > 1").select("__id"), "join-again")
     if not again.take(1):

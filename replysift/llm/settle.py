@@ -4,7 +4,8 @@
 sets that can link share a key, as the caller's scheme guarantees. A node is the smallest id of the documents with one set
 (equal digests), so copies are one node and a component's smallest node is its id.
 
-Keys of one node alone go (least and greatest id by an aggregate). Groups of the same nodes are one group. Then:
+Keys of one node alone go (least and greatest id by an aggregate). Groups of the same documents are one group from
+the start, and groups of the same nodes are one group. Then:
 1. each node is checked with the smallest fitting node among those of its groups;
 2. each node with every such node still in another component;
 3. groups that still have two components: all pairs across components in blocks, bounded
@@ -263,15 +264,22 @@ def check_groups(members: DataFrame, sets: DataFrame, num: int, den: int, block:
 
 
 def candidate_groups(rows: DataFrame) -> DataFrame:
-    """Of (sig, node) those of signatures with two nodes or more.
+    """Of (sig, node) those of signatures with two nodes or more, one of the signatures that have the same rows.
 
     Rows move once, narrow, and aggregate and join read the same shuffle. Nothing is sorted: both
     are hashed, on signatures for the aggregate and on those that stay, few beside the rows, for
-    the join, so rows of a hot signature only stream by and take no memory."""
+    the join, so rows of a hot signature only stream by and take no memory. Texts that share many
+    signatures go on with one of them: later steps move rows that grow with the texts, not with
+    their signatures. A node may come twice under a signature, so its rows are told by count, ends
+    and sums (of 32 bits each, which a long holds), where equal nodes don't cancel out."""
     # both uses need the same rows, nulls told apart from the start, or their shuffles would differ
     dealt = rows.where("sig is not null and node is not null").repartition("sig")
-    ends = dealt.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep != last").select("sig")
-    return dealt.join(ends.hint("shuffle_hash"), "sig")
+    value = F.xxhash64("node")
+    shape = dealt.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last"), F.count("*").alias("c"),
+                                     F.sum(value.bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned(value, 32)).alias("y"))
+    told = shape.where("rep != last").select("sig", "rep", "last", F.xxhash64("c", "x", "y").alias("rows"))
+    first = told.groupBy("rep", "last", "rows").agg(F.min("sig").alias("sig")).select("sig")
+    return dealt.join(first.hint("shuffle_hash"), "sig")
 
 
 def distinct_groups(groups: DataFrame) -> DataFrame:

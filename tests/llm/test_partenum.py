@@ -1,12 +1,14 @@
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
 from odd import ROWS, no_documents, odd_documents
 from replysift.llm import components as cc
 from replysift.llm import partenum_join as pj
+from replysift.llm import settle
 
 
 def shingle_set(text, n):
@@ -146,3 +148,40 @@ def test_sketches_never_drop_a_link():
                 assert pj.differing_bits(pj.sketch(a), pj.sketch(b)) <= len(np.setxor1d(a, b))
                 dropped += not may
         assert dropped > 20
+
+
+def test_signatures_with_the_same_rows_go_on_as_one(spark):
+    """Of the signatures that two texts share one moves on; rows that come twice don't cancel out."""
+    shared = {s: (1, 2) for s in range(100, 300)} | {300: (1, 2, 3), 301: (1, 2, 3), 302: (2, 2, 3, 3), 303: (2, 3), 304: (1, 1, 2, 4), 305: (1, 3, 3, 4)}
+    alone = {400: (5,), 401: (5, 5), 402: (None, 5)}
+    rows = [(s, x) for s, some in (shared | alone).items() for x in some] + [(None, 1), (None, 2)]
+    out = settle.candidate_groups(spark.createDataFrame(rows, "sig long, node long").repartition(6))
+    assert sorted(map(tuple, out.collect())) == sorted((s, x) for s in (100, 300, 302, 303, 304, 305) for x in shared[s])
+
+
+def test_candidates_move_on_with_the_texts_not_their_signatures(spark):
+    rng = random.Random(21)
+    bases = [next(family(rng, 300, 1, 0)) for _ in range(30)]
+    texts = [t for base in bases for t in (base, base + " end")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    keys = settle.keys_from_texts(5, partial(pj.signatures, num=80, den=100))(df, None)
+    shared = settle.candidate_groups(keys)
+    assert keys.count() > 10_000 and 60 <= shared.count() <= 4 * len(texts)
+    assert shared.select("node").distinct().count() == len(texts)
+
+
+def test_documents_that_stay_do_not_move(spark):
+    """One of each is told by the ids that go; an id stays with any of its rows."""
+    rng = random.Random(31)
+    texts = [t for _ in range(200) for t in family(rng, 30, 1, 0)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[3]), (1001, texts[4]), (1001, ""), (1002, "once"), (1002, None), (None, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1500")  # fewer than the ids that stay take
+        out = pj.one_of_each(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("LeftAnti")[0]
+    assert Counter(map(tuple, out.collect())) == Counter([r for r in rows if r[0] not in (1000, 1001, 1002)] + [(1001, ""), (1002, None)])
