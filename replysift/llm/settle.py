@@ -140,8 +140,10 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
 
 def _sized(members: DataFrame, payloads: DataFrame, payload: str) -> DataFrame:
-    """``members`` (sig, node, label) with ``size``: bytes of the node's payloads."""
-    return members.join(payloads.groupBy("node").agg(F.sum(F.octet_length(payload)).alias("size")), "node")
+    """``members`` (sig, node, label) with ``size``: bytes of the node's payloads, joined once for each node."""
+    each = members.groupBy("node").agg(F.collect_list(F.struct("sig", "label")).alias("__in"))  # a set has a bounded number of keys
+    each = each.join(payloads.groupBy("node").agg(F.sum(F.octet_length(payload)).alias("size")), "node")
+    return each.withColumn("__in", F.explode("__in")).select("__in.sig", "node", "__in.label", "size")
 
 
 def _blocks(members: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
@@ -149,7 +151,7 @@ def _blocks(members: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
     commonest component are queries; queries and all nodes go into blocks by hash, and
     each (sig, i, j) meets one block of queries with one of nodes, about two blocks of
     ``block`` rows and ``BLOCK_BYTES`` of payload whatever the group's size. Payloads are joined once for
-    each member, before its row goes to its blocks."""
+    each node, whatever the number of its groups, before its rows go to their blocks."""
     each = members.groupBy("sig", "label").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
     sizes = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("size").alias("size"),
                                     F.max(F.struct("c", "label", "size")).alias("left"))
@@ -167,10 +169,11 @@ def _blocks(members: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
 
     as_node = F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda x: place(x, F.col("__j"), False))
     as_query = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: place(F.col("__i"), x, True))
-    dealt = members.join(counts, "sig").drop("size").withColumns({"__i": i, "__j": j})
+    dealt = members.join(counts, "sig").groupBy("node").agg(F.collect_list(F.struct("sig", "label", "main", "nb", "qb")).alias("__in"))
+    dealt = dealt.join(payloads, "node").withColumn("__in", F.explode("__in")).select("*", "__in.*").drop("__in").withColumns({"__i": i, "__j": j})
     places = F.when(F.col("label") != F.col("main"), F.concat(as_node, as_query)).otherwise(as_node)
-    dealt = dealt.withColumn("__at", places).drop("main", "nb", "qb", "__i", "__j").join(payloads, "node")
-    return dealt.withColumn("__at", F.explode("__at")).select("*", "__at.i", "__at.j", "__at.query").drop("__at")
+    dealt = dealt.withColumn("__at", F.explode(places)).drop("main", "nb", "qb", "__i", "__j")
+    return dealt.select("*", "__at.i", "__at.j", "__at.query").drop("__at")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

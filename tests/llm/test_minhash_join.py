@@ -133,3 +133,31 @@ def test_members_meet_their_payloads_once(spark):
     groups = {s: [r[1:3] for r in rows if r[0] == s] for s in (1, 2)}
     queries = {1: range(60, 100), 2: (0, 1)}  # of labels as common the greatest is the main one
     assert met == Counter((s, q, x) for s in groups for q in queries[s] for x, _ in groups[s])
+
+
+def test_a_node_of_many_groups_meets_its_payload_once(spark):
+    """The join's rows are nodes, not memberships: a node of 40 groups is one row of it."""
+    rows = [(s, x, x, 50) for s in range(40) for x in range(12)]
+    members = spark.createDataFrame(rows, "sig long, node long, label long, size long")
+    payloads = spark.createDataFrame([(x, bytes(50)) for x in range(12)], "node long, sketch binary")
+
+    def joined(made):
+        """Rows of the joins by node, as the run counted them."""
+        made.collect()
+        plan, found, todo = made._jdf.queryExecution().executedPlan(), [], []
+        todo.append(plan)
+        while todo:
+            node = todo.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            if "Join" in name and "node#" in node.leftKeys().toString():
+                found.append(node.metrics().apply("numOutputRows").value())
+            todo.extend(node.children().apply(k) for k in range(node.children().size()))
+        return found
+
+    assert joined(settle._blocks(members, payloads, 16)) == [12]
+    sized = settle._sized(members.drop("size"), payloads, "sketch")
+    assert joined(sized) == [12] and sorted(tuple(r) for r in sized.select("sig", "node", "label", "size").collect()) == rows
