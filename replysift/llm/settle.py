@@ -8,8 +8,9 @@ Keys of one node alone go (least and greatest id by an aggregate). Groups of the
 the start, and groups of the same nodes are one group. Then:
 1. each node is checked with the smallest fitting node among those of its groups;
 2. each node with every such node still in another component;
-3. groups that still have two components: all pairs across components in blocks, bounded
-   in rows and bytes, inside tasks; first on sketches, then on the sets of the nodes that found a
+3. groups that still have two components: those of one family, which have mostly the same nodes, become one
+   where that saves pairs; then all pairs across components in blocks, bounded
+   in bytes, inside tasks; first on sketches, then on the sets of the nodes that found a
    partner, each pair only in the first group that it shares; no pair is written but the links found.
 Pairs meet the rule of the sketches first and then their whole sets. So no link between different
 texts is lost, and a group of copies or near copies costs a row for each member.
@@ -30,6 +31,8 @@ from .shingle_sets import Rule, Sketches, linked, pairs_may_link, set_digest, sh
 
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
+#: Blocks on a side of a group whose payloads fit in as many; a member is copied twice as often at most.
+SIDE = 8
 
 
 class SetsOfTexts:
@@ -149,15 +152,17 @@ def _sized(members: DataFrame, payloads: DataFrame, payload: str) -> DataFrame:
 def _blocks(members: DataFrame, payloads: DataFrame, block: int) -> DataFrame:
     """``members`` (sig, node, label, size) dealt out with their ``payloads`` (by node): a group's nodes outside its
     commonest component are queries; queries and all nodes go into blocks by hash, and
-    each (sig, i, j) meets one block of queries with one of nodes, about two blocks of
-    ``block`` rows and ``BLOCK_BYTES`` of payload whatever the group's size. Payloads are joined once for
+    each (sig, i, j) meets one block of queries with one of nodes, about two blocks of ``BLOCK_BYTES`` of
+    payload at most whatever the group's size. Blocks have ``block`` rows while there are up to ``SIDE`` on a side
+    and grow from then on, so rows dealt out grow with the members, not with their square, until
+    ``SIDE`` blocks don't hold the payloads. Payloads are joined once for
     each node, whatever the number of its groups, before its rows go to their blocks."""
     each = members.groupBy("sig", "label").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
     sizes = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("size").alias("size"),
                                     F.max(F.struct("c", "label", "size")).alias("left"))
 
     def parts(rows, size):
-        return F.greatest(F.ceil(rows / block), F.ceil(size / BLOCK_BYTES)).cast("int")
+        return F.greatest(F.least(F.ceil(rows / block), F.lit(SIDE)), F.ceil(size / BLOCK_BYTES)).cast("int")
 
     counts = sizes.where("n > top.c").select(
         "sig", F.col("top.label").alias("main"), parts(F.col("n"), F.col("size")).alias("nb"),
@@ -300,6 +305,24 @@ def open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(open_sigs.where("lo != hi and members > 2").select("sig"), "sig", "left_semi").select("sig", "node", *without(labels, ["node"]))
 
 
+def united_groups(members: DataFrame) -> DataFrame:
+    """``members`` (sig, node, label, ...) with groups of one family as one group.
+
+    The nodes of a family of near copies meet again under most of their signatures. Groups of about the same
+    size (same power of two) with the same commonest component are replaced by their union, which holds all
+    their pairs, if it has no more pairs to compare than they have together; others stay as they are."""
+    each = members.groupBy("sig", "label").agg(F.count("*").alias("c"))
+    shape = each.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
+    shape = shape.select("sig", F.col("top.label").alias("main"), F.floor(F.log2("n")).alias("scale"),
+                         (F.col("n").cast("double") * (F.col("n") - F.col("top.c"))).alias("pairs"))
+    alike = shape.groupBy("main", "scale").agg(F.min("sig").alias("first"), F.sum("pairs").alias("pairs"), F.count("*").alias("c")).where("c > 1")
+    family = shape.select("sig", "main", "scale").join(alike, ["main", "scale"]).select("sig", "first", "main", "pairs")
+    union = members.select("sig", "node", "label").join(family, "sig").select("first", "node", F.col("label") != F.col("main"), "pairs").toDF("first", "node", "query", "pairs")
+    saves = union.distinct().groupBy("first", "pairs").agg(F.count("*").cast("double").alias("n"), F.count_if("query").alias("q")).where("n * q <= pairs")
+    to = family.select("sig", "first").join(saves.select("first"), "first", "left_semi")
+    return members.join(to, "sig", "left").withColumn("sig", F.coalesce("first", "sig")).drop("first").distinct()
+
+
 def linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Callable, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, component_id): one row for each row of ``docs``.
 
@@ -357,6 +380,7 @@ def _linked_components(docs: DataFrame, n: int, heads: Callable, key_rows_of: Ca
     # the sketches' bytes come along: they deal out the blocks
     sizes = nodes.groupBy("node").agg(F.sum(F.octet_length("sketch")).alias("size"))
     rest = stage(open_groups(groups.select("sig", "node"), sizes.join(labels, "node", "left")), "join-rest")
+    rest = stage(united_groups(rest), "join-united")
     hopeful = stage(promising(rest, nodes, rule), "join-hopeful")
     if hopeful.take(1):
         sets = sets_for(hopeful.select("node").distinct(), "join-sets")

@@ -161,3 +161,43 @@ def test_a_node_of_many_groups_meets_its_payload_once(spark):
     assert joined(settle._blocks(members, payloads, 16)) == [12]
     sized = settle._sized(members.drop("size"), payloads, "sketch")
     assert joined(sized) == [12] and sorted(tuple(r) for r in sized.select("sig", "node", "label", "size").collect()) == rows
+
+
+def test_rows_dealt_out_grow_with_a_group_not_with_its_square(spark):
+    def rows_of(size):
+        members = spark.range(size).selectExpr("1L AS sig", "id AS node", "id AS label", "50L AS size")
+        payloads = spark.range(size).selectExpr("id AS node", "CAST('x' AS BINARY) AS sketch")
+        return settle._blocks(members, payloads, 16).count()
+
+    small, large = rows_of(400), rows_of(1600)
+    assert large <= 2 * settle.SIDE * 1600 and large <= 4.1 * small
+
+
+def test_groups_of_one_family_are_one(spark):
+    """A family's nodes meet under 40 signatures, each of which a few of them miss; scattered groups of one component stay."""
+    rows = [(s, x, 0 if x < 60 else x, 50) for s in range(40) for x in range(100) if (x + s) % 10]
+    rows += [(1000 + s, x, label, 50) for s in range(30) for x, label in ((1000 + 2 * s, 1000), (1001 + 2 * s, 1000), (2000 + s, 2000 + s))]
+    rows += [(2000, 3000, 3000, 50), (2000, 3001, 3001, 50), (2000, 3002, 3002, 50)]
+    members = spark.createDataFrame(rows, "sig long, node long, label long, size long")
+    out = settle.united_groups(members)
+    assert out.columns == members.columns
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted({(0, *r[1:]) if r[0] < 40 else r for r in rows})
+
+
+def test_united_groups_lose_no_pair(spark):
+    rng = random.Random(8)
+    label = {x: rng.choice([1, 1, 1, x]) for x in range(300)}
+    of = {s: rng.sample(range(300), rng.choice([3, 9, 30])) if s % 3 else rng.sample(range(40), 35) for s in range(60)}
+    rows = [(s, x, label[x], 50) for s, some in of.items() for x in some]
+    members = spark.createDataFrame(rows, "sig long, node long, label long, size long")
+    payloads = spark.createDataFrame([(x, bytes(50)) for x in range(300)], "node long, sketch binary")
+
+    def pairs(made):
+        cells = {}
+        for r in settle._blocks(made, payloads, 16).collect():
+            cells.setdefault((r.sig, r.i, r.j), ([], []))[r.query].append(r.node)
+        return Counter(tuple(sorted((q, x))) for nodes, queries in cells.values() for q in queries for x in nodes if label[q] != label[x])
+
+    before, after = pairs(members), pairs(settle.united_groups(members))
+    assert set(before) <= set(after) and after.total() < before.total()
